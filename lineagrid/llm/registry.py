@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["fingerprint"]
+MODULES = ["license_scan", "quality", "token_counts", "near_duplicates", "vector_search", "toxicity", "sentencepiece_codec", "fingerprint", "private_data", "mixing"]
 
 
 def queries() -> dict:
