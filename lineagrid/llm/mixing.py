@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .common import TOKEN, cut, table
 
 WEIGHTS = (3, 1, 2)
-_CHUNKS = 4096
 _SPAN = 1 << 14
 
 
@@ -73,11 +72,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     """One row per row of docs: doc_id, source, size, source_size, target, taken and first_slot (null if nothing is taken).
 
     ``taken`` counts words of the document in the mix, repeats included, never above cap times its size. The order within
-    a source hashes (doc_id, seed), so reruns agree; rows that repeat a doc_id follow each other and count as documents of
+    a source is that of md5(seed:doc_id), so reruns agree; rows that repeat a doc_id follow each other and count as documents of
     their own. Empty texts have size 0 and nothing is taken of them; a null source is a source of its own. A block has
     ``most_block`` words, fewer where the mix would have under ``least_slots`` blocks. Other columns are ignored.
     """
-    rows = sizes(docs.select("doc_id", "source", "text")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = sizes(docs.select("doc_id", "source", "text")).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
     rows = cut(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "size", "h"))
     per_source = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long")))
     total = per_source.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first().q
@@ -85,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
 
     same = rows.source.eqNullSafe(per_source.source)
     named = rows.join(per_source, same).select(rows.rid, "doc_id", rows.source, "size", "h", "no", "source_size", "target", "quota")
-    used = named.filter("size > 0").withColumn("chunk", F.shiftrightunsigned("h", 64 - 12))
+    used = named.filter("size > 0").withColumn("chunk", F.substring("h", 1, 3))
     placed = _running(used, "no", "chunk", ["h", "doc_id", "rid"], F.col("size"), "start")
     passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("int")))
     spans = placed.filter("quota > 0").withColumn("pass", passes).withColumn("a", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("quota"))).filter("a < b")
@@ -100,4 +99,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {}
+_ORACLE = """
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('7:' || doc_id) AS h FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][no % 3 + 1] AS DOUBLE) AS w, 2.0 * CAST(source_size AS DOUBLE) AS cap FROM s),
+r AS (SELECT *, row_number() OVER o AS pos, (1.5 * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM w WINDOW o AS (ORDER BY cap / w, no)),
+f AS (SELECT pos AS edge, level AS lv FROM r WHERE level * w <= cap ORDER BY pos LIMIT 1),
+t AS (SELECT r.source, CAST(source_size AS BIGINT) AS source_size, CASE WHEN edge IS NULL OR pos < edge THEN cap ELSE lv * w END AS target FROM r LEFT JOIN f ON true),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
+p AS (SELECT d.*, q.source_size, q.target, q.quota, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size AS BIGINT) AS a FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(a + size, quota) - a) + greatest(0, least(a + source_size + size, quota) - a - source_size) AS BIGINT) AS taken FROM p
+"""
+
+ORACLES = {"op10_mixing": _ORACLE}
