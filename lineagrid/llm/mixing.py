@@ -69,21 +69,21 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, most_block: int = 2048, least_slots: int = 65536) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken and first_slot (null if nothing is taken).
+    """One row per row of docs: doc_id, text_md5, source, size, source_size, target, taken and first_slot (null if nothing is taken).
 
     ``taken`` counts words of the document in the mix, repeats included, never above cap times its size. The order within
     a source is that of md5(seed:doc_id), so reruns agree; rows that repeat a doc_id follow each other and count as documents of
     their own. Empty texts have size 0 and nothing is taken of them; a null source is a source of its own. A block has
     ``most_block`` words, fewer where the mix would have under ``least_slots`` blocks. Other columns are ignored.
     """
-    rows = sizes(docs.select("doc_id", "source", "text")).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    rows = cut(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "size", "h"))
+    rows = sizes(docs.select("doc_id", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text_md5", "source", "size", "h"))
     per_source = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long")))
     total = per_source.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first().q
     block = max(1, min(most_block, total // least_slots))
 
     same = rows.source.eqNullSafe(per_source.source)
-    named = rows.join(per_source, same).select(rows.rid, "doc_id", rows.source, "size", "h", "no", "source_size", "target", "quota")
+    named = rows.join(per_source, same).select(rows.rid, "doc_id", "text_md5", rows.source, "size", "h", "no", "source_size", "target", "quota")
     used = named.filter("size > 0").withColumn("chunk", F.substring("h", 1, 3))
     placed = _running(used, "no", "chunk", ["h", "doc_id", "rid"], F.col("size"), "start")
     passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("int")))
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     pieces = spans.select("rid", "no", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
     pieces = pieces.select("rid", "no", "rank", (F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)).alias("words"))
     mixed = pieces.join(schedule(per_source, block), ["no", "rank"]).groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    return named.join(mixed, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    return named.join(mixed, "rid", "left").select("doc_id", "text_md5", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

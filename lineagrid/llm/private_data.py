@@ -110,16 +110,16 @@ def _context(text: Column, spans: Column, width: int, words: int) -> Column:
 
 
 def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3, width: int = 64, words: int = 3, broadcast_rows: int = 10_000) -> DataFrame:
-    """One row per row of docs: doc_id, ``base`` and ``terms`` as arrays of (start, kind number, end).
+    """One row per row of docs: doc_id, text_md5, ``base`` and ``terms`` as arrays of (start, kind number, end).
 
     A null or empty text has no spans. Repeated rows count as documents of their own, but contexts that read alike count
     once towards ``support``, so that copies of one document don't make all its words disclosing. Other columns are ignored.
     Candidate words are broadcast only up to ``broadcast_rows`` of them, by count; beyond, all words are shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"))
-    spans = src.select("rid", "doc_id", let(base_spans(F.col("text")), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, _context(F.col("text"), b, width, words)).alias("near"))).alias("x"))
-    spans = cut(spans.select("rid", "doc_id", "x.base", "x.near"))
+    src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"), F.md5(text).alias("text_md5"))
+    spans = src.select("rid", "doc_id", "text_md5", let(base_spans(F.col("text")), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, _context(F.col("text"), b, width, words)).alias("near"))).alias("x"))
+    spans = cut(spans.select("rid", "doc_id", "text_md5", "x.base", "x.near"))
 
     total = F.lit(float(spans.count()))
     beside = spans.select("rid", F.explode("near").alias("n")).select("rid", "n.*")
@@ -129,14 +129,14 @@ def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3, widt
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORDS), F.lit(0)))).alias("term"))
     wanted = joint.select("term").distinct()
     if (n := wanted.count()) == 0:
-        return spans.select("doc_id", "base", F.array().cast("array<struct<s:int,k:int,e:int>>").alias("terms"))
+        return spans.select("doc_id", "text_md5", "base", F.array().cast("array<struct<s:int,k:int,e:int>>").alias("terms"))
     if n <= broadcast_rows:
         each = each.join(F.broadcast(wanted), "term", "left_semi")
     counts = each.groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     known = joint.join(counts, "term").filter((F.col("n_e") < total) & (pmi >= threshold * F.log2(total / F.col("n_e")))).select("entity", "term")
     terms = beside.join(known, ["entity", "term"], "left_semi").groupBy("rid").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
-    return spans.join(terms, "rid", "left").select("doc_id", "base", F.coalesce(F.array_sort("terms"), F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("terms"))
+    return spans.join(terms, "rid", "left").select("doc_id", "text_md5", "base", F.coalesce(F.array_sort("terms"), F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("terms"))
 
 
 def spans_text(spans: Column) -> Column:

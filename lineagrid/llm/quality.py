@@ -81,7 +81,7 @@ def _keep_top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = 0.995, seed: int = 5, sample: int = 20_000, buckets: int = BUCKETS) -> DataFrame:
-    """The drawn rows: rid, doc_id, log_weight and score (with noise); rid is monotonically_increasing_id of docs' rows.
+    """The drawn rows: rid, doc_id, text_md5, log_weight and score (with noise); rid is monotonically_increasing_id of docs' rows.
 
     At most ``sample`` labelled rows are used, the smallest by a hash of doc_id. Null and empty texts have no n-grams, weight
     0; without good labels every weight is 0 and all rows stay. Rows that repeat a doc_id get equal noise and are drawn separately; ties go to the smaller
@@ -95,11 +95,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = [float(ngram_counts(t.as_py(), buckets) @ weights) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.float64())], names=["rid", "doc_id", "log_weight"])
+            w = [float(ngram_counts(t.as_py(), buckets) @ weights) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(w, pa.float64())], names=["rid", "doc_id", "text_md5", "log_weight"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = cut(rows.mapInArrow(run, "rid long, doc_id long, log_weight double").withColumn("score", F.col("log_weight") + gumbel(seed)))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "text")
+    scored = cut(rows.mapInArrow(run, "rid long, doc_id long, text_md5 string, log_weight double").withColumn("score", F.col("log_weight") + gumbel(seed)))
     if k is None:
         seen = scored.join(F.broadcast(labelled), "doc_id").select("quality", "score")
         edge = seen.filter("quality = 1").agg(F.percentile("score", 1 - recall).alias("p")).first().p
