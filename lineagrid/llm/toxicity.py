@@ -25,7 +25,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, features: int, top: int = 2, l2: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[list[int]], grades: np.ndarray, features: int, top: int = 2, l2: float = 0.1, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of a proportional-odds model on rows of feature numbers, by gradient steps with momentum and adaptive scale."""
     n = max(1, len(rows))
     flat = np.array([f for r in rows for f in r], dtype=np.int64)
@@ -51,7 +51,7 @@ def fit(rows: list[list[int]], grades: np.ndarray, features: int, top: int = 2,
     return p[:features], p[features] + np.concatenate([[0.0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most_features: int = 2000, least_docs: int = 3, telling: float = 5.0) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 2000, least_docs: int = 3, telling: float = 5.0) -> dict:
     """Fit on at most ``sample`` labelled rows (the smallest by a hash of doc_id): words, weights, thresholds.
 
     Features are the words of at least ``least_docs`` sampled documents whose log odds between toxic and other rows differ most
