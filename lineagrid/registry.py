@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``plans`` that hold QUERIES and ORACLES.
-MODULES: list[str] = []
+MODULES: list[str] = ["graphs"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    from .plans.graphs import flagship as run
+
+    return run(spark, sf_dir)
