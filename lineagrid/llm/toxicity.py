@@ -51,11 +51,11 @@ def fit(rows: list[list[int]], grades: np.ndarray, features: int, top: int = 2,
     return p[:features], p[features] + np.concatenate([[0.0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 2000, least_docs: int = 3, telling: float = 5.0) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 2000, least_docs: int = 3, least_z: float = 2.0, telling: float = 5.0) -> dict:
     """Fit on at most ``sample`` labelled rows (the smallest by a hash of doc_id): words, weights, thresholds.
 
     Features are the words of at least ``least_docs`` sampled documents whose log odds between toxic and other rows differ most
-    from 0 against their standard error, ``most_features`` at most; those above ``telling`` standard errors are the telling words.
+    from 0 against their standard error, ``most_features`` at most and each by ``least_z`` standard errors; those above ``telling`` standard errors are the telling words.
     """
     chosen = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = cut(chosen)  # at most ``sample`` rows, so it may be broadcast
@@ -69,7 +69,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_feature
     t, o = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5
     nt, no = F.lit(float(base.t)) - F.col("t") + 0.5, F.lit(float(base.n - base.t)) - (F.col("n") - F.col("t")) + 0.5
     z = (F.log(t / nt) - F.log(o / no)) / F.sqrt(1 / t + 1 / nt + 1 / o + 1 / no)
-    picked = seen.withColumn("z", z).orderBy(F.desc(F.abs("z")), "word").limit(most_features).collect()
+    picked = seen.withColumn("z", z).filter(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "word").limit(most_features).collect()
     names = [r.word for r in picked]
     strong = [r.word for r in picked if r.z >= telling]
     held = rows.select("doc_id", "toxic", F.array_intersect("w", F.array(*map(F.lit, names))).alias("w"), F.size(F.array_intersect("w", F.array(*map(F.lit, strong)).cast("array<string>"))).alias("strong")).orderBy("doc_id").collect()
