@@ -224,6 +224,15 @@ def test_disclosing_terms(spark):
     for i, t, _ in near:
         assert {t[x.s : x.e] for x in found[i].terms} == {"Zaphod"}
     assert not any(found[i].terms for i, _, _ in far + copies)
+    import duckdb
+
+    duck = duckdb.connect()
+    documents = docs(spark, near + far + copies).toPandas()  # noqa: F841  read by name below
+    duck.register("documents", documents)
+    spans = dict(duck.sql(f"SELECT doc_id, spans FROM ({private_data.ORACLES['op9_private_data']})").fetchall())
+    for i, x in found.items():
+        text = ",".join(f"{private_data.KINDS[y.k]}:{y.s}:{y.e}" for y in sorted([*x.base, *x.terms], key=lambda y: (y.s, y.k)))
+        assert spans[i] == text
     d = spark.createDataFrame([("call +1 234 567 8901 now, a@b.co",)], "text string")
     assert d.select(private_data.sanitise(F.col("text"), private_data.base_spans(F.col("text"))).alias("x")).first().x == "call [PHONE] now, [EMAIL]"
 
