@@ -5,8 +5,8 @@ log importance weight: the sum, over its n-grams, of the log of the ratio of the
 taking the k largest draws k documents without replacement in proportion to their weights. n-grams are of bytes (3); beside them
 stands one event a word, whether it repeats the word before it, as repetition is what byte n-grams can't see.
 
-The raw model counts all documents; the target model counts a bounded sample of labelled rows. k, if not given, is the share of
-documents that lets ``recall`` of the labelled good rows pass.
+The raw model counts all documents; the target model counts a bounded sample of labelled rows. k, if not given, is the number of
+documents at or above the score that ``recall`` of the labelled good rows reach.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def _keep_top(scored: DataFrame, k: int) -> DataFrame:
     return scored.filter(key > edge.bin).unionByName(inside)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = 0.995, seed: int = 5, sample: int = 20_000, buckets: int = BUCKETS) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: float = 0.999, seed: int = 5, sample: int = 20_000, buckets: int = BUCKETS) -> DataFrame:
     """The drawn rows: rid, doc_id, text_md5, log_weight and score (with noise); rid is monotonically_increasing_id of docs' rows.
 
     At most ``sample`` labelled rows are used, the smallest by a hash of doc_id. Null and empty texts have no n-grams, weight
@@ -105,8 +105,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: f
         edge = seen.filter("quality = 1").agg(F.percentile("score", 1 - recall).alias("p")).first().p
         if edge is None:
             return scored
-        share = seen.agg(F.avg((F.col("score") >= edge).cast("double")).alias("s")).first().s
-        k = int(np.ceil(share * scored.count()))
+        k = scored.filter(F.col("score") >= edge).count()
     return _keep_top(scored, k)
 
 
