@@ -6,7 +6,7 @@ taking the k largest draws k documents without replacement in proportion to thei
 stands one event a word, whether it repeats the word before it, as repetition is what byte n-grams can't see.
 
 The raw model counts all documents; the target model counts a bounded sample of labelled rows. k, if not given, is the number of
-documents at or above the score that ``recall`` of the labelled good rows reach.
+documents at or above the score that ``recall`` of the labelled good rows reach, each by a target model without it.
 """
 
 from __future__ import annotations
@@ -91,21 +91,27 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, recall: f
     labelled = cut(labelled)  # at most ``sample`` rows, so it may be broadcast
     good = docs.join(F.broadcast(labelled.filter("quality = 1")), "doc_id", "left_semi")
     raw, target = _totals(docs, buckets), _totals(good, buckets)
-    weights = (_log_model(target, buckets) - _log_model(raw, buckets)) if target.sum() else np.zeros(buckets + 2)
+    log_raw = _log_model(raw, buckets)
+    weights = (_log_model(target, buckets) - log_raw) if target.sum() else np.zeros(buckets + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = [float(ngram_counts(t.as_py(), buckets) @ weights) for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(w, pa.float64())], names=["rid", "doc_id", "text_md5", "log_weight"])
+            w, left_out = [], []
+            for t, label in zip(b.column(3), b.column(4)):
+                c = ngram_counts(t.as_py(), buckets)
+                w.append(float(c @ weights))
+                # a labelled good row's weight by a target model without it: what a row like it would get that has no label
+                left_out.append(float(c @ (_log_model(target - c, buckets) - log_raw)) if label.as_py() == 1 else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(w, pa.float64()), pa.array(left_out, pa.float64())], names=["rid", "doc_id", "text_md5", "log_weight", "left_out"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), "text")
-    scored = cut(rows.mapInArrow(run, "rid long, doc_id long, text_md5 string, log_weight double").withColumn("score", F.col("log_weight") + gumbel(seed)))
+    rows = rows.join(F.broadcast(labelled), "doc_id", "left").select("rid", "doc_id", "text_md5", "text", F.col("quality").cast("int").alias("quality"))
+    scored = rows.mapInArrow(run, "rid long, doc_id long, text_md5 string, log_weight double, left_out double")
+    scored = cut(scored.withColumn("score", F.col("log_weight") + gumbel(seed)))
     if k is None:
-        seen = scored.join(F.broadcast(labelled), "doc_id").select("quality", "score")
-        edge = seen.filter("quality = 1").agg(F.percentile("score", 1 - recall).alias("p")).first().p
-        if edge is None:
-            return scored
-        k = scored.filter(F.col("score") >= edge).count()
+        edge = scored.agg(F.percentile(F.col("left_out") + gumbel(seed), 1 - recall).alias("p")).first().p
+        k = scored.count() if edge is None else scored.filter(F.col("score") >= edge).count()
+    scored = scored.drop("left_out")
     return _keep_top(scored, k)
 
 
