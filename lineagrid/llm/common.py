@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,17 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one gets a local folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The shared folder for what is written in between: the session's ``spark.checkpoint.dir``; only a session without one gets a local folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineagrid-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineagrid-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and cut its lineage."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def land(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, which takes less room for many narrow rows."""
+    path = f"{folder(df.sparkSession)}/land-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z for comparisons with ASCII words.
 

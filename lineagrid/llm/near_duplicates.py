@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, table, word_hashes
+from .common import cut, land, mix, table, word_hashes
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], dtype=np.uint64)
 
@@ -60,13 +60,13 @@ def band_of(n: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def plan(i: int, percent: int) -> tuple[int, int, int]:
-    """Of band i: first-level partitions, cells in each, spare partitions."""
+def plan(i: int, percent: int) -> tuple[int, int]:
+    """Of band i: first-level partitions (with spare ones) and cells in each."""
     hi = band(i)[1]
     # sizes a <= hi and b <= a / t: the symmetric difference is at most (a + b) * (1 - t) / (1 + t)
     k = (hi + hi * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = 0 if k < 2 else 1 + k // 16
-    return k // 2 + 1 + spare, 3 if k < 12 else 2, spare
+    spare = 0 if k < 2 else 1 + k // 12
+    return k // 2 + 1 + spare, 3 if k < 12 else 2
 
 
 def signatures(f: np.ndarray, percent: int) -> tuple[list[np.ndarray], int]:
@@ -76,7 +76,7 @@ def signatures(f: np.ndarray, percent: int) -> tuple[list[np.ndarray], int]:
     for i in (own, own - 1):
         if i < 0 or i < own and n * percent > 100 * band(i)[1]:
             continue
-        n1, n2, spare = plan(i, percent)
+        n1, n2 = plan(i, percent)
         m = mix(f + np.uint64((i + 1) * int(_STEP[1]) % 2**64))
         cell = (m % np.uint64(n1 * n2)).astype(np.int64)
         value = mix(m ^ _STEP[3])
@@ -89,7 +89,10 @@ def signatures(f: np.ndarray, percent: int) -> tuple[list[np.ndarray], int]:
         place = np.arange(n1 * n2, dtype=np.uint64).reshape(n1, n2) + np.uint64((i + 1) << 40)
         sig = mix(mix(part) + place * _STEP[0])
         out.append(sig[left > 0])
-        slack = min(slack, spare - int((left == 0).any(axis=1).sum()))
+        # what a link of this very set can spoil, from its own size and the largest that it can link to here
+        other = n * 100 // percent if i == own else band(i)[1]
+        spoilt = (n + other) * (100 - percent) // (100 + percent) // 2
+        slack = min(slack, n1 - spoilt - 1 - int((left == 0).any(axis=1).sum()))
     return out, slack
 
 
@@ -179,13 +182,13 @@ def _resolve(groups: DataFrame, features: DataFrame, links: DataFrame | None, pe
     return links.unionByName(cut(verify(pairs, features, percent)))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int = 24, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id linked with it, directly or not, or its own).
 
     Sets link at a Jaccard similarity of percent/100 or more. Null and empty texts have no shingles and link with nothing, not
     even with each other. Rows that repeat a doc_id are one node; n_shingles is then each row's own. Null ids get a null component. Other columns are
     ignored. Equal sets count as links and are joined by key, so copies cost one row each and never meet in pairs. ``most`` decides which
-    signatures are left to the second join; it changes cost, not results.
+    signatures are left to the second join, and up to ``broadcast_rows`` candidate ids are broadcast (more are shuffled); both change cost, not results.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
@@ -194,16 +197,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int =
     known = sized.filter("key is not null and doc_id is not null")
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"))
     same = known.join(classes, "key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    rows = _signature_rows(docs.join(reps, "doc_id", "left_semi"), n, percent)
-    w = Window.partitionBy("sig")
-    shared = rows.select("sig", "doc_id", "slack", F.count("*").over(w).alias("c"), F.min("doc_id").over(w).alias("pivot")).filter("c > 1 or sig = 0")
-    shared = cut(shared)
+    moved = cut(known.join(classes, "key").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")))
+    # signatures of all rows: copies are folded into their smallest id afterwards, so that no text has to be moved before
+    by_sig = Window.partitionBy("sig")
+    rows = _signature_rows(docs.filter("doc_id is not null"), n, percent)
+    some = rows.select("sig", "doc_id", "slack", F.count("*").over(by_sig).alias("c")).filter("c > 1 or sig = 0")
+    some = some.join(moved, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("doc_id"), "slack")
+    shared = land(some.groupBy("sig", "doc_id").agg(F.min("slack").alias("slack")))
+    # a link needs more common signatures than either set has partitions to spare
+    shared = shared.withColumn("c", F.count("*").over(by_sig)).filter("c > 1 or sig = 0")
+    hopeful = shared.groupBy("doc_id").agg(F.count_if(F.col("sig") != 0).alias("m"), F.min("slack").alias("slack"), F.max((F.col("sig") == 0).cast("int")).alias("out")).filter("out = 1 or m > slack")
+    shared = shared.select("sig", "doc_id", "slack").join(hopeful.select("doc_id"), "doc_id", "left_semi")
+    shared = land(shared.select("sig", "doc_id", "slack", F.count("*").over(by_sig).alias("c"), F.min("doc_id").over(by_sig).alias("pivot")).filter("c > 1 or sig = 0"))
     # sets that have no spare partitions left: the special signature 0 marks those that ran out by empty partitions alone
-    weak = shared.filter((F.col("sig") == 0) | (F.col("c") > most)).groupBy("doc_id").agg(F.count("*").alias("hot"), F.min("slack").alias("slack"), F.max((F.col("sig") == 0).cast("int")).alias("out"))
+    weak = shared.groupBy("doc_id").agg(F.count_if((F.col("sig") != 0) & (F.col("c") > most)).alias("hot"), F.min("slack").alias("slack"), F.max((F.col("sig") == 0).cast("int")).alias("out"))
     weak = cut(weak.filter("out = 1 or hot > slack").select("doc_id"))
-    candidates = shared.select("doc_id").unionByName(weak).distinct()
-    features = cut(_features(docs.join(candidates, "doc_id", "left_semi"), n).filter(F.size("f") > 0))
+    candidates = cut(shared.select("doc_id").distinct())
+    few = candidates.count() <= broadcast_rows
+    features = cut(_features(docs.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi"), n).filter(F.size("f") > 0))
     real = shared.filter("sig <> 0")
     cold = real.filter(F.col("c") <= most).select(F.col("sig").alias("key"), "doc_id", "pivot")
     hot = real.filter((F.col("c") > most) & (F.col("doc_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
