@@ -168,17 +168,20 @@ def components(links: DataFrame) -> DataFrame:
 def _resolve(groups: DataFrame, features: DataFrame, links: DataFrame | None, percent: int) -> DataFrame:
     """All links among sets that share a key, as links between sets enough to form the same groups.
 
-    groups: (key, doc_id, pivot); every set is compared with its key's pivot, then sets still in different groups with each other.
+    groups: (key, doc_id, pivot); every set is compared with its key's pivot, then sets still in different groups with each other. Where groups also say
+    a set's size n and the key's place i in the order of its features, pairs whose first common key comes too late for the overlap are left out.
     """
+    place = ["i", "n"] if "i" in groups.columns else []
     star = groups.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     found = cut(verify(star, features, percent))
     links = found if links is None else links.unionByName(found)
     comp = components(links)
-    rest = groups.filter("doc_id <> pivot").select("key", "doc_id").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rest = groups.filter("doc_id <> pivot").select("key", "doc_id", *place).join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     rest = cut(rest.join(mixed, "key", "left_semi"))
-    a, b = (rest.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    pairs = a.join(b, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+    a, b = (rest.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), *(F.col(c).alias(c + x) for c in place)) for x in "ab")
+    meet = "a < b and ca <> cb" + (f" and {100 + percent} * (1 + least(na - ia, nb - ib)) >= {percent} * (na + nb)" if place else "")
+    pairs = a.join(b, "key").filter(meet).select("a", "b").distinct()
     return links.unionByName(cut(verify(pairs, features, percent)))
 
 
@@ -226,7 +229,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int =
     ranked = each.join(often, "key", "left").select("doc_id", "n", "key", F.coalesce("c", F.lit(1)).alias("c"))
     order = Window.partitionBy("doc_id", "n").orderBy("c", "key")
     prefix = ranked.withColumn("i", F.row_number().over(order)).filter((F.col("c") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    groups = cut(prefix.select("key", "doc_id", F.min("doc_id").over(Window.partitionBy("key")).alias("pivot")))
+    groups = cut(prefix.select("key", "doc_id", "i", "n", F.min("doc_id").over(Window.partitionBy("key")).alias("pivot")))
     links = _resolve(groups, features, links, percent)
 
     comp = components(links.unionByName(same))
