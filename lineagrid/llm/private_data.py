@@ -125,7 +125,10 @@ def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3, widt
     beside = spans.select("rid", F.explode("near").alias("n")).select("rid", "n.*")
     joint = beside.groupBy("entity", "term").agg(F.countDistinct("rid").alias("n_te"), F.countDistinct("ctx").alias("contexts")).filter(F.col("contexts") >= support)
     holders = spans.select("rid", F.explode("base").alias("b")).select("rid", entity(F.col("b.k"), F.col("b.m")).alias("entity")).groupBy("entity").agg(F.countDistinct("rid").alias("n_e"))
-    joint = cut(joint.join(holders, "entity"))
+    # a word stands in at least as many documents as it stands beside any entity: what is too common even so needs no count
+    around = beside.groupBy("term").agg(F.countDistinct("rid").alias("n_around"))
+    most = F.col("n_te") * F.pow(total / F.col("n_e"), F.lit(1.0 - threshold)) * (1 + 1e-9)
+    joint = cut(joint.join(holders, "entity").join(around, "term").filter(F.col("n_around") <= most).drop("n_around"))
     each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORDS), F.lit(0)))).alias("term"))
     wanted = joint.select("term").distinct()
     if (n := wanted.count()) == 0:
@@ -169,4 +172,37 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_private_data": op9_private_data}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle(threshold: float = 0.9, support: int = 3, width: int = 64, words: int = 3) -> str:
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    # matches with their places: pieces and matches up to each, added up
+    place = lambda ps, ms: f"CAST(coalesce(list_sum(list_transform({ps}[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform({ms}[1:i - 1], lambda z: length(z))), 0) AS BIGINT)"
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {place('ps', 'ms')} AS s, ms[i] AS m FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{p}') AS ps, regexp_extract_all(t, '{p}') AS ms FROM d))" for k, p in enumerate(patterns.values()))
+    luhn = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(g), i, 1) AS INTEGER) WHEN CAST(substr(reverse(g), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(g), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(g), i, 1) AS INTEGER) END)) % 10 = 0"
+    valid = f"CASE k WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda z: CAST(z AS HUGEINT) > 255)) = 0 WHEN 2 THEN length(g) BETWEEN 14 AND 19 AND {luhn} ELSE length(g) BETWEEN 10 AND 15 END"
+    low = lambda x: f"lower(replace(replace({x}, 'K', 'ÿ'), 'İ', 'ÿ'))"
+    kinds = "['email', 'ip', 'card', 'phone', 'term']"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM ({found})),
+b AS (SELECT doc_id, k, s, s + length(m) AS e, m, k || ':' || CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE g END AS entity FROM f WHERE {valid}),
+w AS (SELECT b.doc_id, b.s AS bs, b.e AS be, b.k, b.entity, greatest(0, b.s - {width}) AS lo, substr(d.t, greatest(0, b.s - {width}) + 1, b.s - greatest(0, b.s - {width})) AS bt, substr(d.t, b.e + 1, {width}) AS nt FROM b JOIN d USING (doc_id)),
+x AS (SELECT *, string_split_regex(bt, '{WORDS}') AS bp, regexp_extract_all(bt, '{WORDS}') AS bm, string_split_regex(nt, '{WORDS}') AS np, regexp_extract_all(nt, '{WORDS}') AS nm FROM w),
+y AS (SELECT doc_id, bs, be, k, entity, lo, 0 AS side, len(bm) - i AS o, lo + {place('bp', 'bm')} AS s, bm[i] AS m FROM (SELECT *, unnest(range(greatest(1, len(bm) - {words - 1}), len(bm) + 1)) AS i FROM x)
+  UNION ALL SELECT doc_id, bs, be, k, entity, lo, 1, i, be + {place('np', 'nm')}, nm[i] FROM (SELECT *, unnest(range(1, least(len(nm), {words}) + 1)) AS i FROM x)),
+z AS (SELECT *, s + length(m) AS e, {low('m')} AS term FROM y),
+n AS (SELECT * FROM z WHERE CASE side WHEN 0 THEN s > lo OR lo = 0 ELSE e < be + {width} END AND regexp_matches(term, '[^0-9]') AND length(term) >= 3 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = z.doc_id AND b.s < z.e AND z.s < b.e)),
+c AS (SELECT doc_id, bs, k, entity, string_agg(term, ' ' ORDER BY side, o) AS ctx FROM n GROUP BY ALL),
+j AS (SELECT n.entity, n.term, count(DISTINCT n.doc_id) AS n_te FROM n JOIN c USING (doc_id, bs, k, entity) GROUP BY n.entity, n.term HAVING count(DISTINCT c.ctx) >= {support}),
+h AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM b GROUP BY entity),
+u AS (SELECT term, count(*) AS n_t FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({low('t')}, '{WORDS}'))) AS term FROM d) GROUP BY term),
+q AS (SELECT j.entity, j.term FROM j JOIN h USING (entity) JOIN u USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM d) WHERE n_e < total AND log2(total * n_te / (n_t * n_e)) >= {threshold} * log2(total / n_e)),
+a AS (SELECT doc_id, s, k, e FROM b UNION SELECT n.doc_id, n.s, 4, n.e FROM n JOIN q USING (entity, term))
+SELECT d.doc_id, count(CASE WHEN k = 0 THEN 1 END) AS n_email, count(CASE WHEN k = 1 THEN 1 END) AS n_ip, count(CASE WHEN k = 2 THEN 1 END) AS n_card, count(CASE WHEN k = 3 THEN 1 END) AS n_phone,
+  sha256(coalesce(string_agg(CASE WHEN k < 4 THEN {kinds}[k + 1] || ':' || s || ':' || e END, ',' ORDER BY s, k), '')) AS base_sha256, coalesce(string_agg({kinds}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e), '') AS spans
+FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLES = {"op9_private_data": _oracle()}
