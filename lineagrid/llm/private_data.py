@@ -1,10 +1,11 @@
 """Personal data: patterns, and information-theoretic sanitisation of what gives the found entities away.
 
 Base spans come from four patterns. Beyond them, corpus co-occurrence tells how far a word discloses a protected entity e (one
-kind and value): with N documents, PMI(t; e) = log2(N * n_te / (n_t * n_e)) sets the documents that hold t beside e against
-those that hold each at all, and IC(e) = log2(N / n_e) is all the information there is about e. A word whose PMI reaches
-``threshold`` * IC(e), seen beside e in ``support`` different contexts at least, is a disclosing term; its places beside e
-become spans of kind ``term``. All counts cover all documents. ``sanitise`` generalises spans to the name of their kind.
+kind and value): with N documents, PMI(t; e) = log2(N * n_te / (n_t * n_e)) sets the documents that hold both t and e, anywhere,
+against those that hold each at all, and IC(e) = log2(N / n_e) is all the information there is about e. A word whose PMI reaches
+``threshold`` * IC(e), held with e by ``support`` different texts at least, is a disclosing term; all its places in every document
+that holds e become spans of kind ``term``, but for those inside base spans. All counts cover all documents. ``sanitise``
+generalises spans to the name of their kind.
 
 Places are found by cutting the text at a pattern's matches and adding up lengths, in code points. Everything is built-in
 expressions; no Python runs on the executors.
@@ -93,53 +94,58 @@ def entity(k: Column, m: Column) -> Column:
     return F.concat(k.cast("string"), F.lit(":"), F.when(k == 0, ascii_lower(m)).when(k == 1, m).otherwise(_digits(m)))
 
 
-def _context(text: Column, spans: Column, width: int, words: int) -> Column:
-    """Words beside each span: (entity, context hash, word, start, end), up to ``words`` on either side within ``width`` code points."""
-
-    def beside(x: Column) -> Column:
-        lo = F.greatest(F.lit(0), x.s - width)
-        before = F.transform(F.slice(F.reverse(matches(F.substring(text, lo + 1, x.s - lo), WORDS)), F.lit(1), F.lit(words)), lambda w: F.struct((w.s + lo).alias("s"), (w.e + lo).alias("e"), ascii_lower(w.m).alias("t")))
-        # a word that touches the window's edge may go on beyond it; it is left out
-        before = F.filter(before, lambda w: (w.s > lo) | (lo == 0))
-        after = F.transform(F.slice(matches(F.substring(text, x.e + 1, F.lit(width)), WORDS), F.lit(1), F.lit(words)), lambda w: F.struct((w.s + x.e).alias("s"), (w.e + x.e).alias("e"), ascii_lower(w.m).alias("t")))
-        after = F.filter(after, lambda w: w.e < x.e + width)
-        near = F.filter(F.concat(before, after), lambda w: w.t.rlike("[^0-9]") & (F.length(w.t) >= 3) & ~F.exists(spans, lambda y: (y.s < w.e) & (w.s < y.e)))
-        return let(near, lambda n: F.transform(n, lambda w: F.struct(entity(x.k, x.m).alias("entity"), F.xxhash64(F.array_join(F.transform(n, lambda v: v.t), " ")).alias("ctx"), w.t.alias("term"), w.s.alias("s"), w.e.alias("e"))))
-
-    return F.flatten(F.transform(spans, beside))
-
-
-def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3, width: int = 64, words: int = 3, broadcast_rows: int = 10_000) -> DataFrame:
+def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3, broadcast_rows: int = 10_000) -> DataFrame:
     """One row per row of docs: doc_id, text_md5, ``base`` and ``terms`` as arrays of (start, kind number, end).
 
-    A null or empty text has no spans. Repeated rows count as documents of their own, but contexts that read alike count
-    once towards ``support``, so that copies of one document don't make all its words disclosing. Other columns are ignored.
+    A null or empty text has no spans. Repeated rows count as documents of their own, but equal texts count once towards
+    ``support``, so that copies of one document don't make all its words disclosing. Other columns are ignored.
     Candidate words are broadcast only up to ``broadcast_rows`` of them, by count; beyond, all words are shuffled.
     """
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"), F.md5(text).alias("text_md5"))
-    spans = src.select("rid", "doc_id", "text_md5", let(base_spans(F.col("text")), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, _context(F.col("text"), b, width, words)).alias("near"))).alias("x"))
-    spans = cut(spans.select("rid", "doc_id", "text_md5", "x.base", "x.near"))
+    spans = src.select("rid", "doc_id", "text_md5", let(F.struct(base_spans(F.col("text")).alias("base"), F.col("text").alias("text")), lambda v: F.struct(v.base.alias("base"), F.when(F.size(v.base) > 0, v.text).alias("text"))).alias("x"))
+    spans = cut(spans.select("rid", "doc_id", "text_md5", "x.base", "x.text"))
 
     total = F.lit(float(spans.count()))
-    beside = spans.select("rid", F.explode("near").alias("n")).select("rid", "n.*")
-    joint = beside.groupBy("entity", "term").agg(F.countDistinct("rid").alias("n_te"), F.countDistinct("ctx").alias("contexts")).filter(F.col("contexts") >= support)
-    holders = spans.select("rid", F.explode("base").alias("b")).select("rid", entity(F.col("b.k"), F.col("b.m")).alias("entity")).groupBy("entity").agg(F.countDistinct("rid").alias("n_e"))
-    # a word stands in at least as many documents as it stands beside any entity: what is too common even so needs no count
-    around = beside.groupBy("term").agg(F.countDistinct("rid").alias("n_around"))
-    most = F.col("n_te") * F.pow(total / F.col("n_e"), F.lit(1.0 - threshold)) * (1 + 1e-9)
-    joint = cut(joint.join(holders, "entity").join(around, "term").filter(F.col("n_around") <= most).drop("n_around"))
-    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORDS), F.lit(0)))).alias("term"))
+    # equal texts are one, with the number of their rows; its id is the least of theirs
+    rows = spans.filter(F.size("base") > 0).select("rid", "text_md5")
+    texts = cut(rows.groupBy("text_md5").agg(F.min("rid").alias("rid"), F.count("*").alias("n")))
+    held = spans.join(texts.select("rid", "n"), "rid")
+    holds = held.select("rid", "n", F.explode(F.array_distinct(F.transform("base", lambda x: entity(x.k, x.m)))).alias("entity"))
+    recurring = holds.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).filter((F.col("texts") >= support) & (F.col("n_e") < total)).drop("texts")
+    holds = cut(holds.join(recurring, "entity"))
+    # PMI >= threshold * IC solved for n_t: a word of more than n_te * slack documents discloses nothing, and n_te is at most n_e
+    slack = F.pow(total / F.col("n_e"), F.lit(1.0 - threshold)) * (1 + 1e-9)
+    bounds = holds.groupBy("rid").agg(F.max(F.col("n_e") * slack).alias("most"))
+    words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: w.rlike("[^0-9]") & (F.length(w) >= 3))
+    each = held.join(bounds, "rid").select("rid", "n", "most", F.explode(words).alias("term"))
+    joint = each.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_held"), F.max("most").alias("most"))
+    likely = joint.filter((F.col("texts") >= support) & (F.col("n_held") <= F.col("most"))).select("term", "n_held")
+    pairs = each.select("rid", "n", "term").join(likely, "term").join(holds.select("rid", "entity", "n_e"), "rid")
+    joint = pairs.groupBy("entity", "term", "n_e", "n_held").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
+    # a word stands in at least as many documents as hold it and a recurring entity: what is too common even so needs no count
+    joint = cut(joint.filter((F.col("texts") >= support) & (F.col("n_held") <= F.col("n_te") * slack)).select("entity", "term", "n_e", "n_te"))
     wanted = joint.select("term").distinct()
     if (n := wanted.count()) == 0:
-        return spans.select("doc_id", "text_md5", "base", F.array().cast("array<struct<s:int,k:int,e:int>>").alias("terms"))
+        return spans.select("doc_id", "text_md5", "base", none.alias("terms"))
+    everywhere = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     if n <= broadcast_rows:
-        each = each.join(F.broadcast(wanted), "term", "left_semi")
-    counts = each.groupBy("term").agg(F.count("*").alias("n_t"))
+        everywhere = everywhere.join(F.broadcast(wanted), "term", "left_semi")
+    counts = everywhere.groupBy("term").agg(F.count("*").alias("n_t"))
     pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    known = joint.join(counts, "term").filter((F.col("n_e") < total) & (pmi >= threshold * F.log2(total / F.col("n_e")))).select("entity", "term")
-    terms = beside.join(known, ["entity", "term"], "left_semi").groupBy("rid").agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms"))
-    return spans.join(terms, "rid", "left").select("doc_id", "text_md5", "base", F.coalesce(F.array_sort("terms"), F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("terms"))
+    known = cut(joint.join(counts, "term").filter(pmi >= threshold * F.log2(total / F.col("n_e"))).select("entity", "term"))
+    marked = cut(pairs.select("rid", "entity", "term").join(known, ["entity", "term"], "left_semi").select("rid", "term").distinct())
+    places = lambda v: F.filter(matches(v.text, WORDS), lambda w: ~F.exists(v.base, lambda y: (y.s < w.e) & (w.s < y.e)))
+    stand = held.join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(let(F.struct("text", "base"), places)).alias("w"))
+    stand = stand.select("rid", ascii_lower(F.col("w.m")).alias("term"), "w.s", "w.e").join(marked, ["rid", "term"], "left_semi")
+    terms = stand.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e"))).alias("terms"))
+    terms = rows.join(texts.select("text_md5", F.col("rid").alias("least")), "text_md5").join(terms.withColumnRenamed("rid", "least"), "least").select("rid", "terms")
+    return spans.join(terms, "rid", "left").select("doc_id", "text_md5", "base", F.coalesce("terms", none).alias("terms"))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(ascii_lower(text), F.lit(WORDS), F.lit(0))
 
 
 def spans_text(spans: Column) -> Column:

@@ -237,6 +237,37 @@ def test_disclosing_terms(spark):
     assert d.select(private_data.sanitise(F.col("text"), private_data.base_spans(F.col("text"))).alias("x")).first().x == "call [PHONE] now, [EMAIL]"
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    """A name far from the address, in other places of its documents too, and in documents without it; against brute force."""
+    gap = " ".join(f"gap{k % 3}" for k in range(60))
+    data = [(i, f"Zaphod said{i} {gap} mail to a1@b.com {gap} then zaphod left{i}", "s") for i in range(4)]
+    data += [(4, "Zaphod beside a1@b.com only here", "s"), (5, "Trillian x1 1.2.3.4 y1", "s"), (5, "Trillian x1 1.2.3.4 y1", "s"), (6, f"Trillian x2 {gap} 1.2.3.4", "s")]
+    data += [(20 + i, f"{gap} other{i} Trillian words", "s") for i in range(30)] + [(60 + i, "quiet unusual remark c9@d.org made once", "s") for i in range(5)] + [(70, None, "s")]
+    r = random.Random(9)
+    people = [(f"name{k}", f"p{k}@x.org") for k in range(6)]
+    for i in range(100, 160):
+        who = r.sample(people, 2)
+        data.append((i, " ".join(r.sample([f"w{r.randint(0, 30)}" for _ in range(20)] + [who[0][0], who[0][1], r.choice(who)[1], r.choice(people)[0]], 24)), "s"))
+    texts = [t or "" for _, t, _ in data]
+    base = [[(s, e, f"{k}:{t[s:e].lower()}") for s, k, e in brute_spans(t)] for t in texts]
+    words = [{low(w) for w in re.findall(private_data.WORDS, t)} for t in texts]
+    want = [set() for _ in texts]
+    for ent in {x[2] for b in base for x in b}:
+        e = {i for i, b in enumerate(base) if any(x[2] == ent for x in b)}
+        for t in set().union(*(words[i] for i in e)):
+            n_t = sum(t in w for w in words)
+            te = {i for i in e if t in words[i]}
+            if len(t) < 3 or t.isdigit() or len({texts[i] for i in te}) < 3 or math.log2(len(texts) * len(te) / (n_t * len(e))) < 0.9 * math.log2(len(texts) / len(e)):
+                continue
+            for i in te:
+                want[i] |= {(m.start(), m.end()) for m in re.finditer(private_data.WORDS, texts[i]) if low(m[0]) == t and not any(s < m.end() and m.start() < e_ for s, e_, _ in base[i])}
+    assert len(want[0]) >= 2 and want[4]
+    expected = sorted((i, sorted(w)) for (i, _, _), w in zip(data, want))
+    for most in (10_000, 0):
+        got = private_data.find_private(docs(spark, data), broadcast_rows=most).collect()
+        assert sorted((x.doc_id, [(y.s, y.e) for y in x.terms]) for x in got) == expected
+
+
 def test_mixing(spark):
     r = random.Random(6)
     data = [(i, " ".join("w" * r.choice([0, 1, 3, 40])), r.choice("aaaaab") if i % 9 else None) for i in range(400)] + EDGE[:2]
