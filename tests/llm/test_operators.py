@@ -56,6 +56,35 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def test_license_scan_across_line_breaks(spark):
+    """Hard-wrapped templates are found, scattered words of one long line are not; against all runs of words."""
+    longest = 2 * max(len(license_scan.words_of(t)) for t in license_scan.TEMPLATES.values())
+    r = random.Random(11)
+    texts = []
+    for label in ("bsd", "isc", "mpl-2.0", "cc0-1.0", "copyright"):
+        w = license_scan.TEMPLATES[label].split()
+        for before in (0, 1, longest - 5, longest, 2 * longest - 1, 700):
+            texts.append(" ".join(f"q{k}" for k in range(before)) + "\n * " + " ".join(w[: len(w) // 2]) + "\n * " + " ".join(w[len(w) // 2 :]) + " tail" * r.choice([0, 1, 300]))
+    texts += [" ".join([x] + ["filler"] * 60) for x in ("copyright",)] + [("filler " * 60).join(["copyright ", "all ", "rights ", "reserved "])]
+    texts += ["copyright" + " f" * n + " all rights reserved" for n in range(longest - 6, longest)]
+    vocab = sorted({x for t in license_scan.TEMPLATES.values() for x in license_scan.words_of(t)})
+    texts += [" ".join(r.choice(vocab[:40]) for _ in range(r.randint(1, 300))) for _ in range(30)]
+    want = []
+    for i, t in enumerate(texts):
+        w, labels, best = license_scan.words_of(t), set(), 0.0
+        for label, tpl in license_scan.TEMPLATES.items():
+            need = set(license_scan.words_of(tpl))
+            share = max((len(need & set(w[k : k + longest])) / len(need) for k in range(max(1, len(w) - longest + 1))), default=0)
+            if share >= 0.9:
+                labels.add(label)
+                best = max(best, share)
+        want.append((i, labels, best))
+    assert {"bsd"} <= want[0][1] and {"isc"} <= want[6][1] and not want[31][1]
+    got = {x.doc_id: x for x in license_scan.license_scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    for i, labels, best in want:
+        assert {x.label for x in got[i].templates or []} == labels and got[i].score == best, texts[i][:200]
+
+
 def test_fingerprints_add_up(spark):
     d = spark.createDataFrame([(1, "A. B.\nC"), (2, "C\nB.A."), (3, "A. B."), (4, "C"), (5, None)], "doc_id long, text string")
     fp = fingerprint.fingerprints(spark.createDataFrame([(1, "A.\nB.\nC"), (2, "B.\nA.\nC"), (3, "A.\nB.\n"), (4, "C"), (5, None)], "doc_id long, text string"), ["doc_id"])
