@@ -5,10 +5,10 @@ fingerprint is the sum of the vectors modulo powers of two. The sum does not dep
 can be added to or taken from it without the rest of the text. A unit's vector has
 
 * ``eq``: 8 lanes of 32 bits, summed modulo 2**32, for equality;
-* ``sk``: 120 one-bit lanes (three to a packed number, 20 bits apart), summed modulo 2**64 a number. A lane's count of ones,
-  set against the number of units, is a sum of random signs, so the cosine of two such vectors estimates how much of the two
-  multisets of units is common. (Beyond 2**20 units in one text the packed counts run into each other and only the likeness
-  suffers.)
+* ``sk``: 120 one-bit lanes (two to a packed number, 31 bits apart), each summed modulo 2**31. A lane's count of ones, set
+  against the number of units, is a sum of random signs, so the cosine of two such vectors estimates how much of the two
+  multisets of units is common. A text can't hold 2**31 units, so its own counts never wrap and no sum leaves a long; only
+  sums of many fingerprints can, and there equality still holds and likeness alone suffers.
 
 Everything is built-in expressions; no Python runs on the executors.
 """
@@ -16,7 +16,6 @@ Everything is built-in expressions; no Python runs on the executors.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,8 +24,10 @@ from .common import let, table
 
 UNIT = r"[^\n.!?]*[\n.!?]|[^\n.!?]+"
 _UNIT = r"[^\n.!?]*+[\n.!?]|[^\n.!?]++"
-EQ, PACKED, GAP = 8, 40, 20
-MASK = 1 | 1 << GAP | 1 << 2 * GAP
+EQ, PACKED, GAP = 8, 60, 31
+#: Bits of the hash that feed the lanes: four groups of 15 hexadecimal digits, of which 30 bits each are used, 15 bits apart.
+GROUPS, WIDTH = 4, 15
+LANE = (1 << GAP) - 1
 
 
 def units(text: Column) -> Column:
@@ -41,13 +42,14 @@ def _hex(h: Column, start: int, n: int) -> Column:
 def _sums(unit: Column) -> list[Column]:
     h = F.col("h")
     eq = [F.coalesce(F.sum(_hex(h, 8 * i + 1, 8)), F.lit(0)).alias(f"e{i}") for i in range(EQ)]
-    sk = [F.coalesce(F.sum(F.shiftright(F.col(f"g{i // GAP}"), i % GAP).bitwiseAND(F.lit(MASK))), F.lit(0)).alias(f"s{i}") for i in range(PACKED)]
+    bit = lambda i, at: F.shiftright(F.col(f"g{i // WIDTH}"), i % WIDTH + at).bitwiseAND(F.lit(1))
+    sk = [F.coalesce(F.sum(bit(i, 0) + F.shiftleft(bit(i, WIDTH), GAP)), F.lit(0)).alias(f"s{i}") for i in range(PACKED)]
     return [F.count(unit).alias("n"), *eq, *sk]
 
 
 def _with_hash(df: DataFrame, unit: str) -> DataFrame:
     df = df.withColumn("h", F.sha2(F.col(unit), 256))
-    return df.withColumns({"g0": _hex(F.col("h"), 1, 15), "g1": _hex(F.col("h"), 17, 15)})
+    return df.withColumns({f"g{k}": _hex(F.col("h"), 1 + WIDTH * k, WIDTH) for k in range(GROUPS)})
 
 
 def _state() -> Column:
@@ -59,14 +61,23 @@ def empty_state() -> Column:
     return F.struct(F.lit(0).cast("long").alias("n"), F.array(*[F.lit(0).cast("long")] * EQ).alias("eq"), F.array(*[F.lit(0).cast("long")] * PACKED).alias("sk"))
 
 
+def _lane(x: Column, field: int) -> Column:
+    return F.shiftrightunsigned(x, field * GAP).bitwiseAND(F.lit(LANE))
+
+
+def _combine(a: Column, b: Column, op) -> Column:
+    lanes = lambda x, y: op(_lane(x, 0), _lane(y, 0)).bitwiseAND(F.lit(LANE)) + F.shiftleft(op(_lane(x, 1), _lane(y, 1)).bitwiseAND(F.lit(LANE)), GAP)
+    return F.struct(op(a.n, b.n).alias("n"), F.zip_with(a.eq, b.eq, lambda x, y: op(x, y).bitwiseAND(F.lit(0xFFFFFFFF))).alias("eq"), F.zip_with(a.sk, b.sk, lanes).alias("sk"))
+
+
 def add(a: Column, b: Column) -> Column:
     """The fingerprint of the two multisets together."""
-    return F.struct((a.n + b.n).alias("n"), F.zip_with(a.eq, b.eq, lambda x, y: (x + y).bitwiseAND(F.lit(0xFFFFFFFF))).alias("eq"), F.zip_with(a.sk, b.sk, lambda x, y: x + y).alias("sk"))
+    return _combine(a, b, lambda x, y: x + y)
 
 
 def subtract(a: Column, b: Column) -> Column:
     """The fingerprint of a without the units of b."""
-    return F.struct((a.n - b.n).alias("n"), F.zip_with(a.eq, b.eq, lambda x, y: (x - y).bitwiseAND(F.lit(0xFFFFFFFF))).alias("eq"), F.zip_with(a.sk, b.sk, lambda x, y: x - y).alias("sk"))
+    return _combine(a, b, lambda x, y: x - y)
 
 
 def digest(state: Column) -> Column:
@@ -75,11 +86,9 @@ def digest(state: Column) -> Column:
 
 
 def _dot(a: Column, b: Column) -> Column:
-    def signed(x: Column, field: int, n: Column) -> Column:
-        return 2 * F.shiftrightunsigned(x, field * GAP).bitwiseAND(F.lit((1 << GAP) - 1)) - n
-
-    lanes = F.zip_with(a.sk, b.sk, lambda x, y: reduce(lambda p, q: p + q, (signed(x, f, a.n) * signed(y, f, b.n) for f in range(3))))
-    return F.aggregate(lanes, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    signed = lambda x, field, n: (2 * _lane(x, field) - n).cast("double")
+    lanes = F.zip_with(a.sk, b.sk, lambda x, y: signed(x, 0, a.n) * signed(y, 0, b.n) + signed(x, 1, a.n) * signed(y, 1, b.n))
+    return F.aggregate(lanes, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -102,20 +111,37 @@ def fingerprints(df: DataFrame, keys: list[str], text: str = "text") -> DataFram
     return rows.groupBy(*keys).agg(*_sums(F.col("unit"))).select(*keys, _state().alias("state"))
 
 
-def _blocks(docs: DataFrame, n: int) -> Column:
-    """Number of the block of doc_id, of about n blocks that hold equally many rows in ascending order; null ids come last."""
-    at = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first().q or []
-    bounds = sorted(set(at))
+def _cuts(spread: list, value: Column, salt: Column) -> Column:
+    """Number of the range of ``value`` between ascending bounds; rows that equal a bound given several times are dealt over its ranges by ``salt``."""
+    bounds = F.array(*map(F.lit, spread)) if spread else F.array().cast("array<long>")
+    under, upto = F.size(F.filter(bounds, lambda b: b < value)), F.size(F.filter(bounds, lambda b: b <= value))
+    return (under + F.pmod(salt, upto - under + 1)).cast("int")
+
+
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """rows with ``block`` and ``sub``: about n ranges of doc_id that hold equally many rows (null ids last), and ranges of the
+    text's hash where one id (or none) fills more than two of them, so that no range holds much more than the others."""
+    q = rows.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first().q or []
+    bounds = sorted(set(q))
     step = max(1, math.isqrt(len(bounds)))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.lit(0)
     doc = F.col("doc_id")
-    heads = F.array(*(F.lit(g[0]) for g in groups))
-    nested = F.array(*(F.array(*(F.lit(x) for x in g)) for g in groups))
-    g = F.size(F.filter(heads, lambda b: b <= doc))
-    inner = let(g, lambda k: F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.get(nested, k - 1), lambda b: b <= doc))))
-    return F.when(doc.isNull(), len(bounds) + 1).otherwise(inner).cast("int")
+    block = F.lit(0)
+    if groups:
+        heads = F.array(*(F.lit(g[0]) for g in groups))
+        nested = F.array(*(F.array(*(F.lit(x) for x in g)) for g in groups))
+        g = F.size(F.filter(heads, lambda b: b <= doc))
+        block = let(g, lambda k: F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.get(nested, k - 1), lambda b: b <= doc))))
+    rows = rows.withColumn("block", F.when(doc.isNull(), len(bounds) + 1).otherwise(block).cast("int"))
+    counts = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()  # a row a range
+    even = max(1, sum(r.n for r in counts) // n)
+    sub = F.lit(0)
+    for r in counts:
+        parts = r.n // even
+        if parts > 2 and r.lo == r.hi:
+            inside = rows.filter(F.col("block") == r.block).select(F.percentile_approx("h", [i / parts for i in range(1, parts)], 20 * parts).alias("q"))
+            sub = F.when(F.col("block") == r.block, _cuts(sorted(inside.first().q), F.col("h"), F.xxhash64("rid"))).otherwise(sub)
+    return rows.withColumn("sub", sub.cast("int"))
 
 
 def fingerprint_pairs(docs: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -128,31 +154,31 @@ def fingerprint_pairs(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     blocks = blocks or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the bounds and the first id of each range: a few numbers a range, whatever the number of documents
-    rows = docs.withColumn("block", _blocks(docs, blocks))
-    firsts = sorted((r.block, r.m) for r in rows.groupBy("block").agg(F.min("doc_id").alias("m")).collect())
+    # the bounds and the first row of each range: a few numbers a range, whatever the number of documents
+    rows = _blocks(docs, blocks)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("m")
+    firsts = sorted((r.block, r.sub, r.m.doc_id, r.m.h) for r in rows.groupBy("block", "sub").agg(least).collect())
     if not firsts:
-        firsts = [(0, None)]
-    to = [(m, firsts[i - 1][0]) for i, (_, m) in enumerate(firsts)]
-    targets = spark.createDataFrame(to, "m long, target int")
-    ids = [m for m, _ in to if m is not None]
-    heads = docs.filter(F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if len(ids) < len(to) else F.lit(False)))
-    heads = heads.join(F.broadcast(targets), heads.doc_id.eqNullSafe(targets.m)).select("doc_id", "text", F.col("target").alias("block"), F.lit(1).alias("extra"))
-    both = rows.select("doc_id", "text", "block", F.lit(0).alias("extra")).unionByName(heads)
-    w = Window.partitionBy("block").orderBy("extra", F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+        firsts = [(0, 0, None, 0)]
+    to = [(m, h, *firsts[i - 1][:2]) for i, (_, _, m, h) in enumerate(firsts)]
+    targets = F.broadcast(spark.createDataFrame(to, "m long, mh long, block int, sub int"))
+    hashes = sorted({h for _, h, _, _ in to})
+    heads = docs.filter(F.col("h").isin(hashes)).join(targets, F.col("doc_id").eqNullSafe(F.col("m")) & (F.col("h") == F.col("mh"))).select("rid", "doc_id", "text", "h", "block", "sub", F.lit(1).alias("extra"))
+    both = rows.select("rid", "doc_id", "text", "h", "block", "sub", F.lit(0).alias("extra")).unionByName(heads)
+    w = Window.partitionBy("block", "sub").orderBy("extra", F.asc_nulls_last("doc_id"), "h", "rid")
     seq = both.withColumns({"rn": F.row_number().over(w), "next": F.lead("text").over(w), "n_chars": F.length("text").cast("long")})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
     seq = seq.withColumn("edited", F.when(F.col("extra") == 0, edited))
-    keys = ["block", "rn", "doc_id", "extra", "n_chars", "edited_sha256"]
-    tag = lambda text, k: F.transform(units(text), lambda u: F.struct(F.lit(k).alias("k"), u.alias("unit")))
-    each = seq.select(*keys[:5], F.sha2("edited", 256).alias("edited_sha256"), F.explode_outer(F.concat(tag(F.col("text"), 0), tag(F.col("edited"), 1))).alias("u")).select(*keys, "u.k", "u.unit")
+    keys = ["block", "sub", "rn", "doc_id", "extra", "n_chars", "edited_sha256"]
+    pair = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t")))
+    each = seq.select(*keys[:6], F.sha2("edited", 256).alias("edited_sha256"), F.explode(pair).alias("x")).select(*keys, "x.k", F.explode_outer(units(F.col("x.t"))).alias("unit"))
     states = _with_hash(each, "unit").groupBy(*keys, "k").agg(*_sums(F.col("unit"))).select(*keys, "k", _state().alias("state"))
     pick = lambda k: F.coalesce(F.first(F.when(F.col("k") == k, F.col("state")), ignorenulls=True), empty_state())
     per_doc = states.groupBy(*keys).agg(pick(0).alias("own"), pick(1).alias("other"))
-    out = per_doc.withColumn("after", F.lead("own").over(Window.partitionBy("block").orderBy("rn"))).filter("extra = 0")
+    out = per_doc.withColumn("after", F.lead("own").over(Window.partitionBy("block", "sub").orderBy("rn"))).filter("extra = 0")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", digest(F.col("own")).alias("fingerprint"), digest(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
@@ -165,9 +191,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     eq = ", ".join(f"CAST(coalesce(sum(CAST(('0x' || substr(h, {8 * i + 1}, 8)) AS BIGINT)), 0) AS BIGINT) & 4294967295 AS e{i}" for i in range(EQ))
-    sk = ", ".join(f"CAST(coalesce(sum((g{i // GAP} >> {i % GAP}) & {MASK}), 0) AS BIGINT) AS s{i}" for i in range(PACKED))
-    lane = lambda p, i, f: f"(2 * (({p}.s{i} >> {f * GAP}) & {(1 << GAP) - 1}) - {p}.n)"
-    dot = lambda p, q: "CAST(" + " + ".join(f"{lane(p, i, f)} * {lane(q, i, f)}" for i in range(PACKED) for f in range(3)) + " AS DOUBLE)"
+    bit = lambda i, at: f"((g{i // WIDTH} >> {i % WIDTH + at}) & 1)"
+    sk = ", ".join(f"CAST(coalesce(sum({bit(i, f * WIDTH)}), 0) AS BIGINT) AS s{i}_{f}" for i in range(PACKED) for f in range(2))
+    lane = lambda p, i, f: f"(2 * {p}.s{i}_{f} - {p}.n)"
+    dot = lambda p, q: "CAST(" + " + ".join(f"{lane(p, i, f)} * {lane(q, i, f)}" for i in range(PACKED) for f in range(2)) + " AS DOUBLE)"
     fp = lambda p: " || ".join(f"lpad(lower(hex({p}.e{i})), 8, '0')" for i in range(EQ)) + f" || '-' || {p}.n"
 
     def like(p: str, q: str) -> str:
@@ -182,7 +209,7 @@ e AS (SELECT nx.doc_id, nx.next_id, nx.n_chars, nx.text,
   substr(nx.text, 1, nx.n_chars - nx.n_chars // 2) || substr(b.text, 1, nx.n_chars // 2) AS edited FROM nx JOIN d b ON b.doc_id = nx.next_id),
 t AS (SELECT doc_id, 0 AS k, text FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
 u AS (SELECT doc_id, k, sha256(unnest(regexp_extract_all(text, '[^\\n.!?]*[\\n.!?]|[^\\n.!?]+'))) AS h FROM t),
-g AS (SELECT *, CAST(('0x' || substr(h, 1, 15)) AS BIGINT) AS g0, CAST(('0x' || substr(h, 17, 15)) AS BIGINT) AS g1 FROM u),
+g AS (SELECT *, {", ".join(f"CAST(('0x' || substr(h, {1 + WIDTH * k}, {WIDTH})) AS BIGINT) AS g{k}" for k in range(GROUPS))} FROM u),
 s AS (SELECT t.doc_id, t.k, count(h) AS n, {eq}, {sk} FROM t LEFT JOIN g USING (doc_id, k) GROUP BY t.doc_id, t.k),
 l AS (SELECT s.*, {dot("s", "s")} AS ll FROM s)
 SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, {fp("a")} AS fingerprint, {fp("b")} AS edited_fingerprint,
