@@ -20,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for what is written in between: the session's ``spark.checkpoint.dir``; only a session without one gets a local folder of its own."""
+    """The shared folder for what is written in between: the session's ``spark.checkpoint.dir``.
+
+    Without that setting a session on one machine (master local) gets a folder of its own, as in tests; any other is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineagrid-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lineagrid-"))
     return sc.getCheckpointDir()
 
 
@@ -50,6 +56,23 @@ def ascii_lower(text: Column) -> Column:
     return F.lower(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ÿ")), F.lit("İ"), F.lit("ÿ")))
 
 
+def among(df: DataFrame, wanted: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """Rows of df whose value is one of the wanted ones, and some others.
+
+    A table of 2**bits marks (2 MB) is all that is broadcast, whatever the number of values: few rows are left over where that is small,
+    all rows where it is beyond the marks. A join that follows makes the result exact; this only spares it rows.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    low = lambda p: p.bitwiseAND(F.lit(63))
+    at = wanted.select(place(column).alias("p")).select(F.shiftright("p", 12).alias("_page"), low(F.shiftright("p", 6)).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), low(F.col("p")).cast("int")).alias("mark"))
+    words = at.groupBy("_page", "i").agg(F.bit_or("mark").alias("m"))
+    pages = words.groupBy("_page").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("m"))  # 64 words a page
+    pages = pages.select("_page", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("_marks"))
+    met = df.withColumn("_p", place(column)).withColumn("_page", F.shiftright("_p", 12)).join(F.broadcast(pages), "_page")
+    word = F.get("_marks", low(F.shiftright("_p", 6)).cast("int"))
+    return met.filter(F.call_function("shiftright", word, low(F.col("_p")).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*df.columns)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row (a plain alias could be inlined again by the optimizer)."""
     return F.element_at(F.transform(F.array(value), body), 1)

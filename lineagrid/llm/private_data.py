@@ -3,9 +3,9 @@
 Base spans come from four patterns. Beyond them, corpus co-occurrence tells how far a word discloses a protected entity e (one
 kind and value): with N documents, PMI(t; e) = log2(N * n_te / (n_t * n_e)) sets the documents that hold both t and e, anywhere,
 against those that hold each at all, and IC(e) = log2(N / n_e) is all the information there is about e. A word whose PMI reaches
-``threshold`` * IC(e), held with e by ``support`` different texts at least, is a disclosing term; all its places in every document
-that holds e become spans of kind ``term``, but for those inside base spans. All counts cover all documents. ``sanitise``
-generalises spans to the name of their kind.
+``threshold`` * IC(e), held with e by ``support`` different texts at least, is a disclosing term: who looks it up finds little but the
+documents of e. All its places in every document that holds e become spans of kind ``term``, but for those inside base spans. All
+counts cover all documents. ``sanitise`` generalises spans to the name of their kind.
 
 Places are found by cutting the text at a pattern's matches and adding up lengths, in code points. Everything is built-in
 expressions; no Python runs on the executors.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, let, table
+from .common import among, ascii_lower, land, let, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: The contract's patterns. Possessive quantifiers and the look-behinds only keep long runs from being tried again and again
@@ -94,52 +94,48 @@ def entity(k: Column, m: Column) -> Column:
     return F.concat(k.cast("string"), F.lit(":"), F.when(k == 0, ascii_lower(m)).when(k == 1, m).otherwise(_digits(m)))
 
 
-def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3, broadcast_rows: int = 10_000) -> DataFrame:
+def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, text_md5, ``base`` and ``terms`` as arrays of (start, kind number, end).
 
     A null or empty text has no spans. Repeated rows count as documents of their own, but equal texts count once towards
-    ``support``, so that copies of one document don't make all its words disclosing. Other columns are ignored.
-    Candidate words are broadcast only up to ``broadcast_rows`` of them, by count; beyond, all words are shuffled.
+    ``support``. Entities held by the very same texts disclose the same and are counted as one, so a document with many of them costs no more
+    than one with one. Terms are words of three characters at least that aren't digits alone. Other columns are ignored.
     """
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
     text = F.coalesce(F.col("text"), F.lit(""))
     src = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text"), F.md5(text).alias("text_md5"))
     spans = src.select("rid", "doc_id", "text_md5", let(F.struct(base_spans(F.col("text")).alias("base"), F.col("text").alias("text")), lambda v: F.struct(v.base.alias("base"), F.when(F.size(v.base) > 0, v.text).alias("text"))).alias("x"))
-    spans = cut(spans.select("rid", "doc_id", "text_md5", "x.base", "x.text"))
+    spans = land(spans.select("rid", "doc_id", "text_md5", "x.base", "x.text"))
 
     total = F.lit(float(spans.count()))
     # equal texts are one, with the number of their rows; its id is the least of theirs
     rows = spans.filter(F.size("base") > 0).select("rid", "text_md5")
-    texts = cut(rows.groupBy("text_md5").agg(F.min("rid").alias("rid"), F.count("*").alias("n")))
+    texts = land(rows.groupBy("text_md5").agg(F.min("rid").alias("rid"), F.count("*").alias("n")))
     held = spans.join(texts.select("rid", "n"), "rid")
-    holds = held.select("rid", "n", F.explode(F.array_distinct(F.transform("base", lambda x: entity(x.k, x.m)))).alias("entity"))
-    recurring = holds.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).filter((F.col("texts") >= support) & (F.col("n_e") < total)).drop("texts")
-    holds = cut(holds.join(recurring, "entity"))
+    each = held.select("rid", "n", F.explode(F.array_distinct(F.transform("base", lambda x: entity(x.k, x.m)))).alias("entity"))
+    # an entity by the texts that hold it: their number, rows and two sums of their hashes
+    holders = each.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts"), *(F.sum(F.xxhash64(F.lit(i), "rid").cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)))
+    holders = holders.filter((F.col("texts") >= support) & (F.col("n_e") < total)).select("entity", "n_e", F.md5(F.concat_ws(":", "n_e", "texts", "h0", "h1")).alias("group"))
+    holds = land(each.join(holders, "entity").select("rid", "group", "n_e").distinct())
     # PMI >= threshold * IC solved for n_t: a word of more than n_te * slack documents discloses nothing, and n_te is at most n_e
     slack = F.pow(total / F.col("n_e"), F.lit(1.0 - threshold)) * (1 + 1e-9)
     bounds = holds.groupBy("rid").agg(F.max(F.col("n_e") * slack).alias("most"))
     words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: w.rlike("[^0-9]") & (F.length(w) >= 3))
-    each = held.join(bounds, "rid").select("rid", "n", "most", F.explode(words).alias("term"))
-    joint = each.groupBy("term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_held"), F.max("most").alias("most"))
-    likely = joint.filter((F.col("texts") >= support) & (F.col("n_held") <= F.col("most"))).select("term", "n_held")
-    pairs = each.select("rid", "n", "term").join(likely, "term").join(holds.select("rid", "entity", "n_e"), "rid")
-    joint = pairs.groupBy("entity", "term", "n_e", "n_held").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
-    # a word stands in at least as many documents as hold it and a recurring entity: what is too common even so needs no count
-    joint = cut(joint.filter((F.col("texts") >= support) & (F.col("n_held") <= F.col("n_te") * slack)).select("entity", "term", "n_e", "n_te"))
-    wanted = joint.select("term").distinct()
-    if (n := wanted.count()) == 0:
-        return spans.select("doc_id", "text_md5", "base", none.alias("terms"))
-    everywhere = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    if n <= broadcast_rows:
-        everywhere = everywhere.join(F.broadcast(wanted), "term", "left_semi")
+    each = land(held.join(bounds, "rid").select("rid", "n", "most", F.explode(words).alias("term")))
+    # a word stands in at least as many documents as hold it and an entity: what is too common even so needs no count
+    wanted = each.groupBy("term").agg(F.sum("n").alias("n_held"), F.max("most").alias("most")).filter("n_held <= most").select("term")
+    everywhere = among(docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")), wanted, "term")
     counts = everywhere.groupBy("term").agg(F.count("*").alias("n_t"))
+    rare = land(each.join(counts, "term").filter("n_t <= most").select("rid", "n", "term", "n_t"))
+    pairs = rare.join(holds, "rid")
+    joint = pairs.groupBy("group", "term", "n_e", "n_t").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
     pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    known = cut(joint.join(counts, "term").filter(pmi >= threshold * F.log2(total / F.col("n_e"))).select("entity", "term"))
-    marked = cut(pairs.select("rid", "entity", "term").join(known, ["entity", "term"], "left_semi").select("rid", "term").distinct())
-    places = lambda v: F.filter(matches(v.text, WORDS), lambda w: ~F.exists(v.base, lambda y: (y.s < w.e) & (w.s < y.e)))
-    stand = held.join(marked.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode(let(F.struct("text", "base"), places)).alias("w"))
-    stand = stand.select("rid", ascii_lower(F.col("w.m")).alias("term"), "w.s", "w.e").join(marked, ["rid", "term"], "left_semi")
-    terms = stand.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e"))).alias("terms"))
+    known = joint.filter((F.col("texts") >= support) & (pmi >= threshold * F.log2(total / F.col("n_e")))).select("group", "term")
+    marked = pairs.select("rid", "group", "term").join(known, ["group", "term"], "left_semi").groupBy("rid").agg(F.collect_set("term").alias("marked"))  # words of one text
+    place = lambda w: F.struct(w.s.alias("s"), F.lit(4).alias("k"), w.e.alias("e"))
+    free = lambda v, w: ~F.exists(v.base, lambda y: (y.s < w.e) & (w.s < y.e))
+    places = lambda v: F.transform(F.filter(matches(v.text, WORDS), lambda w: F.array_contains(v.marked, ascii_lower(w.m)) & free(v, w)), place)
+    terms = held.join(marked, "rid").select("rid", let(F.struct("text", "base", "marked"), places).alias("terms"))
     terms = rows.join(texts.select("text_md5", F.col("rid").alias("least")), "text_md5").join(terms.withColumnRenamed("rid", "least"), "least").select("rid", "terms")
     return spans.join(terms, "rid", "left").select("doc_id", "text_md5", "base", F.coalesce("terms", none).alias("terms"))
 
@@ -180,31 +176,36 @@ def op9_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_private_data": op9_private_data}
 
 
-def _oracle(threshold: float = 0.9, support: int = 3, width: int = 64, words: int = 3) -> str:
+def _oracle(threshold: float = 0.9, support: int = 1) -> str:
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-    # matches with their places: pieces and matches up to each, added up
-    place = lambda ps, ms: f"CAST(coalesce(list_sum(list_transform({ps}[1:i], lambda z: length(z))), 0) + coalesce(list_sum(list_transform({ms}[1:i - 1], lambda z: length(z))), 0) AS BIGINT)"
-    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {place('ps', 'ms')} AS s, ms[i] AS m FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{p}') AS ps, regexp_extract_all(t, '{p}') AS ms FROM d))" for k, p in enumerate(patterns.values()))
-    luhn = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse(g), i, 1) AS INTEGER) WHEN CAST(substr(reverse(g), i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr(reverse(g), i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr(reverse(g), i, 1) AS INTEGER) END)) % 10 = 0"
+
+    # matches with their places: lengths of pieces and matches up to each, added up
+    def places(table: str, pattern: str) -> str:
+        parts = f"SELECT doc_id, string_split_regex(t, '{pattern}') AS ps, regexp_extract_all(t, '{pattern}') AS ms FROM {table}"
+        each = f"SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ps[1:len(ms)]) AS p, unnest(ms) AS m FROM ({parts})"
+        return f"SELECT doc_id, m, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS s FROM ({each})"
+
+    found = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, s, m FROM ({places('d', p)})" for k, p in enumerate(patterns.values()))
+    digit = "CAST(substr(reverse(g), i, 1) AS INTEGER)"
+    luhn = f"list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)) % 10 = 0"
     valid = f"CASE k WHEN 0 THEN true WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda z: CAST(z AS HUGEINT) > 255)) = 0 WHEN 2 THEN length(g) BETWEEN 14 AND 19 AND {luhn} ELSE length(g) BETWEEN 10 AND 15 END"
-    low = lambda x: f"lower(replace(replace({x}, 'K', 'ÿ'), 'İ', 'ÿ'))"
+    low = lambda x: f"lower(replace(replace({x}, '\u212a', '\u00ff'), '\u0130', '\u00ff'))"
     kinds = "['email', 'ip', 'card', 'phone', 'term']"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM ({found})),
-b AS (SELECT doc_id, k, s, s + length(m) AS e, m, k || ':' || CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE g END AS entity FROM f WHERE {valid}),
-w AS (SELECT b.doc_id, b.s AS bs, b.e AS be, b.k, b.entity, greatest(0, b.s - {width}) AS lo, substr(d.t, greatest(0, b.s - {width}) + 1, b.s - greatest(0, b.s - {width})) AS bt, substr(d.t, b.e + 1, {width}) AS nt FROM b JOIN d USING (doc_id)),
-x AS (SELECT *, string_split_regex(bt, '{WORDS}') AS bp, regexp_extract_all(bt, '{WORDS}') AS bm, string_split_regex(nt, '{WORDS}') AS np, regexp_extract_all(nt, '{WORDS}') AS nm FROM w),
-y AS (SELECT doc_id, bs, be, k, entity, lo, 0 AS side, len(bm) - i AS o, lo + {place('bp', 'bm')} AS s, bm[i] AS m FROM (SELECT *, unnest(range(greatest(1, len(bm) - {words - 1}), len(bm) + 1)) AS i FROM x)
-  UNION ALL SELECT doc_id, bs, be, k, entity, lo, 1, i, be + {place('np', 'nm')}, nm[i] FROM (SELECT *, unnest(range(1, least(len(nm), {words}) + 1)) AS i FROM x)),
-z AS (SELECT *, s + length(m) AS e, {low('m')} AS term FROM y),
-n AS (SELECT * FROM z WHERE CASE side WHEN 0 THEN s > lo OR lo = 0 ELSE e < be + {width} END AND regexp_matches(term, '[^0-9]') AND length(term) >= 3 AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = z.doc_id AND b.s < z.e AND z.s < b.e)),
-c AS (SELECT doc_id, bs, k, entity, string_agg(term, ' ' ORDER BY side, o) AS ctx FROM n GROUP BY ALL),
-j AS (SELECT n.entity, n.term, count(DISTINCT n.doc_id) AS n_te FROM n JOIN c USING (doc_id, bs, k, entity) GROUP BY n.entity, n.term HAVING count(DISTINCT c.ctx) >= {support}),
-h AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM b GROUP BY entity),
+b AS (SELECT doc_id, k, s, s + length(m) AS e, k || ':' || CASE k WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE g END AS entity FROM f WHERE {valid}),
+h AS (SELECT DISTINCT doc_id, entity FROM b),
+o AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM h)),
+w AS (SELECT doc_id, s, s + length(m) AS e, {low('m')} AS term FROM ({places('o', WORDS)})),
+v AS (SELECT DISTINCT doc_id, term FROM w WHERE regexp_matches(term, '[^0-9]') AND length(term) >= 3),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM d),
+ne AS (SELECT entity, count(*) AS n_e FROM h GROUP BY entity),
+te AS (SELECT entity, term, count(*) AS n_te FROM h JOIN v USING (doc_id) JOIN d USING (doc_id) GROUP BY entity, term HAVING count(DISTINCT md5(t)) >= {support}),
 u AS (SELECT term, count(*) AS n_t FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({low('t')}, '{WORDS}'))) AS term FROM d) GROUP BY term),
-q AS (SELECT j.entity, j.term FROM j JOIN h USING (entity) JOIN u USING (term), (SELECT CAST(count(*) AS DOUBLE) AS total FROM d) WHERE n_e < total AND log2(total * n_te / (n_t * n_e)) >= {threshold} * log2(total / n_e)),
-a AS (SELECT doc_id, s, k, e FROM b UNION SELECT n.doc_id, n.s, 4, n.e FROM n JOIN q USING (entity, term))
+q AS (SELECT entity, term FROM te JOIN ne USING (entity) JOIN u USING (term), n WHERE n_e < total AND log2(total * n_te / (n_t * n_e)) >= {threshold} * log2(total / n_e)),
+x AS (SELECT DISTINCT doc_id, term FROM h JOIN q USING (entity) JOIN v USING (doc_id, term)),
+a AS (SELECT doc_id, s, k, e FROM b UNION SELECT doc_id, s, 4, e FROM w JOIN x USING (doc_id, term) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e))
 SELECT d.doc_id, count(CASE WHEN k = 0 THEN 1 END) AS n_email, count(CASE WHEN k = 1 THEN 1 END) AS n_ip, count(CASE WHEN k = 2 THEN 1 END) AS n_card, count(CASE WHEN k = 3 THEN 1 END) AS n_phone,
   sha256(coalesce(string_agg(CASE WHEN k < 4 THEN {kinds}[k + 1] || ':' || s || ':' || e END, ',' ORDER BY s, k), '')) AS base_sha256, coalesce(string_agg({kinds}[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e), '') AS spans
 FROM d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id
