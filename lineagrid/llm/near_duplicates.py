@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, land, mix, table, word_hashes
+from .common import among, cut, land, mix, table, word_hashes
 
+_OUT = -32_768
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -116,10 +117,12 @@ def _signature_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 ids, sigs, slacks = [], [], []
                 for d, t in zip(b.column(0)[at : at + 64], b.column(1)[at : at + 64]):
                     found, slack = signatures(shingles(t.as_py(), n), percent)
-                    rows = np.concatenate([*found, np.zeros(int(slack < 0), dtype=np.uint64)])
+                    # a set that has run out by empty partitions alone says so in a row of its own, at a place of its own
+                    own = mix(np.array([d.as_py()], dtype=np.int64).view(np.uint64))[: int(slack < 0)]
+                    rows = np.concatenate([*found, own])
                     ids.append(np.full(len(rows), d.as_py(), dtype=np.int64))
                     sigs.append(rows.view(np.int64))
-                    slacks.append(np.full(len(rows), min(slack, 30_000), dtype=np.int16))
+                    slacks.append(np.concatenate([np.full(len(rows) - len(own), min(slack, 30_000), dtype=np.int16), np.full(len(own), _OUT, dtype=np.int16)]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sigs, slacks)], names=["doc_id", "sig", "slack"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long, slack short")
@@ -202,25 +205,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int =
     same = known.join(classes, "key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     moved = cut(known.join(classes, "key").filter("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("rep")))
     # signatures of all rows: copies are folded into their smallest id afterwards, so that no text has to be moved before
-    by_sig = Window.partitionBy("sig")
-    rows = _signature_rows(docs.filter("doc_id is not null"), n, percent)
-    some = rows.select("sig", "doc_id", "slack", F.count("*").over(by_sig).alias("c")).filter("c > 1 or sig = 0")
-    some = some.join(moved, "doc_id", "left").select("sig", F.coalesce("rep", "doc_id").alias("doc_id"), "slack")
-    shared = land(some.groupBy("sig", "doc_id").agg(F.min("slack").alias("slack")))
+    rows = land(_signature_rows(docs.filter("doc_id is not null"), n, percent))
+    fold = lambda df: df.join(moved, "doc_id", "left").withColumn("doc_id", F.coalesce("rep", "doc_id")).drop("rep")
+    out = cut(fold(rows.filter(F.col("slack") == _OUT).select("doc_id")).distinct())
+    real = rows.filter(F.col("slack") != _OUT)
+    # a signature is counted where it stands before it moves, and joined back by its count: a hot one is a row a task, not a group in one
+    met = land(real.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig"))
+    shared = land(fold(among(real, met, "sig").join(met, "sig")).groupBy("sig", "doc_id").agg(F.min("slack").alias("slack")))
     # a link needs more common signatures than either set has partitions to spare
-    shared = shared.withColumn("c", F.count("*").over(by_sig)).filter("c > 1 or sig = 0")
-    hopeful = shared.groupBy("doc_id").agg(F.count_if(F.col("sig") != 0).alias("m"), F.min("slack").alias("slack"), F.max((F.col("sig") == 0).cast("int")).alias("out")).filter("out = 1 or m > slack")
-    shared = shared.select("sig", "doc_id", "slack").join(hopeful.select("doc_id"), "doc_id", "left_semi")
-    shared = land(shared.select("sig", "doc_id", "slack", F.count("*").over(by_sig).alias("c"), F.min("doc_id").over(by_sig).alias("pivot")).filter("c > 1 or sig = 0"))
-    # sets that have no spare partitions left: the special signature 0 marks those that ran out by empty partitions alone
-    weak = shared.groupBy("doc_id").agg(F.count_if((F.col("sig") != 0) & (F.col("c") > most)).alias("hot"), F.min("slack").alias("slack"), F.max((F.col("sig") == 0).cast("int")).alias("out"))
-    weak = cut(weak.filter("out = 1 or hot > slack").select("doc_id"))
-    candidates = cut(shared.select("doc_id").distinct())
+    shared = shared.join(shared.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig"), "sig")
+    hopeful = shared.groupBy("doc_id").agg(F.count("*").alias("m"), F.min("slack").alias("slack")).filter("m > slack").select("doc_id")
+    shared = land(shared.join(hopeful.unionByName(out).distinct(), "doc_id", "left_semi"))
+    stats = shared.groupBy("sig").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).filter("c > 1")
+    shared = land(shared.join(stats, "sig"))
+    # sets that have no spare partitions left
+    hot = shared.groupBy("doc_id").agg(F.count_if(F.col("c") > most).alias("hot"), F.min("slack").alias("slack")).filter("hot > slack").select("doc_id")
+    weak = cut(hot.unionByName(out).distinct())
+    candidates = cut(shared.select("doc_id").unionByName(out).distinct())
     few = candidates.count() <= broadcast_rows
     features = cut(_features(docs.join(F.broadcast(candidates) if few else candidates, "doc_id", "left_semi"), n).filter(F.size("f") > 0))
-    real = shared.filter("sig <> 0")
-    cold = real.filter(F.col("c") <= most).select(F.col("sig").alias("key"), "doc_id", "pivot")
-    hot = real.filter((F.col("c") > most) & (F.col("doc_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    cold = shared.filter(F.col("c") <= most).select(F.col("sig").alias("key"), "doc_id", "pivot")
+    hot = shared.filter((F.col("c") > most) & (F.col("doc_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _resolve(cold, features, cut(verify(hot, features, percent)), percent)
 
     # second join: sets that ran out of spare partitions, on the rarest of their own features
@@ -229,7 +234,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int =
     ranked = each.join(often, "key", "left").select("doc_id", "n", "key", F.coalesce("c", F.lit(1)).alias("c"))
     order = Window.partitionBy("doc_id", "n").orderBy("c", "key")
     prefix = ranked.withColumn("i", F.row_number().over(order)).filter((F.col("c") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-    groups = cut(prefix.select("key", "doc_id", "i", "n", F.min("doc_id").over(Window.partitionBy("key")).alias("pivot")))
+    # a feature and a range of sizes make a key: sets that can link are of one range or of neighbouring ones
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(101.0 / percent)))
+    banded = cut(prefix.select(F.explode(F.array(size, size - 1)).alias("band"), "key", "doc_id", "i", "n").select(F.xxhash64("key", "band").alias("key"), "doc_id", "i", "n"))
+    groups = cut(banded.join(banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last"), "key"))
     links = _resolve(groups, features, links, percent)
 
     comp = components(links.unionByName(same))
