@@ -11,7 +11,7 @@ import corpus_pipeline
 from lineagrid.llm import mixing, quality
 from lineagrid.llm.sentencepiece_codec import model_path
 
-from .test_operators import brute_components, brute_spans
+from .test_operators import brute_components, brute_spans, brute_terms
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,29 +52,30 @@ def test_one_document_of_each_group_stays(staged):
 
 def test_private_data_is_replaced(staged):
     before, after = (texts(x) for x in staged[2])
-    kinds = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
-    changed = 0
-    for i, t in before.items():
-        out, at = "", 0
-        for s, k, e in brute_spans(t):
+    kinds = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]"]
+    ids = sorted(before)
+    terms = brute_terms([before[i] or "" for i in ids])
+    changed = found = 0
+    for i, more in zip(ids, terms):
+        t, out, at = before[i], "", 0
+        for s, k, e in sorted(brute_spans(t) + [(s, 4, e) for s, e in more]):
             if s >= at:
                 out, at = out + t[at:s] + kinds[k], e
             else:
                 at = max(at, e)
         out += t[at:]
         changed += out != t
+        found += len(more)
         assert after[i] == out
-    assert changed
+    assert changed and found
 
 
 def test_mix_repeats_and_drops(staged):
+    """Each part of at least half a document stands once, in the order of its slot."""
     before, after = staged[3]
-    taken = {r.doc_id: -(-r.taken // r.size) if r.taken else 0 for r in mixing.mix(before).collect()}
-    assert sum(taken.values()) == after.count()
-    times = {}
-    for r in after.collect():
-        times[r.doc_id] = times.get(r.doc_id, 0) + 1
-    assert times == {i: n for i, n in taken.items() if n}
+    parts = [(p.slot, x.doc_id) for x in mixing.mix(before).collect() for p in x.parts or [] if 2 * p.words >= x.size]
+    assert [x.doc_id for x in after.collect()] == [i for _, i in sorted(parts)]
+    assert len({i for _, i in parts}) < before.count() < len(parts)
 
 
 def test_encoding(staged):
@@ -99,3 +100,21 @@ def test_rows_without_an_id_and_repeats(spark):
     clean = corpus_pipeline.sanitised(spark, left, SF)
     assert not any(re.search("a1@b", r.text or "") for r in clean.collect()) and clean.count() == 3
     assert corpus_pipeline.mixed(spark, clean, SF).filter("text is null").count() == 0
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, rid long, sig long, size long, key string, r int, text_md5 string"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_on_nothing_and_on_odd_rows(spark, name):
+    """An empty table, clashing extra columns, nulls, empty texts and repeated rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = [(1, "a few words of a text here", "en", "s"), (1, "a few words of a text here", "en", "s"), (2, None, None, None), (3, "", "en", "s"), (None, "another text without an id a1@b.co", "en", "s"), (4, "x " * 40_000, "de", "t")]
+    df = spark.createDataFrame([(i, t, lang, s, 1, 7, 7, 7, "k", 7, "m") for i, t, lang, s in odd], CLASHING)
+    assert stage(spark, df.limit(0), SF).count() == 0
+    out = stage(spark, df, SF)
+    if name != "sentencepiece":
+        assert out.columns == corpus_pipeline.COLUMNS
+    want = {"quality": None, "near_duplicates": 5, "private_data": 6, "mixing": None, "sentencepiece": 6}[name]
+    n = out.count()
+    assert n == want if want else n > 0
