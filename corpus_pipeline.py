@@ -6,13 +6,12 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineagrid.llm.common import table
+from lineagrid.llm.common import folder, table
 from lineagrid.llm.mixing import mix
 from lineagrid.llm.near_duplicates import near_duplicates
 from lineagrid.llm.private_data import all_spans, find_private, sanitise
@@ -57,10 +56,18 @@ def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, whole; one that the schedule goes through twice stands twice, one that it never reaches is gone."""
-    times = F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("times")
-    taken = mix(docs).filter("taken > 0").groupBy("doc_id", "text_md5").agg(times)
-    return _joined(docs, taken, "inner").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("i")).drop("i")
+    """Documents of the mix, in the order of the slots in which they begin; one that the schedule goes through twice stands twice.
+
+    A document that the end of its source's target cuts stays whole if at least half of it is taken, so that a source misses its
+    target by half a document at most; one of which nothing is taken, as of a null or empty text, is gone. Rows equal in id and text stand as often as the mix takes them.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_md5", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).alias("key")
+    parts = mix(docs).select(key, "size", F.explode("parts").alias("p")).filter(2 * F.col("p.words") >= F.col("size"))
+    taken = parts.groupBy("key").agg(F.collect_list("p.slot").alias("slots"))  # a slot a copy and pass
+    once = F.row_number().over(Window.partitionBy("key").orderBy("lang"))
+    rows = _md5(docs).select(*COLUMNS, key).withColumn("r", once).filter("r = 1")
+    mix_ = rows.join(taken, "key").select(*COLUMNS, F.explode("slots").alias("slot"))
+    return mix_.repartitionByRange("slot").sortWithinPartitions("slot", "doc_id").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,12 +83,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; what lies between them is written to the shared checkpoint folder."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}"
+            path = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
