@@ -475,7 +475,7 @@ def test_quality_draw(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)] + [(901, 0, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
     scored = quality.resample(d, labels, k=10**6).cache()
     order = sorted(scored.collect(), key=lambda x: (-x.score, x.doc_id is None, x.doc_id or 0, x.rid))
-    assert len(order) == len(data) and abs(next(x for x in order if x.doc_id == 900).log_weight) < 200
+    assert len(order) == len(data) and abs(next(x for x in order if x.doc_id == 900).log_weight) < 1000
     for k in (0, 1, 57, 120, 252):
         for few in (1, 10, 10_000):
             assert {x.rid for x in quality._keep_top(scored, k, bins=4, few=few).collect()} == {x.rid for x in order[:k]}
