@@ -135,9 +135,21 @@ _KINDS = [
 ]
 # fixed values: table functions that leave column names alone
 KEEPS_NAMES = [
-    "Table.SelectColumns", "Table.RemoveColumns", "Table.ReorderColumns", "Table.SelectRows", "Table.Distinct", "Table.FirstN", "Table.Skip", "Table.Sort", "Table.Buffer", "Table.TransformColumnTypes",
-    "Table.TransformColumns", "Table.ReplaceValue", "Table.ReplaceErrorValues", "Table.FillDown", "Table.FillUp", "Table.AddColumn", "Table.AddIndexColumn", "Table.DuplicateColumn", "Table.NestedJoin", "Table.RemoveRowsWithErrors",
+    # row operations
+    "Table.SelectRows", "Table.SelectRowsWithErrors", "Table.RemoveRowsWithErrors", "Table.FindText", "Table.FirstN", "Table.LastN", "Table.Skip", "Table.Range", "Table.AlternateRows", "Table.Repeat",
+    "Table.RemoveFirstN", "Table.RemoveLastN", "Table.RemoveRows", "Table.ReverseRows", "Table.InsertRows", "Table.ReplaceRows",
+    # membership and order
+    "Table.Distinct", "Table.RemoveMatchingRows", "Table.ReplaceMatchingRows", "Table.Sort", "Table.MinN", "Table.MaxN",
+    # columns that keep their names
+    "Table.SelectColumns", "Table.RemoveColumns", "Table.ReorderColumns",
+    # renames that are stated, and read
+    "Table.RenameColumns", "Table.ExpandTableColumn", "Table.NestedJoin",
+    # values
+    "Table.ReplaceValue", "Table.ReplaceErrorValues", "Table.FillDown", "Table.FillUp", "Table.TransformColumns", "Table.TransformColumnTypes", "Table.AddColumn",
+    # evaluation, and the query itself
+    "Table.Buffer", "Table.StopFolding", "Value.NativeQuery",
 ]
+_NAME = r'#"[^"]*"|[A-Za-z_][A-Za-z0-9_]*'
 
 
 def steps(m: Column) -> Column:
@@ -157,12 +169,23 @@ def step_kind(expression: Column) -> Column:
 
 
 def affects_names(expression: Column) -> Column:
-    """Whether a step may rename columns: true for every function that is not known to keep names, and for either arm of a conditional."""
-    fn = F.regexp_extract(expression, r"^([A-Za-z.]+)\s*\(", 1)
-    arms = F.flatten(F.array(_all(expression, r"\bthen\s+([A-Za-z.]+)\s*\(", 1), _all(expression, r"\belse\s+([A-Za-z.]+)\s*\(", 1)))
-    keeps = fn.isin(KEEPS_NAMES) & ~expression.contains("MissingField.UseNull")
-    simple = F.when(step_kind(expression).isin("Source", "Navigation"), False).otherwise(~keeps)
-    return F.when(expression.rlike(r"^if\b"), (F.size(arms) == 0) | F.exists(arms, lambda a: ~a.isin(KEEPS_NAMES))).otherwise(simple)
+    """Whether a step may rename columns: true for every function that is not known to keep names, and for a conditional if either arm may.
+
+    A bare reference, a source and a navigation rename nothing; MissingField.UseNull makes columns up and counts as renaming.
+    """
+    fn = F.regexp_extract(expression, r"^([A-Za-z_][A-Za-z0-9_.]*)\s*\(", 1)
+    # an arm is a call, kept with its bracket, or a reference; a nested conditional shows its own arms
+    arms = F.filter(_all(expression, r"\b(?:then|else)\s+((?:" + _NAME + r")(?:\.[A-Za-z0-9_.]+)?\s*\(?)", 1), lambda a: ~a.rlike(r"^if\b"))
+    call = lambda a: F.regexp_extract(a, r"^([A-Za-z_][A-Za-z0-9_.]*)\s*\($", 1)
+    creates = expression.contains("MissingField.UseNull")
+    of_arm = F.exists(arms, lambda a: a.endswith("(") & ~call(a).isin(KEEPS_NAMES))
+    simple = F.when(step_kind(expression).isin("Source", "Navigation"), False).otherwise(~fn.isin(KEEPS_NAMES) | creates)
+    return F.when(expression.rlike(r"^if\b"), (F.size(arms) == 0) | of_arm | creates).otherwise(simple)
+
+
+def dangling(expression: Column, names: Column) -> Column:
+    """Whether a step merely names something that is no step of its query."""
+    return expression.rlike("^(?:" + _NAME + ")$") & ~F.array_contains(names, F.regexp_replace(expression, r'^#"(.*)"$', "$1"))
 
 
 def sql_tables(sql: Column) -> Column:

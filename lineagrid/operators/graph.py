@@ -1,11 +1,14 @@
 """Reachability over typed edges, for all projects at once.
 
 An edge (source, target) says that source depends on target: upstream follows source to target. All loops are frontier joins
-on (project, snapshot, node); each round is materialised, visited nodes never return, so cycles end by themselves.
+on (project, snapshot, node); each round is materialised, visited nodes never return, so cycles end by themselves and a walk goes on
+until nothing new is found, however deep. Only a caller's own max_depth ends it earlier.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,17 @@ def steps(edges: DataFrame, direction: str, edge_types: list[str] | None = None)
     return edges.select(*PK, F.col(a).alias("from"), F.col(b).alias("to")).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, direction: str = "upstream", max_depth: int = 64, edge_types: list[str] | None = None, stop: DataFrame | None = None) -> DataFrame:
+def _rounds(max_depth: int | None):
+    return count(1) if max_depth is None else range(1, max_depth + 1)
+
+
+def _with(seen: DataFrame, more: DataFrame, depth: int) -> DataFrame:
+    """seen and a round's rows; a table of its own every 16 rounds, so that the plan of a deep walk stays short."""
+    both = seen.unionByName(more)
+    return cut(both) if depth % 16 == 0 else both
+
+
+def closure(edges: DataFrame, seeds: DataFrame, direction: str = "upstream", max_depth: int | None = None, edge_types: list[str] | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(pk, seed, node, depth): nodes that each seed reaches, with the least number of steps; the seed itself never.
 
     seeds: (pk, seed). stop: (pk, node) nodes that are reached but not walked on from.
@@ -28,33 +41,32 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "upstream", max
     walk = cut(steps(edges, direction, edge_types))
     start = seeds.select(*PK, "seed").distinct()
     seen = cut(start.select(*PK, "seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
-    frontier, parts = seen, []
-    for depth in range(1, max_depth + 1):
+    frontier = seen
+    for depth in _rounds(max_depth):
         nxt = frontier.select(*PK, "seed", F.col("node").alias("from")).join(walk, [*PK, "from"]).select(*PK, "seed", F.col("to").alias("node")).distinct()
         nxt = cut(nxt.join(seen, [*PK, "seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if nxt.isEmpty():
             break
-        parts.append(nxt)
-        seen = seen.unionByName(nxt)
+        seen = _with(seen, nxt, depth)
         frontier = nxt if stop is None else nxt.join(stop.select(*PK, "node").distinct(), [*PK, "node"], "left_anti")
     return seen.filter("depth > 0").select(*PK, "seed", "node", "depth")
 
 
-def reached(edges: DataFrame, start: DataFrame, direction: str = "upstream", max_depth: int = 64, edge_types: list[str] | None = None) -> DataFrame:
+def reached(edges: DataFrame, start: DataFrame, direction: str = "upstream", max_depth: int | None = None, edge_types: list[str] | None = None) -> DataFrame:
     """(pk, node, depth): nodes that any start node of a project reaches, the start included with depth 0; one walk for all seeds."""
     walk = cut(steps(edges, direction, edge_types))
     seen = cut(start.select(*PK, "node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in _rounds(max_depth):
         nxt = frontier.select(*PK, F.col("node").alias("from")).join(walk, [*PK, "from"]).select(*PK, F.col("to").alias("node")).distinct()
         frontier = cut(nxt.join(seen, [*PK, "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = _with(seen, frontier, depth)
     return seen
 
 
-def depth_map(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def depth_map(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(pk, seed, node, depth, direction): self, upstream or downstream; a node that lies both ways counts as downstream."""
     up = closure(edges, seeds, "upstream", max_depth).withColumn("direction", F.lit("upstream"))
     down = closure(edges, seeds, "downstream", max_depth).withColumn("direction", F.lit("downstream"))
@@ -72,7 +84,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return up.unionByName(down).groupBy(*PK, "node").agg(sets("u").alias("upstream"), sets("d").alias("downstream"))
 
 
-def subgraph(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_depth: int = 64) -> DataFrame:
+def subgraph(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_depth: int | None = None) -> DataFrame:
     """(pk, seed, source, target, type): edges between members of each seed's closure, the seed included."""
     ways = ["upstream", "downstream"] if direction == "both" else [direction]
     member = seeds.select(*PK, "seed", F.col("seed").alias("node"))
@@ -84,7 +96,7 @@ def subgraph(edges: DataFrame, seeds: DataFrame, direction: str = "both", max_de
     return out.join(member.withColumnRenamed("node", "target"), [*PK, "seed", "target"], "left_semi").select(*PK, "seed", *cols).distinct()
 
 
-def impact_report(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def impact_report(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(pk, seed, direction, type, n, names): what each seed depends on and what depends on it, by node type."""
     parts = [closure(edges, seeds, way, max_depth).withColumn("direction", F.lit(way)) for way in ("upstream", "downstream")]
     found = parts[0].unionByName(parts[1]).join(nodes.select(*PK, F.col("id").alias("node"), "type", "name"), [*PK, "node"])
@@ -112,6 +124,18 @@ def chains(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
     return out
 
 
+def chain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(pk, seed, parent, node, is_cycle): the whole chain under each seed as the edges of its closure, each once however many paths
+    run over it; is_cycle where the node leads back to the parent."""
+    found = cut(closure(edges, seeds).select(*PK, "seed", "node"))
+    walk = steps(edges, "upstream").select(*PK, F.col("from").alias("parent"), F.col("to").alias("node"))
+    member = seeds.select(*PK, "seed", F.col("seed").alias("parent")).distinct().unionByName(found.withColumnRenamed("node", "parent"))
+    # who leads back: the closure of the nodes themselves
+    ends = closure(edges, walk.select(*PK, F.col("node").alias("seed")).distinct()).select(*PK, F.col("seed").alias("node"), F.col("node").alias("parent"), F.lit(True).alias("back"))
+    marked = walk.join(ends, [*PK, "node", "parent"], "left").select(*PK, "parent", "node", (F.coalesce("back", F.lit(False)) | (F.col("parent") == F.col("node"))).alias("is_cycle"))
+    return member.join(marked, [*PK, "parent"]).select(*PK, "seed", "parent", "node", "is_cycle")
+
+
 def direct_users(edges: DataFrame, of: str) -> DataFrame:
     """(pk, node, n): number of distinct sources that point at a node by edges of a type."""
     return edges.filter(F.col("type") == of).groupBy(*PK, F.col("target").alias("node")).agg(F.countDistinct("source").alias("n"))

@@ -69,12 +69,13 @@ def visibility(visuals: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def overlaps(visuals: DataFrame, share: float = 0.5, first: int | None = None, cell: int = 320) -> DataFrame:
-    """(pk, page_id, visual_id, other): visuals of a page that cover each other by more than a share of the smaller one.
+    """(pk, page_id, visual_id, other): visuals of a page that cover each other by more than a share of the smaller one; containers (by ``role``) are left out.
 
     Rectangles are dealt to grid cells, so that a crowded page does not meet itself whole; a pair counts in the cell of its
     common corner only.
     """
-    v = visuals.select(*PK, "page_id", "visual_id", "x", "y", "width", "height")
+    v = visuals.filter("role is null or role <> 'container'") if "role" in visuals.columns else visuals
+    v = v.select(*PK, "page_id", "visual_id", "x", "y", "width", "height")
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(a) + F.col(b)) / cell)))
     g = v.withColumn("cx", cells("x", "width")).withColumn("cy", cells("y", "height"))
     a = g.select(*PK, "page_id", "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in ("visual_id", "x", "y", "width", "height")))

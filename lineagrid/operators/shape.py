@@ -48,10 +48,10 @@ def neighbourhood(rels: DataFrame) -> DataFrame:
 
 
 def er_edges(rels: DataFrame, tables: DataFrame, max_tables: int = 40) -> DataFrame:
-    """(pk, from_table, to_table, label): edges of a drawing, once each; none for models with more connected tables than max_tables."""
+    """(pk, from_table, to_table, from_column, label): edges of a drawing, once each pair of tables and column, labelled with the column; none for models with more connected tables than max_tables."""
     ok = known_relationships(rels, tables).filter(~F.col("dangling"))
-    label = F.concat_ws(" ", F.when(~F.col("is_active"), "(inactive)"), F.when(F.col("cross_filter") == "both", "(both)"))
-    edges = ok.select(*PK, "from_table", "to_table", label.alias("label")).groupBy(*PK, "from_table", "to_table").agg(F.min("label").alias("label"))
+    label = F.concat_ws(" ", "from_column", F.when(~F.col("is_active"), "(inactive)").when(F.col("cross_filter") == "both", "(both)"))
+    edges = ok.select(*PK, "from_table", "to_table", "from_column", label.alias("label")).groupBy(*PK, "from_table", "to_table", "from_column").agg(F.min("label").alias("label"))
     drawn = table_shape(tables, rels).filter("role <> 'standalone'").groupBy(*PK).agg(F.count("*").alias("n")).filter(F.col("n") <= max_tables)
     return edges.join(drawn.select(*PK), PK, "left_semi")
 

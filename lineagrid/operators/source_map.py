@@ -8,22 +8,21 @@ from pyspark.sql import functions as F
 from .common import PK, cut
 
 
-def resolve_delegates(bodies: DataFrame, expressions: DataFrame, max_rounds: int = 10) -> DataFrame:
+def resolve_delegates(bodies: DataFrame, expressions: DataFrame) -> DataFrame:
     """bodies (pk, table_name, delegate, body) with ``source_body``: the body at the end of the chain of shared expressions.
 
-    expressions: (pk, name, delegate, body); delegate names the expression that a body merely passes on, else null. A chain that runs into a circle or past
-    max_rounds has no source body.
+    expressions: (pk, name, delegate, body); delegate names the expression that a body merely passes on, else null. A chain that runs into a circle has
+    no source body; one of any length is followed to its end.
     """
     e = expressions.select(*PK, F.col("name").alias("delegate"), F.col("delegate").alias("next"), F.col("body").alias("next_body"))
     open_ = bodies.select(*PK, "table_name", "delegate", "body")
     done = [open_.filter("delegate is null").select(*PK, "table_name", F.col("body").alias("source_body"))]
-    todo = cut(open_.filter("delegate is not null").select(*PK, "table_name", "delegate"))
-    for _ in range(max_rounds):
-        if todo.isEmpty():
-            break
-        step = cut(todo.join(e, [*PK, "delegate"]).select(*PK, "table_name", F.col("next").alias("delegate"), F.col("next_body").alias("source_body")))
+    todo = cut(open_.filter("delegate is not null").select(*PK, "table_name", "delegate", F.array("delegate").alias("visited")))
+    while not todo.isEmpty():
+        met = todo.join(e, [*PK, "delegate"]).filter(F.col("next").isNull() | ~F.array_contains("visited", F.col("next")))
+        step = cut(met.select(*PK, "table_name", F.col("next").alias("delegate"), F.col("next_body").alias("source_body"), F.concat("visited", F.array("next")).alias("visited")))
         done.append(step.filter("delegate is null").select(*PK, "table_name", "source_body"))
-        todo = step.filter("delegate is not null").select(*PK, "table_name", "delegate")
+        todo = step.filter("delegate is not null").select(*PK, "table_name", "delegate", "visited")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -95,7 +95,7 @@ def g7_orphans(spark, sf_dir):
 
 
 def g8_chains(spark, sf_dir):
-    return g.chains(_edges(spark, sf_dir, _M), _measure_seeds(spark, sf_dir), 3).select("project_id", "seed", "node", "depth", F.array_join("path", ">").alias("path"), "is_cycle")
+    return g.chain_edges(_edges(spark, sf_dir, _M), _measure_seeds(spark, sf_dir)).select("project_id", "seed", "parent", "node", "is_cycle")
 
 
 def _shown(spark, sf_dir):
@@ -232,10 +232,9 @@ SELECT r.project_id, r.seed, 'downstream' AS direction, n.type, count(*) AS n FR
     "g7_orphans": """WITH RECURSIVE e AS (SELECT DISTINCT project_id, source, target FROM {b_edge}),
 r AS (SELECT project_id, id AS node FROM {b_node} WHERE type = 'visual' UNION SELECT r.project_id, e.target FROM r JOIN e ON e.project_id = r.project_id AND e.source = r.node)
 SELECT n.project_id, n.id, n.name FROM {b_node} n WHERE n.type = 'measure' AND NOT EXISTS (SELECT 1 FROM r WHERE r.project_id = n.project_id AND r.node = n.id)""",
-    "g8_chains": """WITH RECURSIVE e AS (SELECT DISTINCT project_id, source, target FROM {b_mm}),
-p AS (SELECT project_id, id AS seed, id AS node, 0 AS depth, [id] AS path, false AS is_cycle FROM {b_node} WHERE type = 'measure'
-UNION ALL SELECT p.project_id, p.seed, e.target, p.depth + 1, list_append(p.path, e.target), list_contains(p.path, e.target) FROM p JOIN e ON e.project_id = p.project_id AND e.source = p.node WHERE p.depth < 3 AND NOT p.is_cycle)
-SELECT project_id, seed, node, depth, array_to_string(path, '>') AS path, is_cycle FROM p""",
+    "g8_chains": _RM + """, m AS (SELECT project_id, id AS seed, id AS parent FROM {b_node} WHERE type = 'measure' UNION ALL SELECT project_id, seed, node FROM c)
+SELECT m.project_id, m.seed, m.parent, e.target AS node, e.source = e.target OR EXISTS (SELECT 1 FROM c WHERE c.project_id = m.project_id AND c.seed = e.target AND c.node = e.source) AS is_cycle
+FROM m JOIN e ON e.project_id = m.project_id AND e.source = m.parent""",
     "g9_reached": """WITH RECURSIVE e AS (SELECT DISTINCT project_id, source, target FROM {b_mm}),
 r AS (SELECT DISTINCT project_id, 'measure::' || table_name || '.' || name AS node FROM {b_shown} UNION SELECT r.project_id, e.target FROM r JOIN e ON e.project_id = r.project_id AND e.source = r.node)
 SELECT n.project_id, n.id AS measure, EXISTS (SELECT 1 FROM r WHERE r.project_id = n.project_id AND r.node = n.id) AS is_reached FROM {b_node} n WHERE n.type = 'measure'""",

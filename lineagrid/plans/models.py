@@ -178,7 +178,8 @@ def j17_placeholders(spark, sf):
 
 
 def j18_overlaps(spark, sf):
-    return r.overlaps(view(spark, sf, "b_visual"), first=8).select("project_id", "page_id", "visual_id", "other", "no")
+    v = view(spark, sf, "b_visual").withColumn("role", F.when(F.col("vkey") % 13 == 0, "container").otherwise("data"))
+    return r.overlaps(v, first=8).select("project_id", "page_id", "visual_id", "other", "no")
 
 
 def w5_reading_order(spark, sf):
@@ -223,7 +224,8 @@ def g16_neighbourhood(spark, sf):
 
 
 def s8_er_edges(spark, sf):
-    return sh.er_edges(view(spark, sf, "b_rel"), view(spark, sf, "b_table")).drop("snapshot_id")
+    rels = view(spark, sf, "b_rel").withColumn("from_column", F.when(F.col("cross_filter") == "both", "k2").otherwise("k1"))
+    return sh.er_edges(rels, view(spark, sf, "b_table")).drop("snapshot_id")
 
 
 def w4_table_order(spark, sf):
@@ -308,7 +310,7 @@ _RAW = {
     "j16_visibility": f"WITH {_SAID} SELECT * FROM vis",
     "j17_placeholders": f"WITH {_FLD} SELECT DISTINCT project_id, 'measure' AS kind, table_name, name FROM fl WHERE table_name = '?'",
     "j18_overlaps": """WITH p AS (SELECT a.project_id, a.page_id, a.visual_id, b.visual_id AS other FROM {b_visual} a JOIN {b_visual} b ON b.project_id = a.project_id AND b.page_id = a.page_id AND b.visual_id <> a.visual_id
-WHERE least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) AND least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y) AND (least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * (least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.5 * least(a.width * a.height, b.width * b.height)),
+WHERE a.vkey % 13 <> 0 AND b.vkey % 13 <> 0 AND least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) AND least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y) AND (least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * (least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.5 * least(a.width * a.height, b.width * b.height)),
 n AS (SELECT *, row_number() OVER (PARTITION BY project_id, page_id, visual_id ORDER BY other) AS no FROM p) SELECT * FROM n WHERE no <= 8""",
     "w5_reading_order": "SELECT project_id, page_id, visual_id, row_number() OVER (PARTITION BY project_id, page_id ORDER BY floor(y / 40), x, visual_id) AS no FROM {b_visual}",
     "f3_search_visuals": f"WITH {_FLD}, f AS (SELECT project_id, page_id, visual_id, list_sort(list(DISTINCT name)) AS names FROM fl GROUP BY ALL) SELECT v.project_id, v.visual_id, coalesce(array_to_string(names[1:2], ','), '') AS first_fields, greatest(0, coalesce(len(names), 0) - 2) AS more FROM {{b_visual}} v LEFT JOIN f USING (project_id, page_id, visual_id) WHERE lower(v.title) LIKE '%urgent%' OR len(list_filter(coalesce(names, []), lambda n: lower(n) LIKE '%m1%')) > 0",
@@ -318,7 +320,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY project_id, page_id, visual_id O
     "a3_roles": f"WITH {_SHAPE} SELECT * FROM ts",
     "a3_shape_counts": f"WITH {_SHAPE}, c AS (SELECT project_id, count_if(NOT dangling AND cross_filter = 'both') AS bidirectional, count_if(NOT dangling AND NOT is_active) AS inactive, count_if(dangling) AS dangling FROM k GROUP BY ALL) SELECT project_id, count_if(role = 'fact') AS fact, count_if(role = 'bridge') AS bridge, count_if(role = 'dimension') AS dimension, count_if(role = 'standalone') AS standalone, any_value(bidirectional) AS bidirectional, any_value(inactive) AS inactive, any_value(dangling) AS dangling FROM ts JOIN c USING (project_id) GROUP BY project_id",
     "g16_neighbourhood": "WITH x AS (SELECT DISTINCT project_id, from_table AS table_name, 'out' AS direction, to_table AS other FROM {b_rel} UNION SELECT DISTINCT project_id, to_table, 'in', from_table FROM {b_rel}) SELECT *, row_number() OVER (PARTITION BY project_id, table_name ORDER BY CASE direction WHEN 'out' THEN 0 ELSE 1 END, other) AS no FROM x",
-    "s8_er_edges": f"WITH {_SHAPE}, d AS (SELECT project_id FROM ts WHERE role <> 'standalone' GROUP BY project_id HAVING count(*) <= 40) SELECT project_id, from_table, to_table, min(CASE WHEN is_active THEN CASE WHEN cross_filter = 'both' THEN '(both)' ELSE '' END ELSE '(inactive)' || CASE WHEN cross_filter = 'both' THEN ' (both)' ELSE '' END END) AS label FROM k WHERE NOT dangling AND project_id IN (SELECT project_id FROM d) GROUP BY ALL",
+    "s8_er_edges": f"WITH {_SHAPE}, d AS (SELECT project_id FROM ts WHERE role <> 'standalone' GROUP BY project_id HAVING count(*) <= 40) SELECT project_id, from_table, to_table, CASE WHEN cross_filter = 'both' THEN 'k2' ELSE 'k1' END AS from_column, min(CASE WHEN cross_filter = 'both' THEN 'k2' ELSE 'k1' END || CASE WHEN NOT is_active THEN ' (inactive)' WHEN cross_filter = 'both' THEN ' (both)' ELSE '' END) AS label FROM k WHERE NOT dangling AND project_id IN (SELECT project_id FROM d) GROUP BY ALL",
     "w4_table_order": f"WITH {_SHAPE} SELECT project_id, table_name, row_number() OVER (PARTITION BY project_id ORDER BY CASE role WHEN 'fact' THEN 1 WHEN 'bridge' THEN 2 WHEN 'dimension' THEN 3 ELSE 4 END, degree DESC, table_name) AS no FROM ts",
     "f4_filter_tables": f"WITH {_SHAPE} SELECT project_id, table_name, degree FROM ts WHERE role = 'fact' AND lower(table_name) LIKE '%t1%'",
     "a4_counts": "SELECT coalesce(c.project_id, m.project_id) AS project_id, coalesce(c.table_name, m.table_name) AS table_name, coalesce(c.n, 0) AS n_columns, coalesce(m.n, 0) AS n_measures FROM (SELECT project_id, table_name, count(*) AS n FROM {b_column} GROUP BY ALL) c FULL JOIN (SELECT project_id, table_name, count(*) AS n FROM {b_measure} GROUP BY ALL) m ON m.project_id = c.project_id AND m.table_name = c.table_name",

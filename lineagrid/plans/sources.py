@@ -27,11 +27,12 @@ def _models(spark, sf):
         .when(by == 3, c('Web.Contents("https://', n, ".example/", k, '")')).when(by == 4, c('Excel.Workbook(File.Contents("C:\\data\\', k, '.xlsx"))'))
         .otherwise(c('Value.NativeQuery(Sql.Database("srv-', n, '", "db', k, '"), "SELECT t.a, t.b AS x', k, ", f(t.c, 1) AS y FROM dbo.tab_", k, ' t JOIN [dbo].[other] o ON o.k = t.k", null)'))
     )
-    nav = F.when(by <= 2, c('Source{[Schema="dbo",Item="tab_', k, '"]}[Data]')).otherwise(F.lit("Source"))
+    nav = F.when(by <= 2, c('Source{[Schema="dbo",Item="tab_', k, '"]}[Data]')).when(F.col("k") % 9 == 0, F.lit("Elsewhere")).otherwise(F.lit("Source"))
+    missing = F.when(F.col("k") % 5 == 0, ", [MissingField = MissingField.UseNull]").otherwise("")
     body = c(
         "let\n  Source = ", conn, ', // old: Sql.Databases("decoy")\n  Nav = ', nav, ',\n  #"Renamed Columns" = Table.RenameColumns(Nav,{{"src_', k, '", "c', k, '"}, {"a b", "b"}}),\n',
         '  Added = Table.AddColumn(#"Renamed Columns", "added', k, '", each "x, y" /* Web.Contents("no") */),\n  Kept = Table.SelectColumns(Added,{"c', k, '", "b", "added', k, '"}),\n',
-        '  Less = Table.RemoveColumns(Kept,{"b"}),\n  Joined = Table.NestedJoin(Less, {"k"}, #"Dim ', k, '", {"k"}, "dim", JoinKind.LeftOuter),\n  Typed = Table.TransformColumnTypes(Joined,{{"c', k, '", type text}})\nin\n  Typed',
+        '  Less = Table.RemoveColumns(Kept,{"b"}),\n  Joined = Table.NestedJoin(Less, {"k"}, #"Dim ', k, '", {"k"}, "dim", JoinKind.LeftOuter),\n  Typed = Table.TransformColumnTypes(Joined,{{"c', k, '", type text}}', missing, ")\nin\n  Typed",
     )
     out = m.withColumn("body", body)
     return out.withColumns({"partition": F.when(F.col("delegated"), c('let Source = #"Shared', k, '" in Source')).otherwise(F.col("body")), "shared": F.when(F.col("delegated"), c("Shared", k))})
@@ -77,8 +78,9 @@ def x13_facts(spark, sf):
 
 
 def _steps(spark, sf):
-    s = _clean(spark, sf).select(*PK, "table_name", F.posexplode(mq.steps(F.col("m"))).alias("step_no", "s"))
-    return s.select(*PK, "table_name", "step_no", "s.name", mq.step_kind(F.col("s.expression")).alias("kind"), mq.affects_names(F.col("s.expression")).alias("affects_names"))
+    s = _clean(spark, sf).select(*PK, "table_name", mq.steps(F.col("m")).alias("all")).select(*PK, "table_name", F.transform("all", lambda x: x["name"]).alias("names"), F.posexplode("all").alias("step_no", "s"))
+    e = F.col("s.expression")
+    return s.select(*PK, "table_name", "step_no", "s.name", mq.step_kind(e).alias("kind"), mq.affects_names(e).alias("affects_names"), mq.dangling(e, F.col("names")).alias("dangling"))
 
 
 def x14_steps(spark, sf):
@@ -236,7 +238,7 @@ def j8_expanded(spark, sf):
 
 
 def j10_name_chain(spark, sf):
-    return sm.name_chain(_steps(spark, sf).withColumn("dangling", F.lit(False)).filter("kind <> 'Rename' or table_name like '%1'").withColumn("affects_names", F.col("affects_names") & (F.col("kind") == "Rename"))).select("project_id", "table_name", "intact")
+    return sm.name_chain(_steps(spark, sf)).select("project_id", "table_name", "intact")
 
 
 def j11_derived(spark, sf):
@@ -271,7 +273,7 @@ _RAW = {
     "x12_navigation": "SELECT project_id, table_name, CASE WHEN connector <= 2 THEN 'dbo' END AS schema, CASE WHEN connector <= 2 THEN 'tab_' || k END AS item FROM {b_m}",
     "x13_facts": "SELECT project_id, table_name, 'src_' || k || '>c' || k || ',a b>b' AS renames, 'c' || k || ',added' || k AS selected, 'added' || k AS added, 'Dim ' || k || '>dim' AS joins FROM {b_m}",
     "x14_steps": "SELECT project_id, table_name, CAST(unnest(range(8)) AS INTEGER) AS step_no, unnest(['Source', 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less', 'Joined', 'Typed']) AS name, unnest(['Source', CASE WHEN connector <= 2 THEN 'Navigation' ELSE 'Source' END, 'Rename', 'AddColumn', 'Projection', 'Projection', 'Join', 'TypeChange']) AS kind FROM {b_m}",
-    "x15_affects_names": "SELECT project_id, table_name, 'Renamed Columns' AS name FROM {b_m}",
+    "x15_affects_names": "SELECT project_id, table_name, 'Typed' AS name FROM {b_m} WHERE k % 5 = 0",
     "x16_sql_tables": "SELECT project_id, table_name, 'dbo.tab_' || k || ',dbo.other' AS tables FROM {b_m} WHERE connector = 5",
     "x17_select_list": "SELECT project_id, table_name, 'a,x' || k || ',y' AS names FROM {b_m} WHERE connector = 5",
     "x18_gateway": f"WITH {_SRC} SELECT project_id, table_name, type, connector NOT IN (1, 3) AS gateway FROM src",
@@ -290,7 +292,7 @@ _RAW = {
     "j9_ladder": None,
     "s6_source_rows": None,
     "j8_expanded": "SELECT project_id, table_name, 'dim.name' || k AS new_name, 'name' || k AS source_name, CASE WHEN k % 2 = 0 THEN 'dbo.dim_' || k END AS path FROM {b_m}",
-    "j10_name_chain": "SELECT project_id, table_name, NOT table_name LIKE '%1' AS intact FROM {b_m}",
+    "j10_name_chain": "SELECT project_id, table_name, k % 5 <> 0 AND NOT (connector > 2 AND k % 9 = 0) AS intact FROM {b_m}",
     "j11_derived": None,
     "j13_column_sources": "SELECT project_id, table_name, name, CASE WHEN size % 3 = 0 THEN source_column ELSE name END AS source_column, 'dbo.' || table_name || '.' || CASE WHEN size % 3 = 0 THEN source_column ELSE name END AS path FROM {b_column}",
 }

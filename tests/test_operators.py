@@ -131,3 +131,35 @@ def test_files(spark, tmp_path):
 @pytest.mark.parametrize(("text", "want"), [('"a" meta [x]', True), ("12.5", True), ("let a = 1 in a", False), ("null", True)])
 def test_parameter_like(spark, text, want):
     assert one(spark, text, diff.parameter_like) is want
+
+
+def test_walks_have_no_depth_of_their_own(spark):
+    """A chain of 70 measures is reached whole; one of 12 shared expressions is followed to its end, and a circle has none."""
+    from lineagrid.operators import graph, source_map
+
+    edges = spark.createDataFrame([("p", "s", f"m{i}", f"m{i + 1}", "measure_to_measure") for i in range(70)], "project_id string, snapshot_id string, source string, target string, type string")
+    hit = graph.reached(edges, spark.createDataFrame([("p", "s", "m0")], "project_id string, snapshot_id string, node string"))
+    assert {r.node: r.depth for r in hit.collect()} == {f"m{i}": i for i in range(71)}
+    bodies = spark.createDataFrame([("p", "s", "T", "e0", "e0"), ("p", "s", "U", None, "own"), ("p", "s", "V", "c0", "c0")], "project_id string, snapshot_id string, table_name string, delegate string, body string")
+    chain = [("p", "s", f"e{i}", f"e{i + 1}" if i < 11 else None, f"body{i}") for i in range(12)] + [("p", "s", "c0", "c1", "x"), ("p", "s", "c1", "c0", "y")]
+    found = source_map.resolve_delegates(bodies, spark.createDataFrame(chain, "project_id string, snapshot_id string, name string, delegate string, body string"))
+    assert {r.table_name: r.source_body for r in found.collect()} == {"T": "body11", "U": "own", "V": None}
+
+
+def test_chain_edges_mark_cycles(spark):
+    from lineagrid.operators import graph
+
+    edges = spark.createDataFrame([("p", "s", a, b, "measure_to_measure") for a, b in ["ab", "ac", "bd", "cd", "de", "ed", "ff"]], "project_id string, snapshot_id string, source string, target string, type string")
+    got = graph.chain_edges(edges, spark.createDataFrame([("p", "s", x) for x in "adf"], "project_id string, snapshot_id string, seed string")).collect()
+    assert sorted((r.seed, r.parent + r.node, r.is_cycle) for r in got) == [("a", "ab", False), ("a", "ac", False), ("a", "bd", False), ("a", "cd", False), ("a", "de", True), ("a", "ed", True), ("d", "de", True), ("d", "ed", True), ("f", "ff", True)]
+
+
+def test_steps_that_may_rename(spark):
+    from lineagrid.functions import mquery
+
+    texts = {
+        "Table.LastN(X, 3)": False, "Table.RenameColumns(X, {})": False, "Table.PromoteHeaders(X)": True, "Table.AddIndexColumn(X, \"i\")": True, "X": False, '#"Some Step"': False,
+        'if a = 1 then #"Filtered" else Base': False, "if a then Table.SelectRows(X, each true) else Table.Pivot(X)": True, "Table.TransformColumnTypes(X, {}, [MissingField = MissingField.UseNull])": True,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.x for r in df.select("t", mquery.affects_names(F.col("t")).alias("x")).collect()} == texts
