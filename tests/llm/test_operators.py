@@ -354,10 +354,15 @@ def test_disclosing_terms_anywhere_in_the_document(spark):
         assert sorted((x.doc_id, [(y.s, y.e) for y in x.terms]) for x in got) == sorted((i, sorted(w)) for (i, _, _), w in zip(data, want))
 
 
+def fold(w):
+    """Terms are compared in lower case, beyond ASCII too; two signs that would turn into ASCII letters stay outside."""
+    return w.replace("\u212a", "\u00ff").replace("\u0130", "\u00ff").lower()
+
+
 def brute_terms(texts, support=1, threshold=0.9):
     """Places of the disclosing terms of each text, by the definition."""
     base = [[(s, e, f"{k}:{t[s:e].lower() if k < 2 else re.sub('[^0-9]', '', t[s:e])}") for s, k, e in brute_spans(t)] for t in texts]
-    words = [{low(w) for w in re.findall(private_data.WORDS, t)} for t in texts]
+    words = [{fold(w) for w in re.findall(private_data.WORDS, t)} for t in texts]
     seen, want = {}, [set() for _ in texts]
     for w in words:
         for t in w:
@@ -371,7 +376,7 @@ def brute_terms(texts, support=1, threshold=0.9):
             if len(t) < 3 or t.isdigit() or len({texts[i] for i in te}) < support or math.log2(len(texts) * len(te) / (seen[t] * len(e))) < threshold * math.log2(len(texts) / len(e)):
                 continue
             for i in te:
-                want[i] |= {(m.start(), m.end()) for m in re.finditer(private_data.WORDS, texts[i]) if low(m[0]) == t and not any(s < m.end() and m.start() < e_ for s, e_, _ in base[i])}
+                want[i] |= {(m.start(), m.end()) for m in re.finditer(private_data.WORDS, texts[i]) if fold(m[0]) == t and not any(s < m.end() and m.start() < e_ for s, e_, _ in base[i])}
     return want
 
 
