@@ -31,6 +31,8 @@ VIEWS = {
       CASE WHEN l_returnflag = 'R' THEN 'both' ELSE 'single' END AS cross_filter, l_linestatus = 'O' AS is_active FROM {lineitem} WHERE l_quantity = 50 AND l_partkey % 10 = 0""",
     "b_table": """SELECT DISTINCT project_id, snapshot_id, 'T' || CAST(n AS STRING) AS name FROM {b_rel} CROSS JOIN (SELECT DISTINCT p_size - 1 AS n FROM {part} WHERE p_size <= 50) t""",
     "b_offer": """SELECT m.project_id, m.snapshot_id, n.n_name AS parameter_table, upper(m.name) AS offered, m.i AS ordinal FROM {b_measure} m JOIN {nation} n ON m.i % 25 = n.n_nationkey""",
+    "b_applied": """SELECT project_id, snapshot_id, page_id, visual_id, 'CG' || CAST(vkey % 5 AS STRING) AS calc_group FROM {b_visual} WHERE NOT is_hidden""",
+    "b_bound": """SELECT v.project_id, v.snapshot_id, v.page_id, v.visual_id, n.n_name AS parameter_table FROM {b_visual} v JOIN {nation} n ON n.n_nationkey = v.vkey % 25 WHERE v.title LIKE '1-%' AND NOT v.is_hidden""",
     "b_mm": """SELECT d.project_id, d.snapshot_id, 'measure::' || a.table_name || '.' || a.name AS source, 'measure::' || b.table_name || '.' || b.name AS target, 'measure_to_measure' AS type
       FROM {b_dep} d JOIN {b_measure} a ON a.project_id = d.project_id AND a.i = d.i JOIN {b_measure} b ON b.project_id = d.project_id AND b.i = d.j""",
     "b_shown": """SELECT DISTINCT f.project_id, f.snapshot_id, f.page_id, f.visual_id, m.table_name, m.name FROM {b_field} f JOIN {b_measure} m ON m.project_id = f.project_id AND m.i = f.i""",

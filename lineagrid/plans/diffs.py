@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff as d
+from . import graphs
 from .bridge import oracle, view
 
 _P = ["project_id"]
@@ -27,7 +28,7 @@ def _plain(key: str, value: str) -> tuple[str, str]:
 
 
 def _measures(spark, sf):
-    return _snapshots(view(spark, sf, "part").select((F.col("p_partkey") % 8).alias("project_id"), "p_partkey", F.col("p_brand").alias("table_name"), F.concat(F.lit("M"), F.col("p_partkey")).alias("name"), "p_name", "p_type", "p_size"), "p_partkey", F.col("p_name"))
+    return _snapshots(view(spark, sf, "part").select((F.col("p_partkey") % 8).alias("project_id"), "p_partkey", F.col("p_brand").alias("table_name"), F.concat(F.lit("M"), F.floor(F.col("p_partkey") / 8)).alias("name"), "p_name", "p_type", "p_size"), "p_partkey", F.col("p_name"))
 
 
 def _out(df, *keys):
@@ -40,7 +41,7 @@ def d1_measures(spark, sf):
 
 
 def d2_calculation_items(spark, sf):
-    b, a = (x.filter("p_size % 5 = 0").withColumnRenamed("p_type", "calc_group") for x in _measures(spark, sf))
+    b, a = (x.withColumn("calc_group", F.concat(F.lit("CG"), F.col("p_size") % 5)) for x in _measures(spark, sf))
     return _out(d.keyed_diff(b, a, ["project_id", "calc_group", "name"], "value", "calculation_item", normalise=True), "calc_group", "name")
 
 
@@ -54,7 +55,7 @@ def d3_columns(spark, sf):
 
 
 def d4_relationships(spark, sf):
-    x = view(spark, sf, "lineitem").filter("l_quantity = 50").groupBy((F.col("l_orderkey") % 8).alias("project_id"), F.concat(F.lit("T"), F.col("l_suppkey"), F.lit(".k->T"), F.col("l_partkey"), F.lit(".k")).alias("name")).agg(F.min("l_orderkey").alias("k"))
+    x = view(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 8).alias("project_id"), F.concat(F.lit("T"), F.col("l_suppkey"), F.lit(".k->T"), F.col("l_partkey"), F.lit(".k")).alias("name")).agg(F.min("l_orderkey").alias("k"))
     b = x.filter("k % 10 <> 0").withColumn("cross_filter", F.lit("single"))
     a = x.filter("k % 10 <> 1").withColumn("cross_filter", F.when(F.col("k") % 7 == 0, "both").otherwise("single"))
     return _out(d.keyed_diff(b, a, ["project_id", "name"], "cross_filter", "relationship"), "name")
@@ -131,10 +132,23 @@ def d10_bookmarks(spark, sf):
     return reduce(DataFrame.unionByName, parts).select(*keys, "what", "type", "before_value", "after_value")
 
 
+# what each detector reports: scope -> (detector, columns that name what changed)
+_DETECTORS = {
+    "page": ("d7_pages", ["page_id"]), "filter": ("d8_filters", ["level", "name"]), "visual": ("d9_visuals", ["page_id", "visual_id"]), "binding": ("d9_bindings", ["page_id", "visual_id"]),
+    "bookmark": ("d10_bookmarks", ["bookmark", "what"]), "measure": ("d1_measures", ["table_name", "name"]), "calculation_item": ("d2_calculation_items", ["calc_group", "name"]),
+    "column": ("d3_columns", ["table_name", "name"]), "relationship": ("d4_relationships", ["name"]), "partition": ("d5_partitions", ["table_name", "name"]), "expression": ("d6_expressions", ["name"]),
+}
+
+
 def _all_changes(spark, sf):
-    b, a = _measures(spark, sf)
-    pages = d7_pages(spark, sf).select("project_id", "type", F.lit("page").alias("scope"))
-    return d.keyed_diff(b, a, ["project_id", "table_name", "name"], "value", "measure", normalise=True).select("project_id", "type", "scope").unionByName(pages)
+    """(project_id, scope, type, target): the changes of every detector."""
+    parts = []
+    for scope, (detector, keys) in _DETECTORS.items():
+        c = globals()[detector](spark, sf)
+        kind = F.col("type") if "type" in c.columns else F.lit("bindings_changed")
+        project = F.concat(F.lit("P"), F.ltrim(F.col("project_id").cast("string"), F.lit("P")))
+        parts.append(c.select(project.alias("project_id"), F.lit(scope).alias("scope"), kind.alias("type"), F.concat_ws(".", *keys).alias("target")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def a7_summary(spark, sf):
@@ -142,12 +156,13 @@ def a7_summary(spark, sf):
 
 
 def d11_changes(spark, sf):
-    """All measure changes with the visuals of the after side that show the measure."""
-    b, a = _measures(spark, sf)
-    ch = d.keyed_diff(b, a, ["project_id", "table_name", "name"], "value", "measure", normalise=True)
-    shown = view(spark, sf, "b_field").select(F.substring("project_id", 2, 9).cast("long").alias("project_id"), (F.col("i") * 8).alias("k"), "visual_id").distinct()
-    impact = shown.groupBy("project_id", F.concat(F.lit("M"), (F.col("k") + F.col("project_id")).cast("string")).alias("name")).agg(F.count("*").alias("n_visuals"))
-    return ch.join(impact, ["project_id", "name"], "left").select("project_id", "name", "type", F.coalesce("n_visuals", F.lit(0)).alias("n_visuals"))
+    """All changes; those of measures and calculation items with the visuals that they reach: shown directly, by a field parameter, under a calculation group."""
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n_visuals")).otherwise(0))
+    by_measure = graphs.g15_change_impact(spark, sf).groupBy("project_id", F.lit("measure").alias("scope"), F.col("seed").alias("node")).agg(of("direct").alias("direct"), of("field_parameter").alias("parameter"), of("calculation_group").alias("grouped"))
+    by_group = view(spark, sf, "b_applied").groupBy("project_id", F.lit("calculation_item").alias("scope"), F.col("calc_group").alias("node")).agg(F.lit(0).alias("direct"), F.lit(0).alias("parameter"), F.count("*").alias("grouped"))
+    node = F.when(F.col("scope") == "measure", F.concat(F.lit("measure::"), "target")).when(F.col("scope") == "calculation_item", F.split_part("target", F.lit("."), F.lit(1)))
+    out = _all_changes(spark, sf).withColumn("node", node).join(by_measure.unionByName(by_group), ["project_id", "scope", "node"], "left")
+    return out.select("project_id", "scope", "type", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(f"n_{c}") for c in ("direct", "parameter", "grouped")))
 
 
 def x21_normalise(spark, sf):
@@ -164,7 +179,7 @@ x AS (SELECT {cols}, CASE WHEN b.{key} IS NULL THEN '{scope}_added' WHEN a.{key}
 FROM b {how} JOIN a ON {on}) SELECT * FROM x WHERE type IS NOT NULL"""
 
 
-_PART = "SELECT p_partkey % 8 AS project_id, p_partkey, p_brand AS table_name, 'M' || p_partkey AS name, p_name, p_type AS calc_group, p_size FROM {part}"
+_PART = "SELECT p_partkey % 8 AS project_id, p_partkey, p_brand AS table_name, 'M' || CAST(floor(p_partkey / 8) AS BIGINT) AS name, p_name, 'CG' || p_size % 5 AS calc_group, p_size FROM {part}"
 _VIS = _diff("SELECT project_id, page_id, visual_id, vkey, is_hidden FROM {b_visual}", "project_id, page_id, visual_id", "vkey", "is_hidden", "CASE WHEN vkey % 7 = 0 THEN NOT is_hidden ELSE is_hidden END", "visual")
 _PAGES = _diff("SELECT c_custkey % 8 AS project_id, c_custkey, CAST(c_custkey AS STRING) AS page_id, c_name FROM {customer}", "project_id, page_id", "c_custkey", "c_name", "c_name", "page")
 _MEASURES = _diff(_PART, "project_id, table_name, name", "p_partkey", *_plain("p_partkey", "p_name"), "measure")
@@ -177,9 +192,9 @@ UNION ALL SELECT b.project_id, b.bookmark, 'target', CASE WHEN a.target IS DISTI
 
 _RAW = {
     "d1_measures": _MEASURES,
-    "d2_calculation_items": _diff(_PART + " WHERE p_size % 5 = 0", "project_id, calc_group, name", "p_partkey", *_plain("p_partkey", "p_name"), "calculation_item"),
+    "d2_calculation_items": _diff(_PART, "project_id, calc_group, name", "p_partkey", *_plain("p_partkey", "p_name"), "calculation_item"),
     "d3_columns": _diff("SELECT p_partkey % 8 AS project_id, p_partkey, p_brand AS table_name, 'c' || p_partkey AS name FROM {part}", "project_id, table_name, name", "p_partkey", "CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'string' END", "CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'int64' ELSE 'string' END", "column"),
-    "d4_relationships": _diff("SELECT l_orderkey % 8 AS project_id, 'T' || l_suppkey || '.k->T' || l_partkey || '.k' AS name, min(l_orderkey) AS k FROM {lineitem} WHERE l_quantity = 50 GROUP BY 1, 2", "project_id, name", "k", "'single'", "CASE WHEN k % 7 = 0 THEN 'both' ELSE 'single' END", "relationship"),
+    "d4_relationships": _diff("SELECT l_orderkey % 8 AS project_id, 'T' || l_suppkey || '.k->T' || l_partkey || '.k' AS name, min(l_orderkey) AS k FROM {lineitem} GROUP BY 1, 2", "project_id, name", "k", "'single'", "CASE WHEN k % 7 = 0 THEN 'both' ELSE 'single' END", "relationship"),
     "d5_partitions": _diff(_PART, "project_id, table_name, name", "p_partkey", *_plain("p_partkey", "p_name"), "partition_source", "INNER"),
     "d6_expressions": "SELECT p_partkey % 8 AS project_id, 'E' || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'parameter_changed' ELSE 'expression_changed' END AS type FROM {part} WHERE p_partkey % 10 NOT IN (0, 1) AND p_partkey % 7 = 0",
     "d7_pages": f"SELECT project_id, page_id, type, before_value, after_value FROM ({_PAGES}) UNION ALL {_DEFAULT}",
@@ -191,10 +206,19 @@ SELECT project_id, level, name, type, CASE WHEN type = 'filter_changed' THEN 'ne
 coalesce(string_agg(CASE WHEN i % 10 = 0 THEN 'M' || i END, ',' ORDER BY 'M' || i), '') AS gained, coalesce(string_agg(CASE WHEN i % 10 = 1 THEN 'M' || i END, ',' ORDER BY 'M' || i), '') AS lost FROM f GROUP BY ALL)
 SELECT project_id, page_id, visual_id, gained, lost FROM k WHERE nb > 0 AND na > 0 AND (gained <> '' OR lost <> '')""",
     "d10_bookmarks": _BM,
-    "a7_summary": f"WITH c AS (SELECT project_id, type, 'measure' AS scope FROM ({_MEASURES}) UNION ALL SELECT project_id, type, 'page' FROM (SELECT project_id, type FROM ({_PAGES}) UNION ALL SELECT project_id, type FROM ({_DEFAULT}))) SELECT project_id, type, scope, count(*) AS n FROM c GROUP BY GROUPING SETS ((project_id), (project_id, type), (project_id, scope))",
-    "d11_changes": f"WITH c AS ({_MEASURES}), s AS (SELECT project_id, i, count(DISTINCT visual_id) AS n FROM {{b_field}} GROUP BY project_id, i) SELECT c.project_id, c.name, c.type, coalesce(s.n, 0) AS n_visuals FROM c LEFT JOIN s ON s.project_id = 'P' || c.project_id AND 'M' || (s.i * 8 + c.project_id) = c.name",
-    "x21_normalise": "SELECT p_partkey % 8 AS project_id, 'M' || p_partkey AS name, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' v2' ELSE p_name END AS value, p_size % 2 = 0 AS is_parameter FROM {part} WHERE p_partkey % 10 <> 1",
+    "x21_normalise": "SELECT p_partkey % 8 AS project_id, 'M' || CAST(floor(p_partkey / 8) AS BIGINT) AS name, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' v2' ELSE p_name END AS value, p_size % 2 = 0 AS is_parameter FROM {part} WHERE p_partkey % 10 <> 1",
 }
 
+_ALL = " UNION ALL ".join(
+    f"SELECT 'P' || ltrim(CAST(project_id AS STRING), 'P') AS project_id, '{scope}' AS scope, {chr(39) + 'bindings_changed' + chr(39) if detector == 'd9_bindings' else 'type'} AS type, concat_ws('.', {', '.join(keys)}) AS target FROM ({_RAW[detector]})"
+    for scope, (detector, keys) in _DETECTORS.items()
+)
+_RAW["a7_summary"] = f"WITH c AS ({_ALL}) SELECT project_id, type, scope, count(*) AS n FROM c GROUP BY GROUPING SETS ((project_id), (project_id, type), (project_id, scope))"
+_RAW["d11_changes"] = f"""WITH c AS ({_ALL}), g AS ({graphs.SQL["g15_change_impact"]}),
+i AS (SELECT project_id, 'measure' AS scope, seed AS node, sum(CASE kind WHEN 'direct' THEN n_visuals ELSE 0 END) AS d, sum(CASE kind WHEN 'field_parameter' THEN n_visuals ELSE 0 END) AS p, sum(CASE kind WHEN 'calculation_group' THEN n_visuals ELSE 0 END) AS cg FROM g GROUP BY project_id, seed
+UNION ALL SELECT project_id, 'calculation_item', calc_group, 0, 0, count(*) FROM {{b_applied}} GROUP BY project_id, calc_group)
+SELECT c.project_id, c.scope, c.type, c.target, CAST(coalesce(i.d, 0) AS BIGINT) AS n_direct, CAST(coalesce(i.p, 0) AS BIGINT) AS n_parameter, CAST(coalesce(i.cg, 0) AS BIGINT) AS n_grouped
+FROM c LEFT JOIN i ON i.project_id = c.project_id AND i.scope = c.scope AND i.node = CASE c.scope WHEN 'measure' THEN 'measure::' || c.target ELSE split_part(c.target, '.', 1) END"""
+
 QUERIES = {k: f for k, f in globals().items() if k in _RAW}
 ORACLES = {k: oracle(q) for k, q in _RAW.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,13 +143,21 @@ def g12_visuals(spark, sf_dir):
     return down.join(vis, [*PK, "node"]).select("project_id", F.col("seed").alias("measure"), F.col("node").alias("visual"), "title", F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("binding"))
 
 
+def _visual_id():
+    return F.concat_ws(".", F.concat(F.lit("visual::"), "page_id"), "visual_id").alias("visual")
+
+
 def g13_visual_lineage(spark, sf_dir):
-    """Per visual: its direct measures, and the measures that those use but it does not show itself."""
-    e = _edges(spark, sf_dir)
-    direct = e.filter("type = 'visual_to_field'").select(*PK, F.col("source").alias("visual"), F.col("target").alias("measure"))
-    via = direct.join(e.filter(F.col("type") == _M).select(*PK, F.col("source").alias("measure"), "target"), [*PK, "measure"]).select(*PK, "visual", F.col("target").alias("measure")).distinct().join(direct, [*PK, "visual", "measure"], "left_anti")
-    both = direct.distinct().withColumn("kind", F.lit("direct")).unionByName(via.withColumn("kind", F.lit("indirect")))
-    return both.groupBy("project_id", "visual", "kind").agg(F.array_join(F.sort_array(F.collect_list("measure")), "|").alias("measures"))
+    """Per visual: its direct measures, those that only its field parameters offer, and the calculation groups that it applies."""
+    direct = _edges(spark, sf_dir, "visual_to_field").select(*PK, F.col("source").alias("visual"), F.col("target").alias("item")).distinct()
+    offer = view(spark, sf_dir, "b_offer").select(*PK, "parameter_table", F.lower("offered").alias("key"))
+    measure = view(spark, sf_dir, "b_measure").select(*PK, F.lower("name").alias("key"), node_id("measure", F.col("table_name"), F.col("name")).alias("item"))
+    bound = view(spark, sf_dir, "b_bound").select(*PK, _visual_id(), "parameter_table")
+    offered = bound.join(offer.join(measure, [*PK, "key"]), [*PK, "parameter_table"]).select(*PK, "visual", "item").distinct().join(direct, [*PK, "visual", "item"], "left_anti")
+    groups = view(spark, sf_dir, "b_applied").select(*PK, _visual_id(), F.col("calc_group").alias("item"))
+    kinds = {"direct": direct, "parameter": offered, "calculation_group": groups}
+    both = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()])
+    return both.groupBy("project_id", "visual", "kind").agg(F.array_join(F.sort_array(F.collect_list("item")), "|").alias("items"))
 
 
 def g14_trace_graph(spark, sf_dir):
@@ -169,14 +179,16 @@ def g14_trace_graph(spark, sf_dir):
 
 
 def g15_change_impact(spark, sf_dir):
-    """Visuals that a change of a measure reaches (directly shown, or by a parameter that offers a measure on the way)."""
+    """Visuals that a change of a measure reaches (directly shown, by a parameter that offers it, or under a calculation group that the visual applies)."""
     down = g.closure(_edges(spark, sf_dir, _M, "visual_to_field"), _measure_seeds(spark, sf_dir), "downstream", stop=view(spark, sf_dir, "b_node").filter("type = 'visual'").select(*PK, F.col("id").alias("node")))
     vis = down.filter("node like 'visual::%'").select(*PK, "seed", F.col("node").alias("visual"))
     offers = view(spark, sf_dir, "b_offer").select(*PK, F.lower("offered").alias("key"), "parameter_table").distinct()
     seeds = _measure_seeds(spark, sf_dir).withColumn("key", F.lower(F.regexp_extract("seed", r"\.([^.]*)$", 1)))
     offered = seeds.join(offers, [*PK, "key"], "left_semi").select(*PK, "seed")
     par = vis.join(offered, [*PK, "seed"], "left_semi")
-    return vis.withColumn("kind", F.lit("direct")).unionByName(par.withColumn("kind", F.lit("field_parameter"))).dropDuplicates([*PK, "seed", "kind", "visual"]).groupBy("project_id", "seed", "kind").agg(F.count("*").alias("n_visuals"), F.min("visual").alias("first_visual"))
+    grouped = vis.join(view(spark, sf_dir, "b_applied").select(*PK, _visual_id()).distinct(), [*PK, "visual"], "left_semi")
+    kinds = {"direct": vis, "field_parameter": par, "calculation_group": grouped}
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]).dropDuplicates([*PK, "seed", "kind", "visual"]).groupBy("project_id", "seed", "kind").agg(F.count("*").alias("n_visuals"), F.min("visual").alias("first_visual"))
 
 
 def j1_binding(spark, sf_dir):
@@ -211,7 +223,7 @@ cc AS (SELECT ch.project_id, ch.seed, ch.node AS parent, mc.target AS col FROM c
 fact AS (SELECT project_id, 'column::' || table_name || '.' || name AS col, CASE WHEN size % 11 <> 0 THEN 'dbo.' || table_name || '.' || source_column END AS path, source_column, name, table_name FROM {b_column})"""
 _VIS = "WITH RECURSIVE e AS (SELECT DISTINCT project_id, target AS source, source AS target FROM {b_edge} WHERE type IN ('measure_to_measure', 'visual_to_field')), " + _CLOSURE.replace("WITH RECURSIVE ", "") + ", m AS (SELECT project_id, id FROM {b_node} WHERE type = 'measure')"
 
-_RAW = {
+SQL = {
     "flagship": _CHAIN + """, n AS (SELECT project_id, seed, count(DISTINCT col) AS n FROM cc GROUP BY project_id, seed),
 sh AS (SELECT DISTINCT project_id, 'measure::' || table_name || '.' || name AS node FROM {b_shown}),
 hit AS (SELECT project_id, node FROM sh UNION SELECT c.project_id, c.node FROM c JOIN sh ON sh.project_id = c.project_id AND sh.node = c.seed)
@@ -243,17 +255,19 @@ SELECT n.project_id, n.id AS measure, EXISTS (SELECT 1 FROM r WHERE r.project_id
 FROM (SELECT project_id, seed, col, string_agg(DISTINCT parent, '|' ORDER BY parent) AS parents FROM cc GROUP BY project_id, seed, col) x JOIN fact USING (project_id, col)""",
     "g12_visuals": _VIS + """ SELECT c.project_id, c.seed AS measure, c.node AS visual, n.name AS title, CASE WHEN c.depth = 1 THEN 'direct' ELSE 'indirect' END AS binding
 FROM c JOIN m ON m.project_id = c.project_id AND m.id = c.seed JOIN {b_node} n ON n.project_id = c.project_id AND n.id = c.node AND n.type = 'visual'""",
-    "g13_visual_lineage": """WITH d AS (SELECT DISTINCT project_id, source AS visual, target AS measure FROM {b_edge} WHERE type = 'visual_to_field'),
-i AS (SELECT DISTINCT d.project_id, d.visual, m.target AS measure FROM d JOIN {b_mm} m ON m.project_id = d.project_id AND m.source = d.measure),
-a AS (SELECT *, 'direct' AS kind FROM d UNION ALL SELECT i.*, 'indirect' FROM i WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.project_id = i.project_id AND d.visual = i.visual AND d.measure = i.measure))
-SELECT project_id, visual, kind, string_agg(measure, '|' ORDER BY measure) AS measures FROM a GROUP BY project_id, visual, kind""",
+    "g13_visual_lineage": """WITH d AS (SELECT DISTINCT project_id, source AS visual, target AS item FROM {b_edge} WHERE type = 'visual_to_field'),
+p AS (SELECT DISTINCT b.project_id, 'visual::' || b.page_id || '.' || b.visual_id AS visual, 'measure::' || m.table_name || '.' || m.name AS item FROM {b_bound} b JOIN {b_offer} o ON o.project_id = b.project_id AND o.parameter_table = b.parameter_table JOIN {b_measure} m ON m.project_id = o.project_id AND lower(m.name) = lower(o.offered)),
+a AS (SELECT *, 'direct' AS kind FROM d UNION ALL SELECT p.*, 'parameter' FROM p ANTI JOIN d ON d.project_id = p.project_id AND d.visual = p.visual AND d.item = p.item
+UNION ALL SELECT project_id, 'visual::' || page_id || '.' || visual_id, calc_group, 'calculation_group' FROM {b_applied})
+SELECT project_id, visual, kind, string_agg(item, '|' ORDER BY item) AS items FROM a GROUP BY project_id, visual, kind""",
     "g14_trace_graph": _CHAIN + """, x AS (SELECT DISTINCT cc.project_id, cc.seed, cc.col, fact.table_name, fact.path FROM cc JOIN fact USING (project_id, col)),
 l AS (SELECT DISTINCT project_id, seed, 0 AS lane, 'source::dbo.' || table_name AS node FROM x WHERE path IS NOT NULL UNION ALL SELECT DISTINCT project_id, seed, 1, 'table::' || table_name FROM x
 UNION ALL SELECT project_id, seed, 2, col FROM x UNION ALL SELECT DISTINCT project_id, seed, 3, parent FROM cc UNION ALL SELECT DISTINCT project_id, target, 4, source FROM {b_edge} WHERE type = 'visual_to_field')
 SELECT project_id, seed, lane, count(*) AS n, min(node) AS first FROM l GROUP BY project_id, seed, lane""",
     "g15_change_impact": _VIS + """, v AS (SELECT c.project_id, c.seed, c.node AS visual FROM c JOIN m ON m.project_id = c.project_id AND m.id = c.seed WHERE c.node LIKE 'visual::%'),
 o AS (SELECT DISTINCT b.project_id, 'measure::' || b.table_name || '.' || b.name AS id FROM {b_measure} b JOIN {b_offer} f ON f.project_id = b.project_id AND lower(f.offered) = lower(b.name)),
-a AS (SELECT *, 'direct' AS kind FROM v UNION ALL SELECT v.*, 'field_parameter' FROM v JOIN o ON o.project_id = v.project_id AND o.id = v.seed)
+a AS (SELECT *, 'direct' AS kind FROM v UNION ALL SELECT v.*, 'field_parameter' FROM v JOIN o ON o.project_id = v.project_id AND o.id = v.seed
+UNION ALL SELECT v.*, 'calculation_group' FROM v WHERE EXISTS (SELECT 1 FROM {b_applied} p WHERE p.project_id = v.project_id AND v.visual = 'visual::' || p.page_id || '.' || p.visual_id))
 SELECT project_id, seed, kind, count(*) AS n_visuals, min(visual) AS first_visual FROM a GROUP BY project_id, seed, kind""",
     "j1_binding": "SELECT DISTINCT project_id, source, target, type FROM {b_edge} WHERE type IN ('measure_to_measure', 'measure_to_column')",
     "x2_column_refs": """SELECT project_id, table_name, name, table_name AS ref_table, 'c' || CAST(size AS STRING) AS ref_name FROM {b_measure}
@@ -264,5 +278,5 @@ UNION SELECT a.project_id, a.table_name, a.name, b.table_name FROM {b_dep} d JOI
     "x1_strip": "SELECT m.project_id, m.name, false AS has_decoy, CAST(1 + (SELECT count(*) FROM {b_dep} d WHERE d.project_id = m.project_id AND d.i = m.i) AS INTEGER) AS n_refs FROM {b_measure} m",
 }
 
-QUERIES = {"flagship": flagship, **{k: f for k, f in globals().items() if k in _RAW}}
-ORACLES = {k: oracle(q) for k, q in _RAW.items()}
+QUERIES = {"flagship": flagship, **{k: f for k, f in globals().items() if k in SQL}}
+ORACLES = {k: oracle(q) for k, q in SQL.items()}

@@ -140,8 +140,7 @@ def j6_offers(spark, sf):
 
 
 def _bound(spark, sf):
-    n = view(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("parameter_table"))
-    return view(spark, sf, "b_visual").filter("vkey % 97 = 0").withColumn("k", F.col("vkey") % 25).join(n, "k").select(*PK, "page_id", "visual_id", "parameter_table")
+    return view(spark, sf, "b_bound").select(*PK, "page_id", "visual_id", "parameter_table")
 
 
 def j7_expand(spark, sf):
@@ -149,10 +148,13 @@ def j7_expand(spark, sf):
 
 
 def a5_machinery(spark, sf):
+    """Per field parameter: fields offered and visuals bound to it. Per calculation group: visuals that apply it."""
     offers, bound = _offers(spark, sf), _bound(spark, sf)
     a = offers.groupBy(*PK, "parameter_table").agg(F.count("*").alias("n_offered"))
     b = bound.groupBy(*PK, "parameter_table").agg(F.countDistinct("page_id", "visual_id").alias("n_visuals"))
-    return a.join(b, [*PK, "parameter_table"], "left").select("project_id", "parameter_table", "n_offered", F.coalesce("n_visuals", F.lit(0)).alias("n_visuals"))
+    parameters = a.join(b, [*PK, "parameter_table"], "left").select("project_id", F.lit("field_parameter").alias("kind"), F.col("parameter_table").alias("name"), "n_offered", F.coalesce("n_visuals", F.lit(0)).alias("n_visuals"))
+    groups = view(spark, sf, "b_applied").groupBy("project_id", F.lit("calculation_group").alias("kind"), F.col("calc_group").alias("name")).agg(F.lit(None).cast("long").alias("n_offered"), F.countDistinct("page_id", "visual_id").alias("n_visuals"))
+    return parameters.unionByName(groups)
 
 
 def j14_usage(spark, sf):
@@ -287,7 +289,7 @@ en AS (SELECT project_id, from_table AS name, 1 AS o, 0 AS i FROM k WHERE NOT da
 dg AS (SELECT project_id, name, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i) AS BIGINT) AS i FROM en GROUP BY ALL),
 ts AS (SELECT b.project_id, b.name AS table_name, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree, CASE WHEN coalesce(o, 0) > 0 AND coalesce(i, 0) > 0 THEN 'bridge' WHEN coalesce(o, 0) > 0 THEN 'fact' WHEN coalesce(i, 0) > 0 THEN 'dimension' ELSE 'standalone' END AS role, coalesce(o, 0) + coalesce(i, 0) AS degree FROM {b_table} b LEFT JOIN dg USING (project_id, name))"""
 _OFF = "of AS (SELECT o.project_id, o.parameter_table, o.ordinal, m.table_name, m.name FROM {b_offer} o JOIN {b_measure} m ON m.project_id = o.project_id AND upper(m.name) = o.offered)"
-_BND = "bd AS (SELECT v.project_id, v.page_id, v.visual_id, n.n_name AS parameter_table FROM {b_visual} v JOIN {nation} n ON n.n_nationkey = v.vkey % 25 WHERE v.vkey % 97 = 0)"
+_BND = "bd AS (SELECT * FROM {b_bound})"
 
 _RAW = {
     "c1_broken": f"WITH {_BROK} SELECT project_id, rule, 'error' AS severity, item FROM br",
@@ -304,7 +306,7 @@ _RAW = {
     "w1_best_route": f"WITH {_FLD} SELECT project_id, page_id, visual_id, name, {_VIA}[min(via_rank) + 1] AS via FROM fl GROUP BY project_id, page_id, visual_id, table_name, name",
     "j6_offers": f"WITH {_OFF} SELECT project_id, parameter_table, ordinal, 'measure' AS kind, table_name, name FROM of",
     "j7_expand": f"WITH {_FLD}, {_OFF}, {_BND}, al AS (SELECT project_id, page_id, visual_id, table_name, name, via_rank, NULL AS p FROM fl UNION ALL SELECT bd.project_id, bd.page_id, bd.visual_id, of.table_name, of.name, 2, bd.parameter_table FROM bd JOIN of USING (project_id, parameter_table)) SELECT project_id, page_id, visual_id, name, {_VIA}[min(via_rank) + 1] AS via, min(p) AS via_parameter FROM al GROUP BY project_id, page_id, visual_id, table_name, name",
-    "a5_machinery": f"WITH {_OFF}, {_BND} SELECT of.project_id, of.parameter_table, count(*) AS n_offered, coalesce(any_value(b.n), 0) AS n_visuals FROM of LEFT JOIN (SELECT project_id, parameter_table, count(*) AS n FROM bd GROUP BY ALL) b USING (project_id, parameter_table) GROUP BY of.project_id, of.parameter_table",
+    "a5_machinery": f"WITH {_OFF}, {_BND} SELECT of.project_id, 'field_parameter' AS kind, of.parameter_table AS name, count(*) AS n_offered, coalesce(any_value(b.n), 0) AS n_visuals FROM of LEFT JOIN (SELECT project_id, parameter_table, count(*) AS n FROM bd GROUP BY ALL) b USING (project_id, parameter_table) GROUP BY of.project_id, of.parameter_table UNION ALL SELECT project_id, 'calculation_group', calc_group, NULL, count(DISTINCT page_id || '.' || visual_id) FROM {{b_applied}} GROUP BY project_id, calc_group",
     "j14_usage": "SELECT m.project_id, m.table_name, m.name, count(DISTINCT f.visual_id) AS n_visuals FROM {b_measure} m LEFT JOIN {b_field} f ON f.project_id = m.project_id AND f.i = m.i GROUP BY ALL",
     "j15_calculation_groups": f"WITH {_FLD}, f AS (SELECT DISTINCT project_id, page_id, visual_id, table_name, name FROM fl), a AS (SELECT project_id, table_name, name, count(*) AS m FROM f GROUP BY ALL), h AS (SELECT f.project_id, f.table_name, f.name, v.title AS calc_group, count(*) AS n FROM f JOIN {{b_visual}} v USING (project_id, page_id, visual_id) WHERE v.vkey % 5 = 0 GROUP BY ALL) SELECT project_id, name, calc_group, n || ' of ' || m || ' visuals' AS note FROM h JOIN a USING (project_id, table_name, name)",
     "j16_visibility": f"WITH {_SAID} SELECT * FROM vis",
