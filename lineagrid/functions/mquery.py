@@ -128,6 +128,24 @@ def nested_joins(m: Column) -> Column:
     return F.transform(args, lambda s: F.struct(F.regexp_replace(F.regexp_replace(s.x, r"^\}\s*,\s*", ""), r'^#"(.*)"$', "$1").alias("expression"), s.column.alias("column")))
 
 
+def expand_pairs(m: Column) -> Column:
+    """(column, source_name, new_name) of Table.ExpandTableColumn calls; a column without a new name keeps its own."""
+    names = r'\{((?:\s*"[^"]*"\s*,?)*)\s*\}'
+    p = r',\s*"([^"]+)"\s*,\s*' + names + r"(?:\s*,\s*" + names + ")?"
+
+    def one(a: Column) -> Column:
+        part = lambda g: _strings(F.regexp_extract(a, p, g))
+        return F.zip_with(part(2), F.slice(part(3), 1, F.size(part(2))), lambda old, new: F.struct(F.regexp_extract(a, p, 1).alias("column"), old.alias("source_name"), F.coalesce(new, old).alias("new_name")))
+
+    return F.flatten(F.transform(call_arguments(m, ["Table.ExpandTableColumn"]), one))
+
+
+def combined(m: Column) -> Column:
+    """Operands of all Table.Combine lists, in order."""
+    lists = F.transform(call_arguments(m, ["Table.Combine"]), lambda a: F.regexp_extract(a, r"(?s)^\s*\{([^}]+)\}", 1))
+    return F.filter(F.transform(F.flatten(F.transform(lists, lambda a: F.split(a, ","))), lambda s: F.regexp_replace(F.trim(s), r'^#"(.*)"$', "$1")), lambda s: s != "")
+
+
 # fixed values: what each kind of step calls
 _KINDS = [
     ("Projection", r"Table\.(SelectColumns|RemoveColumns|ReorderColumns|RemoveOtherColumns)"), ("Rename", r"Table\.RenameColumns"), ("Filter", r"Table\.(SelectRows|Distinct|FirstN|Skip|RemoveRowsWithErrors)"),
@@ -188,6 +206,19 @@ def dangling(expression: Column, names: Column) -> Column:
     return expression.rlike("^(?:" + _NAME + ")$") & ~F.array_contains(names, F.regexp_replace(expression, r'^#"(.*)"$', "$1"))
 
 
+def step_references(expression: Column, names: Column) -> Column:
+    """Steps of the query that a step's expression names outside string literals, once each, in order."""
+    bare = F.regexp_replace(expression, r'(#"[^"]*")|"(?:[^"]|"")*"', "$1")
+    said = F.transform(_all(bare, r'#"[^"]*"|[A-Za-z_][A-Za-z0-9_.]*', 0), lambda x: F.regexp_replace(x, r'^#"(.*)"$', "$1"))
+    return F.array_intersect(said, names)
+
+
+def sql_first_path(sql: Column) -> Column:
+    """Path of the first table after FROM, without quotes and brackets; null where there is none."""
+    part = r'(?:[\w$]+|"[^"]+"|\[[^\]]+\]|`[^`]+`)'
+    return _filled(F.regexp_replace(F.regexp_extract(sql, r"(?i)\bFROM\s+(" + part + r"(?:\." + part + ")*)", 1), r'["`\[\]]', ""))
+
+
 def sql_tables(sql: Column) -> Column:
     """Distinct tables after FROM and JOIN, with quotes and brackets taken off."""
     names = _all(sql, r'(?i)\b(?:FROM|JOIN)\s+((?:[\w$]+|"[^"]+"|\[[^\]]+\]|`[^`]+`)(?:\.(?:[\w$]+|"[^"]+"|\[[^\]]+\]|`[^`]+`))*)', 1)

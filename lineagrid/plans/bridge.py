@@ -1,6 +1,6 @@
 """The driver's tables read as a fleet of models: each view is one SQL text that Spark and an oracle engine both run.
 
-Projects are residues of keys, so all views grow with their tables. ``{name}`` stands for a table or another view.
+Projects are residues of keys, those of relationships ranges of them, so all views grow with their tables; every view reads its tables whole. ``{name}`` stands for a table or another view.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ VIEWS = {
     "b_visual": """SELECT 'P' || CAST(o_custkey % 8 AS STRING) AS project_id, 's1' AS snapshot_id, CAST(o_custkey AS STRING) AS page_id, CAST(o_orderkey AS STRING) AS visual_id, o_orderkey AS vkey,
       o_orderpriority AS title, o_orderstatus = 'F' AS is_hidden, CAST(CAST(floor(o_orderkey / 10) AS BIGINT) AS STRING) AS parent_group,
       o_orderkey * 37 % 1280 AS x, o_orderkey * 53 % 720 AS y, 100 + o_orderkey * 7 % 200 AS width, 80 + o_orderkey * 11 % 150 AS height FROM {orders}""",
-    "b_field": """SELECT v.project_id, v.snapshot_id, v.page_id, v.visual_id, CAST(floor(l_partkey / 8) AS BIGINT) + CASE WHEN l_linenumber = 6 THEN 100000 ELSE 0 END AS i,
-      CAST(l_linenumber % 7 AS INT) AS via_rank FROM {lineitem} l JOIN {b_visual} v ON v.vkey = l.l_orderkey WHERE l_partkey % 5 = 0 AND l_quantity >= 45""",
+    "b_field": """SELECT v.project_id, v.snapshot_id, v.page_id, v.visual_id, 2 * CAST(floor(l_partkey / 16) AS BIGINT) + CASE WHEN l_linenumber = 6 THEN 100000 ELSE 0 END AS i,
+      CAST(l_linenumber % 7 AS INT) AS via_rank FROM {lineitem} l JOIN {b_visual} v ON v.vkey = l.l_orderkey""",
     "b_state": """SELECT v.project_id, v.snapshot_id, CAST(CAST(floor(e.event_id / 50) AS BIGINT) AS STRING) AS bookmark_id, v.page_id, v.visual_id AS object_id,
       CASE WHEN e.event_type IN ('error', 'signup') THEN 'hidden' ELSE 'shown' END AS state
       FROM {events} e JOIN (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY vkey) AS n FROM {b_visual}) v ON v.page_id = CAST(e.user_id AS STRING) AND v.n = e.event_id % 4 + 1""",
-    "b_rel": """SELECT DISTINCT 'P' || CAST(l_orderkey % 8 AS STRING) AS project_id, 's1' AS snapshot_id, 'T' || CAST(l_suppkey % 40 AS STRING) AS from_table, 'T' || CAST(20 + l_partkey % 40 AS STRING) AS to_table,
-      CASE WHEN l_returnflag = 'R' THEN 'both' ELSE 'single' END AS cross_filter, l_linestatus = 'O' AS is_active FROM {lineitem} WHERE l_quantity = 50 AND l_partkey % 10 = 0""",
+    "b_rel": """SELECT DISTINCT 'P' || CAST(CAST(floor(l_orderkey / 8) AS BIGINT) AS STRING) AS project_id, 's1' AS snapshot_id, 'T' || CAST(l_suppkey % 40 AS STRING) AS from_table, 'T' || CAST(20 + l_partkey % 40 AS STRING) AS to_table,
+      CASE WHEN l_returnflag = 'R' THEN 'both' ELSE 'single' END AS cross_filter, l_linestatus = 'O' AS is_active FROM {lineitem}""",
     "b_table": """SELECT DISTINCT project_id, snapshot_id, 'T' || CAST(n AS STRING) AS name FROM {b_rel} CROSS JOIN (SELECT DISTINCT p_size - 1 AS n FROM {part} WHERE p_size <= 50) t""",
     "b_offer": """SELECT m.project_id, m.snapshot_id, n.n_name AS parameter_table, upper(m.name) AS offered, m.i AS ordinal FROM {b_measure} m JOIN {nation} n ON m.i % 25 = n.n_nationkey""",
     "b_applied": """SELECT project_id, snapshot_id, page_id, visual_id, 'CG' || CAST(vkey % 5 AS STRING) AS calc_group FROM {b_visual} WHERE NOT is_hidden""",
@@ -44,7 +44,7 @@ VIEWS = {
       UNION ALL SELECT project_id, snapshot_id, 'column::' || table_name || '.' || name, 'column', name, false FROM {b_column}
       UNION ALL SELECT DISTINCT project_id, snapshot_id, 'table::' || table_name, 'table', table_name, false FROM {b_column}
       UNION ALL SELECT project_id, snapshot_id, 'visual::' || page_id || '.' || visual_id, 'visual', title, is_hidden FROM {b_visual}""",
-    "b_project": """SELECT DISTINCT project_id, snapshot_id FROM {b_measure}""",
+    "b_project": """SELECT DISTINCT project_id, snapshot_id FROM {b_measure} UNION SELECT DISTINCT project_id, snapshot_id FROM {b_rel}""",
 }
 
 

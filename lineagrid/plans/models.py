@@ -47,7 +47,8 @@ def _broken(spark, sf):
 def _dangling(spark, sf):
     m = view(spark, sf, "b_measure")
     cols = view(spark, sf, "b_column").select(*PK, "table_name", "name")
-    return c.dangling_visual_refs(_fields(spark, sf), m, m.limit(0), cols)
+    of_report = m.filter("is_hidden").select(*PK, F.lit("?").alias("table_name"), F.concat(F.lit("M"), F.col("i") + 100000).alias("name"))
+    return c.dangling_visual_refs(_fields(spark, sf), m, of_report, cols)
 
 
 def _unused(spark, sf):
@@ -162,8 +163,8 @@ def j14_usage(spark, sf):
 
 
 def j15_calculation_groups(spark, sf):
-    """Measures that a calculation group rewrites: shown by a visual that binds the group too; "n of m visuals" of each."""
-    groups = view(spark, sf, "b_visual").filter("vkey % 5 = 0").select(*PK, "page_id", "visual_id", F.col("title").alias("calc_group"))
+    """Measures that a calculation group rewrites: shown by a visual that applies the group too; "n of m visuals" of each."""
+    groups = view(spark, sf, "b_applied")
     f = r.best_routes(_fields(spark, sf))
     all_ = f.groupBy(*PK, "table_name", "name").agg(F.countDistinct("page_id", "visual_id").alias("m"))
     hit = f.join(groups, [*PK, "page_id", "visual_id"]).groupBy(*PK, "table_name", "name", "calc_group").agg(F.countDistinct("page_id", "visual_id").alias("n"))
@@ -274,7 +275,7 @@ mk AS (SELECT project_id, page_id, visual_id, coalesce(string_agg(CASE WHEN NOT
 vis AS (SELECT v.project_id, v.page_id, v.visual_id, v.is_hidden, coalesce(mk.revealed_by, '') AS revealed_by, coalesce(mk.hidden_by, '') AS hidden_by, v.is_hidden AND coalesce(mk.revealed_by, '') = '' AS never_shown FROM {b_visual} v LEFT JOIN mk USING (project_id, page_id, visual_id))"""
 _UNUSED = """hit AS (SELECT DISTINCT project_id, 'measure::' || table_name || '.' || name AS node FROM {b_shown} UNION SELECT h.project_id, e.target FROM hit h JOIN {b_mm} e ON e.project_id = h.project_id AND e.source = h.node),
 un AS (SELECT n.project_id, 'unused-measures' AS rule, n.id AS item FROM {b_node} n WHERE n.type = 'measure' AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.project_id = n.project_id AND hit.node = n.id))"""
-_DANG = _FLD + """, da AS (SELECT DISTINCT project_id, 'dangling-visual-refs' AS rule, page_id || ' ' || visual_id || ' ' || table_name || '[' || name || ']' AS item FROM fl WHERE table_name = '?')"""
+_DANG = _FLD + """, da AS (SELECT DISTINCT project_id, 'dangling-visual-refs' AS rule, page_id || ' ' || visual_id || ' ' || table_name || '[' || name || ']' AS item FROM fl WHERE table_name = '?' AND NOT EXISTS (SELECT 1 FROM {b_measure} r WHERE r.is_hidden AND r.project_id = fl.project_id AND 'M' || (r.i + 100000) = fl.name))"""
 _BROK = """rf AS (SELECT project_id, table_name, name, size, CASE WHEN size % 4 = 0 THEN 'C' ELSE 'c' END || CASE WHEN size % 25 = 0 THEN 'x' ELSE '' END || size AS rn FROM {b_measure}),
 nm AS (SELECT project_id, lower(name) AS k FROM {b_measure} UNION SELECT project_id, lower(name) FROM {b_column}),
 br AS (SELECT DISTINCT project_id, 'broken-refs' AS rule, table_name || '[' || name || '] -> ' || table_name || '[' || rn || ']' AS item FROM rf WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.project_id = rf.project_id AND nm.k = lower(rn))
@@ -308,7 +309,7 @@ _RAW = {
     "j7_expand": f"WITH {_FLD}, {_OFF}, {_BND}, al AS (SELECT project_id, page_id, visual_id, table_name, name, via_rank, NULL AS p FROM fl UNION ALL SELECT bd.project_id, bd.page_id, bd.visual_id, of.table_name, of.name, 2, bd.parameter_table FROM bd JOIN of USING (project_id, parameter_table)) SELECT project_id, page_id, visual_id, name, {_VIA}[min(via_rank) + 1] AS via, min(p) AS via_parameter FROM al GROUP BY project_id, page_id, visual_id, table_name, name",
     "a5_machinery": f"WITH {_OFF}, {_BND} SELECT of.project_id, 'field_parameter' AS kind, of.parameter_table AS name, count(*) AS n_offered, coalesce(any_value(b.n), 0) AS n_visuals FROM of LEFT JOIN (SELECT project_id, parameter_table, count(*) AS n FROM bd GROUP BY ALL) b USING (project_id, parameter_table) GROUP BY of.project_id, of.parameter_table UNION ALL SELECT project_id, 'calculation_group', calc_group, NULL, count(DISTINCT page_id || '.' || visual_id) FROM {{b_applied}} GROUP BY project_id, calc_group",
     "j14_usage": "SELECT m.project_id, m.table_name, m.name, count(DISTINCT f.visual_id) AS n_visuals FROM {b_measure} m LEFT JOIN {b_field} f ON f.project_id = m.project_id AND f.i = m.i GROUP BY ALL",
-    "j15_calculation_groups": f"WITH {_FLD}, f AS (SELECT DISTINCT project_id, page_id, visual_id, table_name, name FROM fl), a AS (SELECT project_id, table_name, name, count(*) AS m FROM f GROUP BY ALL), h AS (SELECT f.project_id, f.table_name, f.name, v.title AS calc_group, count(*) AS n FROM f JOIN {{b_visual}} v USING (project_id, page_id, visual_id) WHERE v.vkey % 5 = 0 GROUP BY ALL) SELECT project_id, name, calc_group, n || ' of ' || m || ' visuals' AS note FROM h JOIN a USING (project_id, table_name, name)",
+    "j15_calculation_groups": f"WITH {_FLD}, f AS (SELECT DISTINCT project_id, page_id, visual_id, table_name, name FROM fl), a AS (SELECT project_id, table_name, name, count(*) AS m FROM f GROUP BY ALL), h AS (SELECT f.project_id, f.table_name, f.name, v.calc_group, count(*) AS n FROM f JOIN {{b_applied}} v USING (project_id, page_id, visual_id) GROUP BY ALL) SELECT project_id, name, calc_group, n || ' of ' || m || ' visuals' AS note FROM h JOIN a USING (project_id, table_name, name)",
     "j16_visibility": f"WITH {_SAID} SELECT * FROM vis",
     "j17_placeholders": f"WITH {_FLD} SELECT DISTINCT project_id, 'measure' AS kind, table_name, name FROM fl WHERE table_name = '?'",
     "j18_overlaps": """WITH p AS (SELECT a.project_id, a.page_id, a.visual_id, b.visual_id AS other FROM {b_visual} a JOIN {b_visual} b ON b.project_id = a.project_id AND b.page_id = a.page_id AND b.visual_id <> a.visual_id

@@ -29,10 +29,11 @@ def _models(spark, sf):
     )
     nav = F.when(by <= 2, c('Source{[Schema="dbo",Item="tab_', k, '"]}[Data]')).when(F.col("k") % 9 == 0, F.lit("Elsewhere")).otherwise(F.lit("Source"))
     missing = F.when(F.col("k") % 5 == 0, ", [MissingField = MissingField.UseNull]").otherwise("")
+    more = F.when(F.col("k") % 5 == 0, c('  More = Table.Combine({Joined, #"Old ', k, '"}),\n')).otherwise("")
     body = c(
         "let\n  Source = ", conn, ', // old: Sql.Databases("decoy")\n  Nav = ', nav, ',\n  #"Renamed Columns" = Table.RenameColumns(Nav,{{"src_', k, '", "c', k, '"}, {"a b", "b"}}),\n',
         '  Added = Table.AddColumn(#"Renamed Columns", "added', k, '", each "x, y" /* Web.Contents("no") */),\n  Kept = Table.SelectColumns(Added,{"c', k, '", "b", "added', k, '"}),\n',
-        '  Less = Table.RemoveColumns(Kept,{"b"}),\n  Joined = Table.NestedJoin(Less, {"k"}, #"Dim ', k, '", {"k"}, "dim", JoinKind.LeftOuter),\n  Typed = Table.TransformColumnTypes(Joined,{{"c', k, '", type text}}', missing, ")\nin\n  Typed",
+        '  Less = Table.RemoveColumns(Kept,{"b"}),\n  Joined = Table.NestedJoin(Less, {"k"}, #"Dim ', k, '", {"k"}, "dim", JoinKind.LeftOuter),\n', more, '  Expanded = Table.ExpandTableColumn(Joined, "dim", {"name', k, '", "as is"}, {"dim.name', k, '"}),\n  Typed = Table.TransformColumnTypes(Expanded,{{"c', k, '", type text}}', missing, ")\nin\n  Typed",
     )
     out = m.withColumn("body", body)
     return out.withColumns({"partition": F.when(F.col("delegated"), c('let Source = #"Shared', k, '" in Source')).otherwise(F.col("body")), "shared": F.when(F.col("delegated"), c("Shared", k))})
@@ -74,17 +75,18 @@ def x13_facts(spark, sf):
     m = F.col("m")
     pairs = F.array_join(F.transform(mq.rename_pairs(m), lambda p: F.concat(p.old, F.lit(">"), p.new)), ",")
     joins = F.array_join(F.transform(mq.nested_joins(m), lambda j: F.concat(j.expression, F.lit(">"), j.column)), ",")
-    return _clean(spark, sf).select("project_id", "table_name", pairs.alias("renames"), F.array_join(mq.selected_columns(m), ",").alias("selected"), F.array_join(mq.added_columns(m), ",").alias("added"), joins.alias("joins"))
+    expands = F.array_join(F.transform(mq.expand_pairs(m), lambda e: F.concat(e.column, F.lit("."), e.source_name, F.lit(">"), e.new_name)), ",")
+    return _clean(spark, sf).select("project_id", "table_name", pairs.alias("renames"), F.array_join(mq.selected_columns(m), ",").alias("selected"), F.array_join(mq.added_columns(m), ",").alias("added"), joins.alias("joins"), expands.alias("expands"), F.array_join(mq.combined(m), ",").alias("combines"))
 
 
 def _steps(spark, sf):
     s = _clean(spark, sf).select(*PK, "table_name", mq.steps(F.col("m")).alias("all")).select(*PK, "table_name", F.transform("all", lambda x: x["name"]).alias("names"), F.posexplode("all").alias("step_no", "s"))
     e = F.col("s.expression")
-    return s.select(*PK, "table_name", "step_no", "s.name", mq.step_kind(e).alias("kind"), mq.affects_names(e).alias("affects_names"), mq.dangling(e, F.col("names")).alias("dangling"))
+    return s.select(*PK, "table_name", "step_no", "s.name", mq.step_kind(e).alias("kind"), mq.affects_names(e).alias("affects_names"), mq.dangling(e, F.col("names")).alias("dangling"), mq.step_references(e, F.col("names")).alias("refs"))
 
 
 def x14_steps(spark, sf):
-    return _steps(spark, sf).select("project_id", "table_name", "step_no", "name", "kind")
+    return _steps(spark, sf).select("project_id", "table_name", "step_no", "name", "kind", F.array_join("refs", ",").alias("refs"))
 
 
 def x15_affects_names(spark, sf):
@@ -97,7 +99,7 @@ def _native(spark, sf):
 
 
 def x16_sql_tables(spark, sf):
-    return _native(spark, sf).select("project_id", "table_name", F.array_join(mq.sql_tables(F.col("sql")), ",").alias("tables"))
+    return _native(spark, sf).select("project_id", "table_name", F.array_join(mq.sql_tables(F.col("sql")), ",").alias("tables"), mq.sql_first_path(F.col("sql")).alias("first_path"))
 
 
 def x17_select_list(spark, sf):
@@ -194,7 +196,7 @@ def j5_join_edges(spark, sf):
 
 
 def a8_deduplicate(spark, sf):
-    m = view(spark, sf, "lineitem").filter("l_quantity = 50").select(F.concat(F.lit("P"), F.col("l_orderkey") % 8).alias("project_id"), F.lit("s1").alias("snapshot_id"), F.concat(F.lit("S"), F.col("l_suppkey") % 20).alias("table_name"), F.col("l_orderkey").alias("no"), F.lower(F.concat(F.lit("SQL|"), F.col("l_partkey") % 5)).alias("key"), (F.col("l_orderkey") % 3 == 0).alias("is_native"), "l_linenumber")
+    m = view(spark, sf, "lineitem").select(F.concat(F.lit("P"), F.floor(F.col("l_orderkey") / 64)).alias("project_id"), F.lit("s1").alias("snapshot_id"), F.concat(F.lit("S"), F.col("l_suppkey") % 20).alias("table_name"), F.col("l_orderkey").alias("no"), F.lower(F.concat(F.lit("SQL|"), F.col("l_partkey") % 5)).alias("key"), (F.col("l_orderkey") % 3 == 0).alias("is_native"), "l_linenumber")
     m = m.withColumn("no", F.col("no") * 10 + F.col("l_linenumber"))
     return sm.first_sources(m).select("project_id", "table_name", "no", "key", "is_native")
 
@@ -232,7 +234,7 @@ def j8_expanded(spark, sf):
     """Joined-in columns: expand pair to nested-join column to joined expression to that expression's table."""
     m = _clean(spark, sf)
     joins = m.select(*PK, "table_name", F.explode(mq.nested_joins(F.col("m"))).alias("j")).select(*PK, "table_name", F.col("j.column").alias("column"), F.col("j.expression").alias("expression"))
-    pairs = view(spark, sf, "b_m").select(*PK, "table_name", F.lit("dim").alias("column"), F.concat(F.lit("name"), "k").alias("source_name"), F.concat(F.lit("dim.name"), "k").alias("new_name"))
+    pairs = m.select(*PK, "table_name", F.explode(mq.expand_pairs(F.col("m"))).alias("e")).select(*PK, "table_name", "e.column", "e.source_name", "e.new_name")
     tables = view(spark, sf, "b_m").filter("k % 2 = 0").select(*PK, F.concat(F.lit("Dim "), "k").alias("expression"), F.concat(F.lit("dbo.dim_"), "k").alias("path"))
     return pairs.join(joins, [*PK, "table_name", "column"]).join(tables, [*PK, "expression"], "left").select("project_id", "table_name", "new_name", "source_name", "path")
 
@@ -243,13 +245,13 @@ def j10_name_chain(spark, sf):
 
 def j11_derived(spark, sf):
     """Chains of derived tables: c<n> copies c<n // 2> where 3 divides n; those that 5 divides point at themselves."""
-    c = view(spark, sf, "b_column").filter("table_name = 'Brand#11'").select(*PK, "size")
+    c = view(spark, sf, "b_column").select(*PK, "table_name", "size")
     name = lambda x: F.concat(F.lit("c"), x)
     derived = (F.col("size") % 3 == 0)
-    smap = c.select(*PK, F.lit("D").alias("model_table"), name(F.col("size")).alias("model_column"), F.when(~derived, name(F.col("size"))).alias("source_column"), F.when(~derived, F.concat(F.lit("dbo.t."), name(F.col("size")))).alias("physical_path"), F.when(derived, "unresolved").otherwise("source").alias("origin"), F.when(derived, "unknown").when(F.col("size") % 4 == 1, "inferred").otherwise("exact").alias("confidence"))
+    smap = c.select(*PK, F.col("table_name").alias("model_table"), name(F.col("size")).alias("model_column"), F.when(~derived, name(F.col("size"))).alias("source_column"), F.when(~derived, F.concat(F.lit("dbo.t."), name(F.col("size")))).alias("physical_path"), F.when(derived, "unresolved").otherwise("source").alias("origin"), F.when(derived, "unknown").when(F.col("size") % 4 == 1, "inferred").otherwise("exact").alias("confidence"))
     target = F.when(F.col("size") % 5 == 0, F.col("size")).otherwise(F.floor(F.col("size") / 2))
-    links = c.filter(derived).select(*PK, F.lit("D").alias("model_table"), name(F.col("size")).alias("model_column"), F.lit("D").alias("from_table"), name(target).alias("from_column"))
-    return sm.link_derived(smap, links).select("project_id", "model_column", "physical_path", "origin", "confidence")
+    links = c.filter(derived).select(*PK, F.col("table_name").alias("model_table"), name(F.col("size")).alias("model_column"), F.col("table_name").alias("from_table"), name(target).alias("from_column"))
+    return sm.link_derived(smap, links).select("project_id", "model_table", "model_column", "physical_path", "origin", "confidence")
 
 
 def j13_column_sources(spark, sf):
@@ -271,10 +273,10 @@ _RAW = {
     "x10_data_sources": f"WITH {_SRC} SELECT project_id, table_name, type, server, database, url, path, parameterized FROM src",
     "x11_concatenation": "SELECT project_id, table_name, 'db_' || CASE WHEN connector = 1 THEN 'host-' || lower(project_id) ELSE '{{Unknown}}' END || '_' || k || ' \"q\"' AS resolved, connector = 1 AS complete FROM {b_m}".replace("{{Unknown}}", "' || chr(123) || 'Unknown' || chr(125) || '"),
     "x12_navigation": "SELECT project_id, table_name, CASE WHEN connector <= 2 THEN 'dbo' END AS schema, CASE WHEN connector <= 2 THEN 'tab_' || k END AS item FROM {b_m}",
-    "x13_facts": "SELECT project_id, table_name, 'src_' || k || '>c' || k || ',a b>b' AS renames, 'c' || k || ',added' || k AS selected, 'added' || k AS added, 'Dim ' || k || '>dim' AS joins FROM {b_m}",
-    "x14_steps": "SELECT project_id, table_name, CAST(unnest(range(8)) AS INTEGER) AS step_no, unnest(['Source', 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less', 'Joined', 'Typed']) AS name, unnest(['Source', CASE WHEN connector <= 2 THEN 'Navigation' ELSE 'Source' END, 'Rename', 'AddColumn', 'Projection', 'Projection', 'Join', 'TypeChange']) AS kind FROM {b_m}",
-    "x15_affects_names": "SELECT project_id, table_name, 'Typed' AS name FROM {b_m} WHERE k % 5 = 0",
-    "x16_sql_tables": "SELECT project_id, table_name, 'dbo.tab_' || k || ',dbo.other' AS tables FROM {b_m} WHERE connector = 5",
+    "x13_facts": "SELECT project_id, table_name, 'src_' || k || '>c' || k || ',a b>b' AS renames, 'c' || k || ',added' || k AS selected, 'added' || k AS added, 'Dim ' || k || '>dim' AS joins, 'dim.name' || k || '>dim.name' || k || ',dim.as is>as is' AS expands, CASE WHEN k % 5 = 0 THEN 'Joined,Old ' || k ELSE '' END AS combines FROM {b_m}",
+    "x14_steps": "SELECT project_id, table_name, CAST(unnest(range(CASE WHEN k % 5 = 0 THEN 10 ELSE 9 END)) AS INTEGER) AS step_no, unnest(['Source', 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less', 'Joined'] || CASE WHEN k % 5 = 0 THEN ['More'] ELSE [] END || ['Expanded', 'Typed']) AS name, unnest(['Source', CASE WHEN connector <= 2 THEN 'Navigation' ELSE 'Source' END, 'Rename', 'AddColumn', 'Projection', 'Projection', 'Join'] || CASE WHEN k % 5 = 0 THEN ['Join'] ELSE [] END || ['Expand', 'TypeChange']) AS kind, unnest(['', CASE WHEN connector > 2 AND k % 9 = 0 THEN '' ELSE 'Source' END, 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less'] || CASE WHEN k % 5 = 0 THEN ['Joined'] ELSE [] END || ['Joined', 'Expanded']) AS refs FROM {b_m}",
+    "x15_affects_names": "SELECT project_id, table_name, unnest(['More', 'Typed']) AS name FROM {b_m} WHERE k % 5 = 0",
+    "x16_sql_tables": "SELECT project_id, table_name, 'dbo.tab_' || k || ',dbo.other' AS tables, 'dbo.tab_' || k AS first_path FROM {b_m} WHERE connector = 5",
     "x17_select_list": "SELECT project_id, table_name, 'a,x' || k || ',y' AS names FROM {b_m} WHERE connector = 5",
     "x18_gateway": f"WITH {_SRC} SELECT project_id, table_name, type, connector NOT IN (1, 3) AS gateway FROM src",
     "x19_paths": f"WITH {_SRC} SELECT project_id, table_name, CASE WHEN database IS NULL THEN '' ELSE database || '.' END || 'dbo.tab_' || k AS path FROM src WHERE connector <= 2",
@@ -288,10 +290,10 @@ _RAW = {
     "j3_table_sources": f"WITH {_SRC} SELECT project_id, table_name, lower(type || '|' || CASE WHEN connector = 1 THEN 'ServerName' ELSE coalesce(server, '') END || '|' || coalesce(database, '') || '|' || coalesce(url, '') || '|' || coalesce(path, '')) AS sources FROM src WHERE NOT ({_LOST})",
     "j4_expression_links": "SELECT project_id, table_name, 'Shared' || k AS expression FROM {b_m} WHERE delegated",
     "j5_join_edges": "SELECT a.project_id, a.table_name, b.table_name AS other FROM {b_m} a JOIN {b_m} b ON b.project_id = a.project_id AND b.k = a.k + 8 WHERE a.k % 3 = 0",
-    "a8_deduplicate": "WITH m AS (SELECT 'P' || l_orderkey % 8 AS project_id, 'S' || l_suppkey % 20 AS table_name, l_orderkey * 10 + l_linenumber AS no, 'sql|' || l_partkey % 5 AS key, l_orderkey % 3 = 0 AS is_native FROM {lineitem} WHERE l_quantity = 50), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, table_name, key ORDER BY CASE WHEN is_native THEN 0 ELSE 1 END, no) AS n FROM m) SELECT project_id, table_name, no, key, is_native FROM r WHERE n = 1",
+    "a8_deduplicate": "WITH m AS (SELECT 'P' || CAST(floor(l_orderkey / 64) AS BIGINT) AS project_id, 'S' || l_suppkey % 20 AS table_name, l_orderkey * 10 + l_linenumber AS no, 'sql|' || l_partkey % 5 AS key, l_orderkey % 3 = 0 AS is_native FROM {lineitem}), r AS (SELECT *, row_number() OVER (PARTITION BY project_id, table_name, key ORDER BY CASE WHEN is_native THEN 0 ELSE 1 END, no) AS n FROM m) SELECT project_id, table_name, no, key, is_native FROM r WHERE n = 1",
     "j9_ladder": None,
     "s6_source_rows": None,
-    "j8_expanded": "SELECT project_id, table_name, 'dim.name' || k AS new_name, 'name' || k AS source_name, CASE WHEN k % 2 = 0 THEN 'dbo.dim_' || k END AS path FROM {b_m}",
+    "j8_expanded": "SELECT project_id, table_name, unnest(['dim.name' || k, 'as is']) AS new_name, unnest(['name' || k, 'as is']) AS source_name, CASE WHEN k % 2 = 0 THEN 'dbo.dim_' || k END AS path FROM {b_m}",
     "j10_name_chain": "SELECT project_id, table_name, k % 5 <> 0 AND NOT (connector > 2 AND k % 9 = 0) AS intact FROM {b_m}",
     "j11_derived": None,
     "j13_column_sources": "SELECT project_id, table_name, name, CASE WHEN size % 3 = 0 THEN source_column ELSE name END AS source_column, 'dbo.' || table_name || '.' || CASE WHEN size % 3 = 0 THEN source_column ELSE name END AS path FROM {b_column}",
@@ -305,11 +307,11 @@ CASE WHEN rung = 4 THEN 'e' || size WHEN rung = 7 THEN 'old_' || size ELSE pq EN
 """
 _RAW["j9_ladder"] = _LADDER + "SELECT project_id, model_table, model_column, pq_name, CASE WHEN origin = 'source' THEN s END AS source_column, CASE WHEN origin = 'source' THEN p || '.' || s END AS physical_path, origin, confidence FROM y"
 _RAW["s6_source_rows"] = _LADDER + "SELECT project_id, model_table, model_column, CASE WHEN origin = 'source' THEN p || '.' || s ELSE '' END AS physical_path, confidence FROM y"
-_RAW["j11_derived"] = """WITH RECURSIVE c AS (SELECT project_id, size FROM {b_column} WHERE table_name = 'Brand#11'),
-r AS (SELECT project_id, size AS root, size AS pos, 0 AS hops FROM c WHERE size % 3 = 0 UNION ALL SELECT r.project_id, r.root, c.size, r.hops + 1 FROM r JOIN c ON c.project_id = r.project_id AND c.size = CAST(floor(r.pos / 2) AS BIGINT) WHERE r.pos % 3 = 0 AND r.pos % 5 <> 0 AND r.hops < 10),
-f AS (SELECT project_id, root AS size, pos FROM r WHERE pos % 3 <> 0)
-SELECT c.project_id, 'c' || c.size AS model_column, 'dbo.t.c' || CASE WHEN c.size % 3 <> 0 THEN c.size ELSE f.pos END AS physical_path, CASE WHEN c.size % 3 <> 0 OR f.pos IS NOT NULL THEN 'source' ELSE 'unresolved' END AS origin,
-CASE WHEN c.size % 3 = 0 AND f.pos IS NULL THEN 'unknown' WHEN CASE WHEN c.size % 3 <> 0 THEN c.size ELSE f.pos END % 4 = 1 THEN 'inferred' ELSE 'exact' END AS confidence FROM c LEFT JOIN f USING (project_id, size)"""
+_RAW["j11_derived"] = """WITH RECURSIVE c AS (SELECT project_id, table_name, size FROM {b_column}),
+r AS (SELECT project_id, table_name, size AS root, size AS pos, 0 AS hops FROM c WHERE size % 3 = 0 UNION ALL SELECT r.project_id, r.table_name, r.root, c.size, r.hops + 1 FROM r JOIN c ON c.project_id = r.project_id AND c.table_name = r.table_name AND c.size = CAST(floor(r.pos / 2) AS BIGINT) WHERE r.pos % 3 = 0 AND r.pos % 5 <> 0 AND r.hops < 10),
+f AS (SELECT project_id, table_name, root AS size, pos FROM r WHERE pos % 3 <> 0)
+SELECT c.project_id, c.table_name AS model_table, 'c' || c.size AS model_column, 'dbo.t.c' || CASE WHEN c.size % 3 <> 0 THEN c.size ELSE f.pos END AS physical_path, CASE WHEN c.size % 3 <> 0 OR f.pos IS NOT NULL THEN 'source' ELSE 'unresolved' END AS origin,
+CASE WHEN c.size % 3 = 0 AND f.pos IS NULL THEN 'unknown' WHEN CASE WHEN c.size % 3 <> 0 THEN c.size ELSE f.pos END % 4 = 1 THEN 'inferred' ELSE 'exact' END AS confidence FROM c LEFT JOIN f USING (project_id, table_name, size)"""
 
 QUERIES = {k: f for k, f in globals().items() if k in _RAW}
 ORACLES = {k: oracle(q) for k, q in _RAW.items()}
