@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["license_scan", "quality", "token_counts", "near_duplicates", "vector_search", "toxicity", "sentencepiece_codec", "fingerprint", "private_data", "mixing"]
+MODULES = ["license_scan", "quality", "token_counts", "near_duplicates", "vector_search", "toxicity", "sentencepiece_codec", "fingerprint", "private_data", "mixing", "prefix_trie", "conversation_repair", "warc"]
 
 
 def queries() -> dict:
