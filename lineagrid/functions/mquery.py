@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import call_arguments, split_top
 
-_ARG = r'(?:"([^"]*)"|#"([^"]*)")'
+_ARG = r'(?:"([^"]*)"|(#"[^"]*"|[A-Za-z_]\w*(?=\s*[,)])))'
 # fixed values: connector functions and the systems that they read
 SERVER_DATABASE = {
     r"Sql\.Databases?": "SQL Server", r"AnalysisServices\.Database": "Analysis Services", r"Snowflake\.Databases": "Snowflake", r"PostgreSQL\.Database": "PostgreSQL",
@@ -22,7 +22,7 @@ ON_PREMISES = ["SQL Server", "Oracle", "Teradata", "SAP HANA", "ODBC", "Analysis
 CLOUD = ["Azure Blob Storage", "Dataverse", "Snowflake", "Google BigQuery", "Power BI Dataflow", "OData", "SharePoint Tables", "SharePoint Files", "Fabric Lakehouse", "Fabric Warehouse", "Azure Data Explorer", "Databricks", "Web", "MySQL", "PostgreSQL"]
 CLOUD_HOST = r"(?i)\.database\.windows\.net|\.sql\.azuresynapse\.net|\.datawarehouse\.fabric\.microsoft\.com|\.pbidedicated\.windows\.net|\.asazure\.windows\.net"
 
-_SOURCE = "array<struct<type:string,server:string,database:string,url:string,path:string,parameter:string>>"
+_SOURCE = "array<struct<type:string,server:string,database:string,url:string,path:string,parameter:string,database_parameter:string>>"
 
 
 def strip_comments(m: Column) -> Column:
@@ -39,26 +39,27 @@ def _filled(c: Column) -> Column:
 
 
 def data_sources(m: Column) -> Column:
-    """Connector calls of an M text in which comments are stripped: type, server, database, url, path; a parameter's name where one stands for the server."""
+    """Connector calls of an M text in which comments are stripped: type, server, database, url, path; the names of the parameters that stand for server (or url, path) and database."""
     none = F.lit(None).cast("string")
+    unquoted = lambda c: F.regexp_replace(_filled(c), r'^#"(.*)"$', "$1")
 
     def calls(pattern: str, kind: str, field: str, second: bool = False) -> Column:
         p = pattern + r"\s*\(\s*" + _ARG + (r"\s*(?:,\s*" + _ARG + ")?" if second else "")
         groups = [_all(m, p, g).alias(f"g{g}") for g in range(1, 5 if second else 3)]
 
         def one(x: Column) -> Column:
-            first = F.coalesce(_filled(x.g1), _filled(x.g2))
-            db = F.coalesce(_filled(x.g3), _filled(x.g4)) if second else none
+            first = F.coalesce(_filled(x.g1), unquoted(x.g2))
+            db = F.coalesce(_filled(x.g3), unquoted(x.g4)) if second else none
             at = {c: first if c == field else none for c in ("server", "url", "path")}
-            return F.struct(F.lit(kind).alias("type"), at["server"].alias("server"), db.alias("database"), at["url"].alias("url"), at["path"].alias("path"), _filled(x.g2).alias("parameter"))
+            return F.struct(F.lit(kind).alias("type"), at["server"].alias("server"), db.alias("database"), at["url"].alias("url"), at["path"].alias("path"), unquoted(x.g2).alias("parameter"), (unquoted(x.g4) if second else none).alias("database_parameter"))
 
         return F.transform(F.arrays_zip(*groups), one).cast(_SOURCE)
 
     parts = [calls(p, t, "server", True) for p, t in SERVER_DATABASE.items()] + [calls(p, t, "server") for p, t in SERVER.items()]
     parts += [calls(p, t, "url") for p, t in URL.items()] + [calls(p, t, "path") for p, t in FILE.items()]
-    bare = [F.when(m.rlike(p + r"\s*\("), F.array(F.struct(F.lit(t).alias("type"), *(none.alias(c) for c in ("server", "database", "url", "path", "parameter"))))).otherwise(F.array().cast(_SOURCE)) for p, t in BARE.items()]
+    bare = [F.when(m.rlike(p + r"\s*\("), F.array(F.struct(F.lit(t).alias("type"), *(none.alias(c) for c in ("server", "database", "url", "path", "parameter", "database_parameter"))))).otherwise(F.array().cast(_SOURCE)) for p, t in BARE.items()]
     bq = _all(m, r'GoogleBigQuery\.Database\s*\(\s*\[[^\]]*BillingProject\s*=\s*(?:"([^"]*)"|#?"?([A-Za-z_]\w*)"?)', 1)
-    bq = F.transform(bq, lambda x: F.struct(F.lit("Google BigQuery").alias("type"), _filled(x).alias("server"), *(none.alias(c) for c in ("database", "url", "path", "parameter"))))
+    bq = F.transform(bq, lambda x: F.struct(F.lit("Google BigQuery").alias("type"), _filled(x).alias("server"), *(none.alias(c) for c in ("database", "url", "path", "parameter", "database_parameter"))))
     return F.concat(*parts, *bare, bq.cast(_SOURCE))
 
 
@@ -90,12 +91,34 @@ def resolve_concatenations(texts: DataFrame, text: str, parameters: DataFrame, k
     return texts.join(done, keys, "left")
 
 
-def navigation(m: Column) -> Column:
-    """(schema, item) of the first Schema/Item record, or of tagged Name/Kind records; null parts where nothing is written."""
-    tagged = lambda kind: _filled(F.regexp_extract(m, r'(?i)\{\s*\[\s*Name\s*=\s*"([^"]*)"\s*,\s*Kind\s*=\s*"' + kind + '"', 1))
-    schema = _filled(F.regexp_extract(m, r'\[\s*Schema\s*=\s*"([^"]*)"\s*,\s*Item\s*=\s*"[^"]*"', 1))
-    item = _filled(F.regexp_extract(m, r'\[\s*(?:Schema\s*=\s*"[^"]*"\s*,\s*)?Item\s*=\s*"([^"]*)"', 1))
-    return F.struct(F.coalesce(schema, tagged("(?:Schema|Dataset)")).alias("schema"), F.coalesce(item, tagged("(?:Table|View)")).alias("item"), tagged("(?:Database|Project)").alias("database"))
+def navigation(m: Column, values: Column | None = None) -> Column:
+    """(schema, item, dataset, project) of the records that a text navigates by, null where nothing is written.
+
+    The last Schema/Item record counts; else the last record tagged as a schema or dataset and as a table or view. Records without a tag are
+    positional: the last three are project, dataset and table. Where something else names the table they are the connector's own: a native query's, or the
+    project in front of tagged ones. values: a map of parameters, whose names may stand for texts.
+    """
+    record = r"(?i)\{\s*\[([^\]]*)\]\s*\}\s*\[\s*Data\s*\]"
+
+    def field(r: Column, key: str) -> Column:
+        g = [F.regexp_extract(r, r"\b" + key + r'\s*=\s*(?:"([^"]*)"|#"([^"]*)"|([A-Za-z_]\w*))', i) for i in (1, 2, 3)]
+        name = F.coalesce(_filled(g[1]), _filled(g[2]))
+        return F.coalesce(_filled(g[0]), name if values is None else F.coalesce(F.try_element_at(values, name), name))
+
+    records = F.transform(_all(m, record, 1), lambda r: F.struct(field(r, "Schema").alias("schema"), field(r, "Item").alias("item"), field(r, "Name").alias("name"), F.lower(field(r, "Kind")).alias("kind")))
+    last = lambda keep: F.try_element_at(F.filter(records, keep), F.lit(-1))
+    stated = last(lambda r: r.schema.isNotNull() & r.item.isNotNull())
+    named = lambda *kinds: last(lambda r: r.kind.isin(*kinds) & r["name"].isNotNull())["name"]
+    loose = F.transform(F.filter(records, lambda r: r.kind.isNull() & r["name"].isNotNull()), lambda r: r["name"])
+    back = lambda k: F.try_element_at(loose, F.lit(-k))
+    place = lambda a, b, c, d: F.struct(a.alias("schema"), b.alias("item"), c.alias("dataset"), d.alias("project"))
+    none = F.lit(None).cast("string")
+    schema, item = named("schema", "dataset"), named("table", "view")
+    return (
+        F.when(stated.isNotNull(), place(stated["schema"], stated["item"], none, none))
+        .when(item.isNull() & ~m.rlike(r"Value\.NativeQuery\s*\("), place(schema, back(1), back(2), back(3)))
+        .otherwise(place(schema, item, none, F.try_element_at(loose, F.lit(1))))
+    )
 
 
 def _pairs(args: Column) -> Column:
@@ -123,9 +146,12 @@ def added_columns(m: Column) -> Column:
 
 
 def nested_joins(m: Column) -> Column:
-    """(joined expression, new column) of Table.NestedJoin calls."""
-    args = F.transform(call_arguments(m, ["Table.NestedJoin"]), lambda a: F.struct(F.regexp_extract(a, r'\}\s*,\s*(?:#"([^"]+)"|([A-Za-z_]\w*))', 0).alias("x"), F.regexp_extract(a, r'.*,\s*"([^"]+)"\s*(?:,\s*JoinKind\.\w+\s*)?$', 1).alias("column")))
-    return F.transform(args, lambda s: F.struct(F.regexp_replace(F.regexp_replace(s.x, r"^\}\s*,\s*", ""), r'^#"(.*)"$', "$1").alias("expression"), s.column.alias("column")))
+    """(expression, column, left_keys, right_keys) of Table.NestedJoin calls: what is joined, the new column, the keys of both sides."""
+    keys = r'(\{[^{}]*\}|"[^"]*")'
+    p = r'(?s)^\s*(?:#"[^"]*"|[A-Za-z_]\w*)\s*,\s*' + keys + r'\s*,\s*(?:#"([^"]+)"|([A-Za-z_]\w*))\s*,\s*' + keys + r'\s*,\s*"([^"]+)"'
+    part = lambda a, g: F.regexp_extract(a, p, g)
+    one = lambda a: F.struct(F.coalesce(_filled(part(a, 2)), _filled(part(a, 3))).alias("expression"), part(a, 5).alias("column"), _strings(part(a, 1)).alias("left_keys"), _strings(part(a, 4)).alias("right_keys"))
+    return F.filter(F.transform(call_arguments(m, ["Table.NestedJoin"]), one), lambda j: j.expression.isNotNull())
 
 
 def expand_pairs(m: Column) -> Column:
@@ -146,25 +172,20 @@ def combined(m: Column) -> Column:
     return F.filter(F.transform(F.flatten(F.transform(lists, lambda a: F.split(a, ","))), lambda s: F.regexp_replace(F.trim(s), r'^#"(.*)"$', "$1")), lambda s: s != "")
 
 
-# fixed values: what each kind of step calls
-_KINDS = [
-    ("Projection", r"Table\.(SelectColumns|RemoveColumns|ReorderColumns|RemoveOtherColumns)"), ("Rename", r"Table\.RenameColumns"), ("Filter", r"Table\.(SelectRows|Distinct|FirstN|Skip|RemoveRowsWithErrors)"),
-    ("Join", r"Table\.(NestedJoin|Join|Combine)"), ("AddColumn", r"Table\.(AddColumn|AddIndexColumn|DuplicateColumn)"), ("TypeChange", r"Table\.TransformColumnTypes"), ("Expand", r"Table\.Expand(TableColumn|RecordColumn|ListColumn)"),
-]
+# fixed values: prefixes of connector calls, and the kind of step that each table function makes; any other is Custom
+_CONNECTORS = r"(?i)^(?:Sql\.|GoogleBigQuery\.|AzureDataExplorer\.|Kusto\.|Lakehouse\.|Fabric\.|Databricks\.|Snowflake\.|PostgreSQL\.|MySQL\.|Teradata\.|SapHana\.|Odbc\.|Oracle\.|Excel\.|Csv\.|OData\.|SharePoint\.|PowerBI\.|Web\.|Value\.NativeQuery)"
+_KINDS = {
+    "Table.SelectColumns": "Projection", "Table.RemoveColumns": "Projection", "Table.ReorderColumns": "Projection", "Table.RenameColumns": "Rename", "Table.SelectRows": "Filter", "Table.NestedJoin": "Join", "Table.Combine": "Join",
+    "Table.AddColumn": "AddColumn", "Table.TransformColumnTypes": "TypeChange", "Table.ExpandTableColumn": "Expand",
+}
 # fixed values: table functions that leave column names alone
 KEEPS_NAMES = [
-    # row operations
     "Table.SelectRows", "Table.SelectRowsWithErrors", "Table.RemoveRowsWithErrors", "Table.FindText", "Table.FirstN", "Table.LastN", "Table.Skip", "Table.Range", "Table.AlternateRows", "Table.Repeat",
     "Table.RemoveFirstN", "Table.RemoveLastN", "Table.RemoveRows", "Table.ReverseRows", "Table.InsertRows", "Table.ReplaceRows",
-    # membership and order
     "Table.Distinct", "Table.RemoveMatchingRows", "Table.ReplaceMatchingRows", "Table.Sort", "Table.MinN", "Table.MaxN",
-    # columns that keep their names
     "Table.SelectColumns", "Table.RemoveColumns", "Table.ReorderColumns",
-    # renames that are stated, and read
     "Table.RenameColumns", "Table.ExpandTableColumn", "Table.NestedJoin",
-    # values
     "Table.ReplaceValue", "Table.ReplaceErrorValues", "Table.FillDown", "Table.FillUp", "Table.TransformColumns", "Table.TransformColumnTypes", "Table.AddColumn",
-    # evaluation, and the query itself
     "Table.Buffer", "Table.StopFolding", "Value.NativeQuery",
 ]
 _NAME = r'#"[^"]*"|[A-Za-z_][A-Za-z0-9_]*'
@@ -178,12 +199,16 @@ def steps(m: Column) -> Column:
 
 
 def step_kind(expression: Column) -> Column:
-    nav = expression.rlike(r"^(#\"[^\"]*\"|[A-Za-z_]\w*)\s*\{")
-    source = "|".join([*SERVER_DATABASE, *SERVER, *URL, *FILE, *BARE, r"Value\.NativeQuery", r"GoogleBigQuery\.Database"])
-    out = F.when(nav, "Navigation")
-    for kind, p in _KINDS:
-        out = out.when(expression.rlike("^" + p), kind)
-    return out.when(expression.rlike(source) | expression.rlike(r'^(#"[^"]*"|[A-Za-z_]\w*)$'), "Source").otherwise("Custom")
+    name = r'(?:#"[^"]*"|\w+)'
+    called = F.regexp_extract(expression, r"^(Table\.\w+)\b", 1)
+    kinds = F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))
+    navigation = expression.rlike(rf"^{name}\s*\{{\s*\[") | expression.rlike(rf"^{name}\s*\[")
+    return F.when(expression.rlike(_CONNECTORS), "Source").when(navigation, "Navigation").otherwise(F.coalesce(F.try_element_at(kinds, called), F.lit("Custom")))
+
+
+def bare_name(expression: Column) -> Column:
+    """The name that an expression consists of, null where it is more than a name."""
+    return F.when(expression.rlike("^(?:" + _NAME + ")$"), F.regexp_replace(expression, r'^#"(.*)"$', "$1"))
 
 
 def affects_names(expression: Column) -> Column:
@@ -197,19 +222,20 @@ def affects_names(expression: Column) -> Column:
     call = lambda a: F.regexp_extract(a, r"^([A-Za-z_][A-Za-z0-9_.]*)\s*\($", 1)
     creates = expression.contains("MissingField.UseNull")
     of_arm = F.exists(arms, lambda a: a.endswith("(") & ~call(a).isin(KEEPS_NAMES))
-    simple = F.when(step_kind(expression).isin("Source", "Navigation"), False).otherwise(~fn.isin(KEEPS_NAMES) | creates)
+    simple = F.when(step_kind(expression).isin("Source", "Navigation") | bare_name(expression).isNotNull(), False).otherwise(~fn.isin(KEEPS_NAMES) | creates)
     return F.when(expression.rlike(r"^if\b"), (F.size(arms) == 0) | of_arm | creates).otherwise(simple)
 
 
 def dangling(expression: Column, names: Column) -> Column:
     """Whether a step merely names something that is no step of its query."""
-    return expression.rlike("^(?:" + _NAME + ")$") & ~F.array_contains(names, F.regexp_replace(expression, r'^#"(.*)"$', "$1"))
+    return bare_name(expression).isNotNull() & ~F.array_contains(names, bare_name(expression))
 
 
 def step_references(expression: Column, names: Column) -> Column:
-    """Steps of the query that a step's expression names outside string literals, once each, in order."""
+    """Steps of the query that a step's expression names outside string literals, once each, in order: a name counts after an opening bracket,
+    a comma or white space and before a comma, an opening bracket, a closing round one or the end."""
     bare = F.regexp_replace(expression, r'(#"[^"]*")|"(?:[^"]|"")*"', "$1")
-    said = F.transform(_all(bare, r'#"[^"]*"|[A-Za-z_][A-Za-z0-9_.]*', 0), lambda x: F.regexp_replace(x, r'^#"(.*)"$', "$1"))
+    said = F.transform(_all(bare, r"(?<=^|[,({\s])(?:" + _NAME + r")(?=\s*(?:[,\[{)]|$))", 0), lambda x: F.regexp_replace(x, r'^#"(.*)"$', "$1"))
     return F.array_intersect(said, names)
 
 

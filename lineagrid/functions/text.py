@@ -46,17 +46,26 @@ def pieces(text: str | None, sep: str = ",") -> list[str]:
     return [*out, text[start:].strip()]
 
 
+_BRACKETS = re.compile(r'"(?:[^"]|"")*(?:"|$)|[(\[{)\]}]')
+
+
 def spans(text: str | None, opener: re.Pattern) -> list[str]:
-    """Argument texts of the calls that opener (ending in an open bracket) matches; calls without an end are left out."""
-    out = []
-    for m in opener.finditer(text or ""):
-        depth = 1
-        for i, c in _tokens(text[m.end() :]):
-            depth += (c in _OPEN) - (c in _CLOSE)
-            if depth == 0:
-                out.append(text[m.end() : m.end() + i])
-                break
-    return out
+    """Argument texts of the calls that opener (ending in an open bracket) matches outside string literals, in order; calls without an end are left out.
+
+    One pass: open brackets are held on a stack, and a closing one ends the call, if any, that the last of them began.
+    """
+    text = text or ""
+    begins = {m.end() - 1 for m in opener.finditer(text)}
+    stack: list[int] = []
+    found: dict[int, str] = {}
+    if begins:
+        for m in _BRACKETS.finditer(text):
+            c = m[0]
+            if c in _OPEN:
+                stack.append(m.start())
+            elif c in _CLOSE and stack and (at := stack.pop()) in begins:
+                found[at] = text[at + 1 : m.start()]
+    return [found[at] for at in sorted(found)]
 
 
 def split_top(text: Column, sep: str = ",") -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,30 +111,103 @@ def orphans(nodes: DataFrame, edges: DataFrame, of: str = "measure", shown_by: s
     return nodes.filter(F.col("type") == of).join(hit.select(*PK, F.col("node").alias("id")), [*PK, "id"], "left_anti")
 
 
-def chains(edges: DataFrame, seeds: DataFrame, max_depth: int = 4) -> DataFrame:
-    """(pk, seed, node, depth, path, is_cycle): every path up to max_depth; a node already on its path closes a cycle and ends it."""
-    walk = cut(steps(edges, "upstream"))
-    level = cut(seeds.select(*PK, "seed").distinct().select(*PK, "seed", F.col("seed").alias("node"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.lit(False).alias("is_cycle")))
-    out = level
-    for depth in range(1, max_depth + 1):
-        open_ = level.filter(~F.col("is_cycle")).withColumnRenamed("node", "from").drop("is_cycle", "depth")
-        level = cut(open_.join(walk, [*PK, "from"]).select(*PK, "seed", F.col("to").alias("node"), F.lit(depth).alias("depth"), F.concat("path", F.array("to")).alias("path"), F.array_contains("path", F.col("to")).alias("is_cycle")))
-        if level.isEmpty():
+def routes(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, str, str]], direction: str = "downstream") -> DataFrame:
+    """(pk, seed, node, state, depth): what seeds reach by the routes of a small automaton, with the state in which a node is reached.
+
+    moves: (state, edge type, next state); seeds are in the first move's state. The walk goes over the product of graph and automaton, so how a
+    node was come by is part of the walk: one that is reached in two states has two rows. States are words.
+    """
+    a, b = ("target", "source") if direction == "downstream" else ("source", "target")
+    of = {t: F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, u, y in moves if u == t)) for t in sorted({m[1] for m in moves})}
+    kinds = F.lit(None).cast("array<struct<x:string,y:string>>")
+    for t, m in of.items():
+        kinds = F.when(F.col("type") == t, m).otherwise(kinds)
+    at = lambda state, node: F.concat(state, F.lit(" "), node)
+    product = edges.select(*PK, F.col(a).alias("a"), F.col(b).alias("b"), F.explode(kinds).alias("m")).select(*PK, at(F.col("m.x"), F.col("a")).alias("source"), at(F.col("m.y"), F.col("b")).alias("target"))
+    start = F.lit(f"{moves[0][0]} ")
+    found = closure(product, seeds.select(*PK, F.concat(start, "seed").alias("seed")), "upstream")
+    return found.select(*PK, F.expr(f"substring(seed, {len(moves[0][0]) + 2})").alias("seed"), F.expr("substring(node, instr(node, ' ') + 1)").alias("node"), F.substring_index("node", " ", 1).alias("state"), "depth")
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges (pk, from, to) on or between circles: an end that nothing leads to, or on from, is taken off with its edges until none is left."""
+    n = e.count()
+    while n:
+        into, out = e.select(*PK, F.col("to").alias("from")).distinct(), e.select(*PK, F.col("from").alias("to")).distinct()
+        e = cut(e.join(into, [*PK, "from"], "left_semi").join(out, [*PK, "to"], "left_semi").select(*PK, "from", "to"))
+        left = e.count()
+        if left == n:
             break
-        out = out.unionByName(level)
-    return out
+        n = left
+    return e
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(pk, node, component): strongly connected components of more than one node, named by their greatest node.
+
+    What lies on no circle is trimmed off first. Then each node gets the greatest node that reaches it (forward), and of those of one mark the component is what leads back to
+    it (backward); the components found are taken out, and the rest goes round again.
+    """
+    e = _trimmed(cut(steps(edges, "upstream").filter(F.col("from") != F.col("to"))))
+    found = None
+    while not e.isEmpty():
+        mark = cut(e.select(*PK, F.col("from").alias("node")).unionByName(e.select(*PK, F.col("to").alias("node"))).distinct().withColumn("mark", F.col("node")))
+        while True:
+            passed = e.join(mark.withColumnRenamed("node", "from"), [*PK, "from"]).groupBy(*PK, F.col("to").alias("node")).agg(F.max("mark").alias("m"))
+            nxt = cut(mark.join(passed, [*PK, "node"], "left").select(*PK, "node", F.greatest("mark", F.coalesce("m", "mark")).alias("mark"), (F.col("m") > F.col("mark")).alias("moved")))
+            mark = nxt.select(*PK, "node", "mark")
+            if nxt.filter("moved").isEmpty():
+                break
+        same = e.join(mark.select(*PK, F.col("node").alias("from"), F.col("mark").alias("f")), [*PK, "from"]).join(mark.select(*PK, F.col("node").alias("to"), F.col("mark").alias("t")), [*PK, "to"]).filter("f = t")
+        back = reached(same.select(*PK, F.col("from").alias("source"), F.col("to").alias("target")), mark.filter("node = mark").select(*PK, "node"), "downstream").select(*PK, "node").join(mark, [*PK, "node"]).select(*PK, "node", F.col("mark").alias("component"))
+        part = cut(back)
+        found = part if found is None else found.unionByName(part)
+        gone = part.select(*PK, "node")
+        e = _trimmed(cut(e.join(gone.withColumnRenamed("node", "from"), [*PK, "from"], "left_anti").join(gone.withColumnRenamed("node", "to"), [*PK, "to"], "left_anti")))
+    if found is None:
+        return edges.select(*PK, F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
+    return found.withColumn("_n", F.count("*").over(Window.partitionBy(*PK, "component"))).filter("_n > 1").drop("_n")
+
+
+def _closing(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The edges of a component that close a circle, for each node by which it can be entered: those to a node on the path on which they are met, children by name."""
+    first = pdf.iloc[0]
+    on: dict[str, list[str]] = {}
+    for a, b in sorted(zip(pdf["from"], pdf["to"], strict=True)):
+        on.setdefault(a, []).append(b)
+    out = []
+    for entry in on:
+        path, seen, todo = {entry: None}, {entry}, [(entry, iter(on[entry]))]
+        while todo:
+            node, rest = todo[-1]
+            child = next(rest, None)
+            if child is None:
+                todo.pop()
+                del path[node]
+            elif child in path:
+                out.append((entry, node, child))
+            elif child not in seen:
+                path[child] = None
+                seen.add(child)
+                todo.append((child, iter(on[child])))
+    return pd.DataFrame([(*(first[k] for k in PK), first["component"], *x) for x in out], columns=[*PK, "component", "entry", "parent", "node"])
 
 
 def chain_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(pk, seed, parent, node, is_cycle): the whole chain under each seed as the edges of its closure, each once however many paths
-    run over it; is_cycle where the node leads back to the parent."""
-    found = cut(closure(edges, seeds).select(*PK, "seed", "node"))
+    """(pk, seed, parent, node, is_cycle): the whole chain under each seed as the edges of its closure, each once however many paths run over it.
+
+    is_cycle marks the edges that close a circle: those that lead back to a node on the path by which they are met. Paths are followed inside components only, from the node by which
+    the seed comes into one (the nearest, of equally near ones the first by name); what lies on no circle carries none.
+    """
+    member = cut(seeds.select(*PK, "seed", F.col("seed").alias("parent"), F.lit(0).alias("depth")).distinct().unionByName(closure(edges, seeds).withColumnRenamed("node", "parent")))
     walk = steps(edges, "upstream").select(*PK, F.col("from").alias("parent"), F.col("to").alias("node"))
-    member = seeds.select(*PK, "seed", F.col("seed").alias("parent")).distinct().unionByName(found.withColumnRenamed("node", "parent"))
-    # who leads back: the closure of the nodes themselves
-    ends = closure(edges, walk.select(*PK, F.col("node").alias("seed")).distinct()).select(*PK, F.col("seed").alias("node"), F.col("node").alias("parent"), F.lit(True).alias("back"))
-    marked = walk.join(ends, [*PK, "node", "parent"], "left").select(*PK, "parent", "node", (F.coalesce("back", F.lit(False)) | (F.col("parent") == F.col("node"))).alias("is_cycle"))
-    return member.join(marked, [*PK, "parent"]).select(*PK, "seed", "parent", "node", "is_cycle")
+    comp = cut(components(edges))
+    inside = walk.join(comp.withColumnRenamed("node", "parent"), [*PK, "parent"]).join(comp.select(*PK, "node", F.col("component").alias("_c")), [*PK, "node"]).filter("component = _c")
+    closing = inside.select(*PK, "component", F.col("parent").alias("from"), F.col("node").alias("to")).groupBy(*PK, "component").applyInPandas(_closing, "project_id string, snapshot_id string, component string, entry string, parent string, node string")
+    entry = member.join(comp.withColumnRenamed("node", "parent"), [*PK, "parent"]).groupBy(*PK, "seed", "component").agg(F.min(F.struct("depth", "parent")).alias("e")).select(*PK, "seed", "component", F.col("e.parent").alias("entry"))
+    marks = entry.join(closing, [*PK, "component", "entry"]).select(*PK, "seed", "parent", "node", F.lit(True).alias("closes"))
+    out = member.select(*PK, "seed", "parent").join(walk, [*PK, "parent"]).join(marks, [*PK, "seed", "parent", "node"], "left")
+    return out.select(*PK, "seed", "parent", "node", (F.coalesce("closes", F.lit(False)) | (F.col("parent") == F.col("node"))).alias("is_cycle"))
 
 
 def direct_users(edges: DataFrame, of: str) -> DataFrame:

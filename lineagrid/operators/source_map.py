@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import mquery as mq
 from .common import PK, cut
 
 
@@ -35,13 +36,19 @@ def first_sources(sources: DataFrame) -> DataFrame:
     return sources.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def name_chain(steps: DataFrame) -> DataFrame:
-    """(pk, table_name, intact): every step is known, renames nothing, and refers to nothing but steps.
+def name_chain(steps: DataFrame, upstream: DataFrame | None = None) -> DataFrame:
+    """(pk, table_name, intact): no step may rename a column, and none merely names what is no step of the chain and no table that it reads.
 
-    steps: (pk, table_name, kind, affects_names, dangling).
+    steps: (pk, table_name, name, expression), those of shared expressions put in place. upstream: (pk, table_name, upstream), the model
+    table that a chain goes on in. A table without steps has no row.
     """
-    ok = (F.col("kind") != "Custom") & ~F.col("affects_names") & ~F.col("dangling")
-    return steps.groupBy(*PK, "table_name").agg(F.bool_and(ok).alias("intact"))
+    s = steps.withColumn("named", mq.bare_name(F.col("expression")))
+    known = steps.select(*PK, "table_name", F.col("name").alias("named"))
+    if upstream is not None:
+        known = known.unionByName(upstream.select(*PK, "table_name", F.col("upstream").alias("named")))
+    s = s.join(known.distinct().withColumn("known", F.lit(True)), [*PK, "table_name", "named"], "left")
+    ok = F.when(F.col("named").isNotNull(), F.coalesce("known", F.lit(False))).otherwise(~mq.affects_names(F.col("expression")))
+    return s.groupBy(*PK, "table_name").agg(F.bool_and(ok).alias("intact"))
 
 
 def _lookup(df: DataFrame, facts: DataFrame, by: str, out: list[str], prefix: str) -> DataFrame:
@@ -86,26 +93,37 @@ def resolve_columns(columns: DataFrame, tables: DataFrame, renames: DataFrame, a
     return c.select(*PK, F.col("table_name").alias("model_table"), F.col("name").alias("model_column"), "pq_name", ladder.alias("x")).select(*PK, "model_table", "model_column", "pq_name", "x.source_column", "x.physical_path", "x.origin", "x.confidence")
 
 
-def link_derived(source_map: DataFrame, links: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """source_map with unresolved columns of derived tables filled from the columns that they copy.
+def link_derived(source_map: DataFrame, links: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """source_map with unresolved columns of derived tables filled from the columns that they copy, and ``also_from``.
 
-    links: (pk, model_table, model_column, from_table, from_column). Confidence is the weaker of the two; circles stay unresolved.
+    links: (pk, model_table, model_column, from_table, from_column, hop); hop is 1 where that the names agree is an assumption, else 0. Confidence is the
+    weakest along the way; a chain of any length is followed, circles stay unresolved. also: (pk, model_table, model_column, no, also_table, also_column), further
+    columns that a derived one reads; also_from holds the paths of those that have one, in the order of no, else null.
     """
-    rank = F.when(F.col("confidence") == "exact", 0).when(F.col("confidence") == "inferred", 1).otherwise(2)
+    key = [*PK, "model_table", "model_column"]
+    rank = F.when(F.col("confidence") == "exact", 0).otherwise(1)
     state = cut(source_map)
-    todo = links.join(state.filter("origin = 'unresolved'").select(*PK, "model_table", "model_column"), [*PK, "model_table", "model_column"], "left_semi")
-    todo = cut(todo.withColumn("via", F.lit(0)))
-    known = cut(state.filter("physical_path is not null").select(*PK, F.col("model_table").alias("from_table"), F.col("model_column").alias("from_column"), "physical_path", "source_column", rank.alias("rank")))
+    at = lambda df: df.select(*PK, F.col("model_table").alias("from_table"), F.col("model_column").alias("from_column"), "physical_path", "source_column", "origin", "rank")
+    todo = cut(links.join(state.filter("origin = 'unresolved'").select(*key), key, "left_semi"))
+    known = cut(at(state.filter("confidence <> 'unknown'").withColumn("rank", rank)))
     found = None
-    for _ in range(max_rounds):
-        hit = cut(todo.join(known, [*PK, "from_table", "from_column"]).groupBy(*PK, "model_table", "model_column").agg(F.min(F.struct("from_table", "from_column", "physical_path", "source_column", "rank")).alias("h")).select(*PK, "model_table", "model_column", "h.physical_path", "h.source_column", "h.rank"))
+    while True:
+        best = F.min(F.struct(F.greatest("hop", "rank").alias("rank"), "from_table", "from_column", "physical_path", "source_column", "origin")).alias("h")
+        hit = cut(todo.join(known, [*PK, "from_table", "from_column"]).groupBy(*key).agg(best).select(*key, "h.physical_path", "h.source_column", "h.origin", "h.rank"))
         if hit.isEmpty():
             break
         found = hit if found is None else found.unionByName(hit)
-        todo = cut(todo.join(hit.select(*PK, "model_table", "model_column"), [*PK, "model_table", "model_column"], "left_anti"))
-        known = hit.select(*PK, F.col("model_table").alias("from_table"), F.col("model_column").alias("from_column"), "physical_path", "source_column", "rank")
-    if found is None:
-        return state
-    f = found.select(*PK, "model_table", "model_column", F.col("physical_path").alias("_p"), F.col("source_column").alias("_s"), F.col("rank").alias("_r"))
-    conf = F.when(F.col("_r").isNull(), F.col("confidence")).when(F.col("_r") == 0, "exact").otherwise("inferred")
-    return state.join(f, [*PK, "model_table", "model_column"], "left").withColumns({"confidence": conf, "origin": F.when(F.col("_p").isNotNull(), "source").otherwise(F.col("origin")), "physical_path": F.coalesce("_p", "physical_path"), "source_column": F.coalesce("_s", "source_column")}).drop("_p", "_s", "_r")
+        todo = cut(todo.join(hit.select(*key), key, "left_anti"))
+        known = at(hit)
+    out = state
+    if found is not None:
+        f = found.select(*key, *(F.col(c).alias(f"_{c}") for c in ("physical_path", "source_column", "origin", "rank")))
+        conf = F.when(F.col("_rank").isNull(), F.col("confidence")).when(F.col("_rank") == 0, "exact").otherwise("inferred")
+        out = state.join(f, key, "left").withColumns({"confidence": conf, **{c: F.coalesce(f"_{c}", c) for c in ("origin", "physical_path", "source_column")}}).drop("_physical_path", "_source_column", "_origin", "_rank")
+        out = cut(out)
+    if also is None:
+        return out.withColumn("also_from", F.lit(None).cast("array<string>"))
+    paths = out.filter("confidence <> 'unknown' and physical_path is not null").select(*PK, F.col("model_table").alias("also_table"), F.col("model_column").alias("also_column"), "physical_path")
+    more = also.join(paths, [*PK, "also_table", "also_column"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "physical_path"))), lambda x: x.physical_path).alias("also_from"))
+    linked = F.when(F.col("origin") != "unresolved", F.col("also_from"))
+    return out.join(more, key, "left").withColumn("also_from", linked)

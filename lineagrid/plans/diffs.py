@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diff as d
+from ..operators.common import PK, cut, node_id
 from . import graphs
 from .bridge import oracle, view
 
@@ -155,13 +156,30 @@ def a7_summary(spark, sf):
     return d.summary(_all_changes(spark, sf), _P)
 
 
+def _missing_after(spark, sf):
+    """(pk, node): measures that the after side doesn't have."""
+    key = F.col("i") * 8 + F.expr("CAST(substring(project_id, 2) AS BIGINT)")
+    return view(spark, sf, "b_measure").filter(key % 10 == 1).select(*PK, node_id("measure", F.col("table_name"), F.col("name")).alias("node"))
+
+
 def d11_changes(spark, sf):
-    """All changes; those of measures and calculation items with the visuals that they reach: shown directly, by a field parameter, under a calculation group."""
-    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n_visuals")).otherwise(0))
-    by_measure = graphs.g15_change_impact(spark, sf).groupBy("project_id", F.lit("measure").alias("scope"), F.col("seed").alias("node")).agg(of("direct").alias("direct"), of("field_parameter").alias("parameter"), of("calculation_group").alias("grouped"))
-    by_group = view(spark, sf, "b_applied").groupBy("project_id", F.lit("calculation_item").alias("scope"), F.col("calc_group").alias("node")).agg(F.lit(0).alias("direct"), F.lit(0).alias("parameter"), F.count("*").alias("grouped"))
+    """All changes; those of measures and calculation items with the visuals that they reach in the after snapshot: at all, by a field parameter, under a calculation group.
+
+    The walk starts from what has changed alone, over the graph of the after side: what is removed has no impact, and what only it led to isn't reached.
+    """
+    changes = cut(_all_changes(spark, sf))
+    gone = cut(_missing_after(spark, sf))
+    edges = graphs.routed_edges(spark, sf)
+    for end in ("source", "target"):
+        edges = edges.join(gone.withColumnRenamed("node", end), [*PK, end], "left_anti")
     node = F.when(F.col("scope") == "measure", F.concat(F.lit("measure::"), "target")).when(F.col("scope") == "calculation_item", F.split_part("target", F.lit("."), F.lit(1)))
-    out = _all_changes(spark, sf).withColumn("node", node).join(by_measure.unionByName(by_group), ["project_id", "scope", "node"], "left")
+    changes = changes.withColumn("node", node)
+    seeds = changes.filter("scope = 'measure'").select("project_id", F.lit("s1").alias("snapshot_id"), F.col("node").alias("seed")).distinct().join(gone.withColumnRenamed("node", "seed"), [*PK, "seed"], "left_anti")
+    applied = view(spark, sf, "b_applied").select(*PK, graphs._visual_id())
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    by_measure = graphs.impact(edges, seeds, applied).groupBy("project_id", F.lit("measure").alias("scope"), F.col("seed").alias("node")).agg(of("direct").alias("direct"), of("field_parameter").alias("parameter"), of("calculation_group").alias("grouped"))
+    by_group = view(spark, sf, "b_applied").groupBy("project_id", F.lit("calculation_item").alias("scope"), F.col("calc_group").alias("node")).agg(F.lit(0).alias("direct"), F.lit(0).alias("parameter"), F.count("*").alias("grouped"))
+    out = changes.join(by_measure.unionByName(by_group), ["project_id", "scope", "node"], "left")
     return out.select("project_id", "scope", "type", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(f"n_{c}") for c in ("direct", "parameter", "grouped")))
 
 
@@ -214,7 +232,11 @@ _ALL = " UNION ALL ".join(
     for scope, (detector, keys) in _DETECTORS.items()
 )
 _RAW["a7_summary"] = f"WITH c AS ({_ALL}) SELECT project_id, type, scope, count(*) AS n FROM c GROUP BY GROUPING SETS ((project_id), (project_id, type), (project_id, scope))"
-_RAW["d11_changes"] = f"""WITH c AS ({_ALL}), g AS ({graphs.SQL["g15_change_impact"]}),
+# the same routes over what the after side has: views without the measures that it lacks
+_AFTER = graphs.SQL["g15_change_impact"].replace("{b_mm}", "after_mm").replace("{b_edge}", "after_edge").replace("{b_measure}", "after_measure").replace("WITH RECURSIVE ", """WITH RECURSIVE after_measure AS (SELECT * FROM {b_measure} WHERE (i * 8 + CAST(substr(project_id, 2) AS BIGINT)) % 10 <> 1),
+kept AS (SELECT project_id, 'measure::' || table_name || '.' || name AS id FROM after_measure), after_mm AS (SELECT m.* FROM {b_mm} m JOIN kept a ON a.project_id = m.project_id AND a.id = m.source JOIN kept b ON b.project_id = m.project_id AND b.id = m.target),
+after_edge AS (SELECT e.* FROM {b_edge} e JOIN kept b ON b.project_id = e.project_id AND b.id = e.target WHERE e.type = 'visual_to_field'), """, 1)
+_RAW["d11_changes"] = f"""WITH c AS ({_ALL}), g AS ({_AFTER}),
 i AS (SELECT project_id, 'measure' AS scope, seed AS node, sum(CASE kind WHEN 'direct' THEN n_visuals ELSE 0 END) AS d, sum(CASE kind WHEN 'field_parameter' THEN n_visuals ELSE 0 END) AS p, sum(CASE kind WHEN 'calculation_group' THEN n_visuals ELSE 0 END) AS cg FROM g GROUP BY project_id, seed
 UNION ALL SELECT project_id, 'calculation_item', calc_group, 0, 0, count(*) FROM {{b_applied}} GROUP BY project_id, calc_group)
 SELECT c.project_id, c.scope, c.type, c.target, CAST(coalesce(i.d, 0) AS BIGINT) AS n_direct, CAST(coalesce(i.p, 0) AS BIGINT) AS n_parameter, CAST(coalesce(i.cg, 0) AS BIGINT) AS n_grouped

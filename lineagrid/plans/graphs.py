@@ -109,10 +109,10 @@ def g9_reached(spark, sf_dir):
     return _measure_seeds(spark, sf_dir).withColumnRenamed("seed", "node").join(hit, [*PK, "node"], "left").select("project_id", F.col("node").alias("measure"), F.col("depth").isNotNull().alias("is_reached"))
 
 
-def _measure_columns(spark, sf_dir):
+def _measure_columns(spark, sf_dir, max_depth=None):
     """(pk, seed, parent, column): columns under each measure, with the measures of its chain that read them."""
     seeds = _measure_seeds(spark, sf_dir)
-    chain = g.closure(_edges(spark, sf_dir, _M), seeds, max_depth=32).select(*PK, "seed", "node").unionByName(seeds.select(*PK, "seed", F.col("seed").alias("node")))
+    chain = g.closure(_edges(spark, sf_dir, _M), seeds, max_depth=max_depth).select(*PK, "seed", "node").unionByName(seeds.select(*PK, "seed", F.col("seed").alias("node")))
     mc = _edges(spark, sf_dir, "measure_to_column")
     return chain.join(mc.select(*PK, F.col("source").alias("node"), F.col("target").alias("column")), [*PK, "node"]).select(*PK, "seed", F.col("node").alias("parent"), "column")
 
@@ -125,7 +125,7 @@ def _column_facts(spark, sf_dir):
 
 def g10_trace(spark, sf_dir):
     """Per measure: its distinct physical columns and those without a known source."""
-    t = _measure_columns(spark, sf_dir).select(*PK, "seed", "column").distinct().join(_column_facts(spark, sf_dir), [*PK, "column"])
+    t = _measure_columns(spark, sf_dir, 32).select(*PK, "seed", "column").distinct().join(_column_facts(spark, sf_dir), [*PK, "column"])
     return t.groupBy("project_id", "seed").agg(F.count("path").alias("n_physical"), F.count_if(F.col("path").isNull()).alias("n_unresolved"), F.min("path").alias("first_path"))
 
 
@@ -136,11 +136,33 @@ def g11_source_table(spark, sf_dir):
     return t.select("project_id", "seed", "column", F.array_join("parents", "|").alias("parents"), "path", rename.alias("rename"))
 
 
+#: How a change of a measure comes to a visual: through measures, then shown (v), or offered by a parameter (p) that the visual is bound to (w).
+MOVES = [("m", "measure_to_measure", "m"), ("m", "visual_to_field", "v"), ("m", "field_param_to_field", "p"), ("p", "visual_to_field", "w")]
+
+
+def _offered(spark, sf_dir):
+    """(pk, parameter_table, node, display_name): measures that parameters offer, by names that differ in case."""
+    offer = view(spark, sf_dir, "b_offer").select(*PK, "parameter_table", F.lower("offered").alias("key"), F.concat(F.lit("Show "), "ordinal").alias("display_name"))
+    measure = view(spark, sf_dir, "b_measure").select(*PK, F.lower("name").alias("key"), node_id("measure", F.col("table_name"), F.col("name")).alias("node"))
+    return offer.join(measure, [*PK, "key"]).select(*PK, "parameter_table", "node", "display_name")
+
+
+def routed_edges(spark, sf_dir):
+    """Edges that a change can come along, parameters and the visuals bound to them included."""
+    table = node_id("table", F.col("parameter_table"))
+    offers = _offered(spark, sf_dir).select(*PK, table.alias("source"), F.col("node").alias("target"), F.lit("field_param_to_field").alias("type")).distinct()
+    bound = view(spark, sf_dir, "b_bound").select(*PK, _visual_id().alias("source"), table.alias("target"), F.lit("visual_to_field").alias("type"))
+    return _edges(spark, sf_dir, _M, "visual_to_field").unionByName(offers).unionByName(bound)
+
+
 def g12_visuals(spark, sf_dir):
-    """Visuals that show a measure, directly or through other measures."""
-    down = g.closure(_edges(spark, sf_dir, _M, "visual_to_field"), _measure_seeds(spark, sf_dir), "downstream")
+    """Visuals that a measure comes to: by a parameter, with what the parameter calls it, else shown directly or through other measures."""
+    r = g.routes(routed_edges(spark, sf_dir), _measure_seeds(spark, sf_dir), MOVES).filter("state in ('v', 'w')")
+    binding = F.when(F.bool_or(F.col("state") == "w"), "fieldParameter").when(F.min("depth") == 1, "direct").otherwise("indirect")
+    r = r.groupBy(*PK, "seed", "node").agg(binding.alias("binding"))
+    names = view(spark, sf_dir, "b_bound").select(*PK, _visual_id().alias("v"), "parameter_table").join(_offered(spark, sf_dir), [*PK, "parameter_table"]).groupBy(*PK, F.col("v").alias("node"), F.col("node").alias("seed")).agg(F.min("display_name").alias("display_name"))
     vis = view(spark, sf_dir, "b_node").filter("type = 'visual'").select(*PK, F.col("id").alias("node"), F.col("name").alias("title"))
-    return down.join(vis, [*PK, "node"]).select("project_id", F.col("seed").alias("measure"), F.col("node").alias("visual"), "title", F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("binding"))
+    return r.join(vis, [*PK, "node"]).join(names, [*PK, "seed", "node"], "left").select("project_id", F.col("seed").alias("measure"), F.col("node").alias("visual"), "title", "binding", "display_name")
 
 
 def _visual_id():
@@ -161,8 +183,8 @@ def g13_visual_lineage(spark, sf_dir):
 
 
 def g14_trace_graph(spark, sf_dir):
-    """Lanes of each measure's trace: source, table, column, measure and visual, each node once."""
-    cols = _measure_columns(spark, sf_dir)
+    """Lanes of each measure's trace, of at most 16 steps: source, table, column, measure and visual, each node once."""
+    cols = _measure_columns(spark, sf_dir, 16)
     c = cols.select(*PK, "seed", F.col("column").alias("node")).distinct()
     facts = _column_facts(spark, sf_dir).withColumnRenamed("column", "node")
     with_facts = c.join(facts, [*PK, "node"])
@@ -178,17 +200,19 @@ def g14_trace_graph(spark, sf_dir):
     return out.groupBy("project_id", "seed", "lane").agg(F.count("*").alias("n"), F.min("node").alias("first"))
 
 
+def impact(edges: DataFrame, seeds: DataFrame, applied: DataFrame) -> DataFrame:
+    """(pk, seed, kind, visual): visuals that a change of the seeds reaches: at all (direct), by a parameter that offers the seed itself, and those that apply a calculation group."""
+    r = cut(g.routes(edges, seeds, MOVES).filter("state in ('v', 'w')").withColumnRenamed("node", "visual"))
+    all_ = r.select(*PK, "seed", "visual").distinct()
+    kinds = {"direct": all_, "field_parameter": r.filter("state = 'w' and depth = 2").select(*PK, "seed", "visual"), "calculation_group": all_.join(applied.select(*PK, "visual").distinct(), [*PK, "visual"], "left_semi")}
+    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()])
+
+
 def g15_change_impact(spark, sf_dir):
-    """Visuals that a change of a measure reaches (directly shown, by a parameter that offers it, or under a calculation group that the visual applies)."""
-    down = g.closure(_edges(spark, sf_dir, _M, "visual_to_field"), _measure_seeds(spark, sf_dir), "downstream", stop=view(spark, sf_dir, "b_node").filter("type = 'visual'").select(*PK, F.col("id").alias("node")))
-    vis = down.filter("node like 'visual::%'").select(*PK, "seed", F.col("node").alias("visual"))
-    offers = view(spark, sf_dir, "b_offer").select(*PK, F.lower("offered").alias("key"), "parameter_table").distinct()
-    seeds = _measure_seeds(spark, sf_dir).withColumn("key", F.lower(F.regexp_extract("seed", r"\.([^.]*)$", 1)))
-    offered = seeds.join(offers, [*PK, "key"], "left_semi").select(*PK, "seed")
-    par = vis.join(offered, [*PK, "seed"], "left_semi")
-    grouped = vis.join(view(spark, sf_dir, "b_applied").select(*PK, _visual_id()).distinct(), [*PK, "visual"], "left_semi")
-    kinds = {"direct": vis, "field_parameter": par, "calculation_group": grouped}
-    return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in kinds.items()]).dropDuplicates([*PK, "seed", "kind", "visual"]).groupBy("project_id", "seed", "kind").agg(F.count("*").alias("n_visuals"), F.min("visual").alias("first_visual"))
+    """Number and first of the visuals that a change of a measure reaches, by kind."""
+    applied = view(spark, sf_dir, "b_applied").select(*PK, _visual_id())
+    i = impact(routed_edges(spark, sf_dir), _measure_seeds(spark, sf_dir), applied)
+    return i.groupBy("project_id", "seed", "kind").agg(F.count("*").alias("n_visuals"), F.min("visual").alias("first_visual"))
 
 
 def j1_binding(spark, sf_dir):
@@ -221,7 +245,13 @@ _CHAIN = _RM + ", s AS (SELECT project_id, id AS seed FROM {b_node} WHERE type =
 ch AS (SELECT project_id, seed, node FROM c UNION ALL SELECT project_id, seed, seed FROM s),
 cc AS (SELECT ch.project_id, ch.seed, ch.node AS parent, mc.target AS col FROM ch JOIN mc ON mc.project_id = ch.project_id AND mc.source = ch.node),
 fact AS (SELECT project_id, 'column::' || table_name || '.' || name AS col, CASE WHEN size % 11 <> 0 THEN 'dbo.' || table_name || '.' || source_column END AS path, source_column, name, table_name FROM {b_column})"""
-_VIS = "WITH RECURSIVE e AS (SELECT DISTINCT project_id, target AS source, source AS target FROM {b_edge} WHERE type IN ('measure_to_measure', 'visual_to_field')), " + _CLOSURE.replace("WITH RECURSIVE ", "") + ", m AS (SELECT project_id, id FROM {b_node} WHERE type = 'measure')"
+# x: each measure that a measure is, or is read by, with the visuals that show it and those bound to a parameter that offers it
+_ROUTES = _RM + """, up AS (SELECT project_id, node AS seed, seed AS node FROM c UNION ALL SELECT project_id, id, id FROM {b_node} WHERE type = 'measure'),
+x AS (SELECT u.project_id, u.seed, u.node, f.source AS visual, false AS par, CAST(NULL AS VARCHAR) AS display FROM up u JOIN {b_edge} f ON f.type = 'visual_to_field' AND f.project_id = u.project_id AND f.target = u.node
+UNION ALL SELECT u.project_id, u.seed, u.node, 'visual::' || b.page_id || '.' || b.visual_id, true, 'Show ' || o.ordinal FROM up u JOIN {b_measure} m ON m.project_id = u.project_id AND u.node = 'measure::' || m.table_name || '.' || m.name JOIN {b_offer} o ON o.project_id = m.project_id AND lower(o.offered) = lower(m.name) JOIN {b_bound} b ON b.project_id = o.project_id AND b.parameter_table = o.parameter_table)"""
+_KINDS = """, a AS (SELECT DISTINCT project_id, seed, 'direct' AS kind, visual FROM x UNION ALL SELECT DISTINCT project_id, seed, 'field_parameter', visual FROM x WHERE par AND node = seed
+UNION ALL SELECT DISTINCT x.project_id, x.seed, 'calculation_group', x.visual FROM x JOIN {b_applied} p ON p.project_id = x.project_id AND x.visual = 'visual::' || p.page_id || '.' || p.visual_id)
+SELECT project_id, seed, kind, count(*) AS n_visuals, min(visual) AS first_visual FROM a GROUP BY project_id, seed, kind"""
 
 SQL = {
     "flagship": _CHAIN + """, n AS (SELECT project_id, seed, count(DISTINCT col) AS n FROM cc GROUP BY project_id, seed),
@@ -244,17 +274,19 @@ SELECT r.project_id, r.seed, 'downstream' AS direction, n.type, count(*) AS n FR
     "g7_orphans": """WITH RECURSIVE e AS (SELECT DISTINCT project_id, source, target FROM {b_edge}),
 r AS (SELECT project_id, id AS node FROM {b_node} WHERE type = 'visual' UNION SELECT r.project_id, e.target FROM r JOIN e ON e.project_id = r.project_id AND e.source = r.node)
 SELECT n.project_id, n.id, n.name FROM {b_node} n WHERE n.type = 'measure' AND NOT EXISTS (SELECT 1 FROM r WHERE r.project_id = n.project_id AND r.node = n.id)""",
-    "g8_chains": _RM + """, m AS (SELECT project_id, id AS seed, id AS parent FROM {b_node} WHERE type = 'measure' UNION ALL SELECT project_id, seed, node FROM c)
-SELECT m.project_id, m.seed, m.parent, e.target AS node, e.source = e.target OR EXISTS (SELECT 1 FROM c WHERE c.project_id = m.project_id AND c.seed = e.target AND c.node = e.source) AS is_cycle
-FROM m JOIN e ON e.project_id = m.project_id AND e.source = m.parent""",
+    "g8_chains": _RM + """, m AS (SELECT project_id, id AS seed, id AS node, 0 AS depth FROM {b_node} WHERE type = 'measure' UNION ALL SELECT project_id, seed, node, depth FROM c),
+pair AS (SELECT a.project_id, a.seed AS x, a.node AS y FROM c a JOIN c b ON b.project_id = a.project_id AND b.seed = a.node AND b.node = a.seed),
+z AS (SELECT m.project_id, m.seed, p.y, min({'d': m.depth, 'n': m.node}).n AS entry FROM m JOIN (SELECT project_id, x, y FROM pair UNION SELECT project_id, x, x FROM pair) p ON p.project_id = m.project_id AND p.x = m.node GROUP BY m.project_id, m.seed, p.y)
+SELECT m.project_id, m.seed, m.node AS parent, e.target AS node, e.source = e.target OR (z.entry IS NOT NULL AND EXISTS (SELECT 1 FROM pair WHERE pair.project_id = m.project_id AND pair.x = m.node AND pair.y = e.target)) AS is_cycle
+FROM m JOIN e ON e.project_id = m.project_id AND e.source = m.node LEFT JOIN z ON z.project_id = m.project_id AND z.seed = m.seed AND z.y = e.target AND z.entry = e.target""",
     "g9_reached": """WITH RECURSIVE e AS (SELECT DISTINCT project_id, source, target FROM {b_mm}),
 r AS (SELECT DISTINCT project_id, 'measure::' || table_name || '.' || name AS node FROM {b_shown} UNION SELECT r.project_id, e.target FROM r JOIN e ON e.project_id = r.project_id AND e.source = r.node)
 SELECT n.project_id, n.id AS measure, EXISTS (SELECT 1 FROM r WHERE r.project_id = n.project_id AND r.node = n.id) AS is_reached FROM {b_node} n WHERE n.type = 'measure'""",
     "g10_trace": _CHAIN + " SELECT x.project_id, x.seed, count(path) AS n_physical, count(*) - count(path) AS n_unresolved, min(path) AS first_path FROM (SELECT DISTINCT project_id, seed, col FROM cc) x JOIN fact USING (project_id, col) GROUP BY x.project_id, x.seed",
     "g11_source_table": _CHAIN + """ SELECT x.project_id, x.seed, x.col AS "column", x.parents, fact.path, CASE WHEN source_column <> name THEN source_column || ' -> ' || name END AS rename
 FROM (SELECT project_id, seed, col, string_agg(DISTINCT parent, '|' ORDER BY parent) AS parents FROM cc GROUP BY project_id, seed, col) x JOIN fact USING (project_id, col)""",
-    "g12_visuals": _VIS + """ SELECT c.project_id, c.seed AS measure, c.node AS visual, n.name AS title, CASE WHEN c.depth = 1 THEN 'direct' ELSE 'indirect' END AS binding
-FROM c JOIN m ON m.project_id = c.project_id AND m.id = c.seed JOIN {b_node} n ON n.project_id = c.project_id AND n.id = c.node AND n.type = 'visual'""",
+    "g12_visuals": _ROUTES + """ SELECT x.project_id, x.seed AS measure, x.visual, n.name AS title, CASE WHEN bool_or(par) THEN 'fieldParameter' WHEN bool_or(x.node = x.seed) THEN 'direct' ELSE 'indirect' END AS binding, min(CASE WHEN par AND x.node = x.seed THEN display END) AS display_name
+FROM x JOIN {b_node} n ON n.project_id = x.project_id AND n.id = x.visual AND n.type = 'visual' GROUP BY ALL""",
     "g13_visual_lineage": """WITH d AS (SELECT DISTINCT project_id, source AS visual, target AS item FROM {b_edge} WHERE type = 'visual_to_field'),
 p AS (SELECT DISTINCT b.project_id, 'visual::' || b.page_id || '.' || b.visual_id AS visual, 'measure::' || m.table_name || '.' || m.name AS item FROM {b_bound} b JOIN {b_offer} o ON o.project_id = b.project_id AND o.parameter_table = b.parameter_table JOIN {b_measure} m ON m.project_id = o.project_id AND lower(m.name) = lower(o.offered)),
 a AS (SELECT *, 'direct' AS kind FROM d UNION ALL SELECT p.*, 'parameter' FROM p ANTI JOIN d ON d.project_id = p.project_id AND d.visual = p.visual AND d.item = p.item
@@ -264,11 +296,7 @@ SELECT project_id, visual, kind, string_agg(item, '|' ORDER BY item) AS items FR
 l AS (SELECT DISTINCT project_id, seed, 0 AS lane, 'source::dbo.' || table_name AS node FROM x WHERE path IS NOT NULL UNION ALL SELECT DISTINCT project_id, seed, 1, 'table::' || table_name FROM x
 UNION ALL SELECT project_id, seed, 2, col FROM x UNION ALL SELECT DISTINCT project_id, seed, 3, parent FROM cc UNION ALL SELECT DISTINCT project_id, target, 4, source FROM {b_edge} WHERE type = 'visual_to_field')
 SELECT project_id, seed, lane, count(*) AS n, min(node) AS first FROM l GROUP BY project_id, seed, lane""",
-    "g15_change_impact": _VIS + """, v AS (SELECT c.project_id, c.seed, c.node AS visual FROM c JOIN m ON m.project_id = c.project_id AND m.id = c.seed WHERE c.node LIKE 'visual::%'),
-o AS (SELECT DISTINCT b.project_id, 'measure::' || b.table_name || '.' || b.name AS id FROM {b_measure} b JOIN {b_offer} f ON f.project_id = b.project_id AND lower(f.offered) = lower(b.name)),
-a AS (SELECT *, 'direct' AS kind FROM v UNION ALL SELECT v.*, 'field_parameter' FROM v JOIN o ON o.project_id = v.project_id AND o.id = v.seed
-UNION ALL SELECT v.*, 'calculation_group' FROM v WHERE EXISTS (SELECT 1 FROM {b_applied} p WHERE p.project_id = v.project_id AND v.visual = 'visual::' || p.page_id || '.' || p.visual_id))
-SELECT project_id, seed, kind, count(*) AS n_visuals, min(visual) AS first_visual FROM a GROUP BY project_id, seed, kind""",
+    "g15_change_impact": _ROUTES + _KINDS,
     "j1_binding": "SELECT DISTINCT project_id, source, target, type FROM {b_edge} WHERE type IN ('measure_to_measure', 'measure_to_column')",
     "x2_column_refs": """SELECT project_id, table_name, name, table_name AS ref_table, 'c' || CAST(size AS STRING) AS ref_name FROM {b_measure}
 UNION ALL SELECT a.project_id, a.table_name, a.name, b.table_name, b.name FROM {b_dep} d JOIN {b_measure} a ON a.project_id = d.project_id AND a.i = d.i JOIN {b_measure} b ON b.project_id = d.project_id AND b.i = d.j WHERE d.form = 'qualified'""",

@@ -74,7 +74,7 @@ def x12_navigation(spark, sf):
 def x13_facts(spark, sf):
     m = F.col("m")
     pairs = F.array_join(F.transform(mq.rename_pairs(m), lambda p: F.concat(p.old, F.lit(">"), p.new)), ",")
-    joins = F.array_join(F.transform(mq.nested_joins(m), lambda j: F.concat(j.expression, F.lit(">"), j.column)), ",")
+    joins = F.array_join(F.transform(mq.nested_joins(m), lambda j: F.concat(j.expression, F.lit("("), F.array_join(j.left_keys, "+"), F.lit("="), F.array_join(j.right_keys, "+"), F.lit(")>"), j.column)), ",")
     expands = F.array_join(F.transform(mq.expand_pairs(m), lambda e: F.concat(e.column, F.lit("."), e.source_name, F.lit(">"), e.new_name)), ",")
     return _clean(spark, sf).select("project_id", "table_name", pairs.alias("renames"), F.array_join(mq.selected_columns(m), ",").alias("selected"), F.array_join(mq.added_columns(m), ",").alias("added"), joins.alias("joins"), expands.alias("expands"), F.array_join(mq.combined(m), ",").alias("combines"))
 
@@ -82,7 +82,7 @@ def x13_facts(spark, sf):
 def _steps(spark, sf):
     s = _clean(spark, sf).select(*PK, "table_name", mq.steps(F.col("m")).alias("all")).select(*PK, "table_name", F.transform("all", lambda x: x["name"]).alias("names"), F.posexplode("all").alias("step_no", "s"))
     e = F.col("s.expression")
-    return s.select(*PK, "table_name", "step_no", "s.name", mq.step_kind(e).alias("kind"), mq.affects_names(e).alias("affects_names"), mq.dangling(e, F.col("names")).alias("dangling"), mq.step_references(e, F.col("names")).alias("refs"))
+    return s.select(*PK, "table_name", "step_no", "s.name", "s.expression", mq.step_kind(e).alias("kind"), mq.affects_names(e).alias("affects_names"), mq.dangling(e, F.col("names")).alias("dangling"), mq.step_references(e, F.col("names")).alias("refs"))
 
 
 def x14_steps(spark, sf):
@@ -250,7 +250,7 @@ def j11_derived(spark, sf):
     derived = (F.col("size") % 3 == 0)
     smap = c.select(*PK, F.col("table_name").alias("model_table"), name(F.col("size")).alias("model_column"), F.when(~derived, name(F.col("size"))).alias("source_column"), F.when(~derived, F.concat(F.lit("dbo.t."), name(F.col("size")))).alias("physical_path"), F.when(derived, "unresolved").otherwise("source").alias("origin"), F.when(derived, "unknown").when(F.col("size") % 4 == 1, "inferred").otherwise("exact").alias("confidence"))
     target = F.when(F.col("size") % 5 == 0, F.col("size")).otherwise(F.floor(F.col("size") / 2))
-    links = c.filter(derived).select(*PK, F.col("table_name").alias("model_table"), name(F.col("size")).alias("model_column"), F.col("table_name").alias("from_table"), name(target).alias("from_column"))
+    links = c.filter(derived).select(*PK, F.col("table_name").alias("model_table"), name(F.col("size")).alias("model_column"), F.col("table_name").alias("from_table"), name(target).alias("from_column"), F.lit(0).alias("hop"))
     return sm.link_derived(smap, links).select("project_id", "model_table", "model_column", "physical_path", "origin", "confidence")
 
 
@@ -273,8 +273,8 @@ _RAW = {
     "x10_data_sources": f"WITH {_SRC} SELECT project_id, table_name, type, server, database, url, path, parameterized FROM src",
     "x11_concatenation": "SELECT project_id, table_name, 'db_' || CASE WHEN connector = 1 THEN 'host-' || lower(project_id) ELSE '{{Unknown}}' END || '_' || k || ' \"q\"' AS resolved, connector = 1 AS complete FROM {b_m}".replace("{{Unknown}}", "' || chr(123) || 'Unknown' || chr(125) || '"),
     "x12_navigation": "SELECT project_id, table_name, CASE WHEN connector <= 2 THEN 'dbo' END AS schema, CASE WHEN connector <= 2 THEN 'tab_' || k END AS item FROM {b_m}",
-    "x13_facts": "SELECT project_id, table_name, 'src_' || k || '>c' || k || ',a b>b' AS renames, 'c' || k || ',added' || k AS selected, 'added' || k AS added, 'Dim ' || k || '>dim' AS joins, 'dim.name' || k || '>dim.name' || k || ',dim.as is>as is' AS expands, CASE WHEN k % 5 = 0 THEN 'Joined,Old ' || k ELSE '' END AS combines FROM {b_m}",
-    "x14_steps": "SELECT project_id, table_name, CAST(unnest(range(CASE WHEN k % 5 = 0 THEN 10 ELSE 9 END)) AS INTEGER) AS step_no, unnest(['Source', 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less', 'Joined'] || CASE WHEN k % 5 = 0 THEN ['More'] ELSE [] END || ['Expanded', 'Typed']) AS name, unnest(['Source', CASE WHEN connector <= 2 THEN 'Navigation' ELSE 'Source' END, 'Rename', 'AddColumn', 'Projection', 'Projection', 'Join'] || CASE WHEN k % 5 = 0 THEN ['Join'] ELSE [] END || ['Expand', 'TypeChange']) AS kind, unnest(['', CASE WHEN connector > 2 AND k % 9 = 0 THEN '' ELSE 'Source' END, 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less'] || CASE WHEN k % 5 = 0 THEN ['Joined'] ELSE [] END || ['Joined', 'Expanded']) AS refs FROM {b_m}",
+    "x13_facts": "SELECT project_id, table_name, 'src_' || k || '>c' || k || ',a b>b' AS renames, 'c' || k || ',added' || k AS selected, 'added' || k AS added, 'Dim ' || k || '(k=k)>dim' AS joins, 'dim.name' || k || '>dim.name' || k || ',dim.as is>as is' AS expands, CASE WHEN k % 5 = 0 THEN 'Joined,Old ' || k ELSE '' END AS combines FROM {b_m}",
+    "x14_steps": "SELECT project_id, table_name, CAST(unnest(range(CASE WHEN k % 5 = 0 THEN 10 ELSE 9 END)) AS INTEGER) AS step_no, unnest(['Source', 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less', 'Joined'] || CASE WHEN k % 5 = 0 THEN ['More'] ELSE [] END || ['Expanded', 'Typed']) AS name, unnest(['Source', CASE WHEN connector <= 2 THEN 'Navigation' ELSE 'Custom' END, 'Rename', 'AddColumn', 'Projection', 'Projection', 'Join'] || CASE WHEN k % 5 = 0 THEN ['Join'] ELSE [] END || ['Expand', 'TypeChange']) AS kind, unnest(['', CASE WHEN connector > 2 AND k % 9 = 0 THEN '' ELSE 'Source' END, 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less'] || CASE WHEN k % 5 = 0 THEN ['Joined'] ELSE [] END || ['Joined', 'Expanded']) AS refs FROM {b_m}",
     "x15_affects_names": "SELECT project_id, table_name, unnest(['More', 'Typed']) AS name FROM {b_m} WHERE k % 5 = 0",
     "x16_sql_tables": "SELECT project_id, table_name, 'dbo.tab_' || k || ',dbo.other' AS tables, 'dbo.tab_' || k AS first_path FROM {b_m} WHERE connector = 5",
     "x17_select_list": "SELECT project_id, table_name, 'a,x' || k || ',y' AS names FROM {b_m} WHERE connector = 5",

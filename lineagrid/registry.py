@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``plans`` that hold QUERIES and ORACLES.
-MODULES: list[str] = ["graphs", "models", "diffs", "sources", "ingest"]
+MODULES: list[str] = ["graphs", "models", "diffs", "sources", "ingest", "jobs"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

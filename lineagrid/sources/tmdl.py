@@ -125,7 +125,7 @@ def partitions(objects: DataFrame) -> DataFrame:
     """Partitions; a refresh policy's source comes before the partition's own body."""
     policy = objects.filter("object = 'refreshPolicy'").groupBy(*PK, "table_name").agg(F.min("expression").alias("policy"))
     p = objects.filter("object = 'partition'").join(policy, [*PK, "table_name"], "left")
-    return p.select(*PK, "table_name", "name", F.col("props")["type"].alias("type"), F.lower(F.col("props")["mode"]).alias("mode"), F.coalesce("policy", "expression").alias("m_body"), F.col("props")["entityName"].alias("entity_name"), F.col("props")["schemaName"].alias("schema_name"), F.col("props")["expressionSource"].alias("expression_source"))
+    return p.select(*PK, "table_name", "name", F.col("props")["type"].alias("type"), F.lower(F.col("props")["mode"]).alias("mode"), F.coalesce("policy", "expression").alias("m_body"), "ordinal", *(unquoted_sql(F.col("props")[k]).alias(c) for k, c in (("entityName", "entity_name"), ("schemaName", "schema_name"), ("expressionSource", "expression_source"))))
 
 
 def calculation_items(objects: DataFrame) -> DataFrame:
