@@ -33,24 +33,32 @@ def low(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
+def found_templates(w):
+    """(labels, best share) of templates in any run of words of their own length and a half."""
+    labels, best = set(), 0.0
+    for label, said, need in license_scan.wordings(license_scan.TEMPLATES):
+        n, distinct = license_scan.run_length(said), set(need)
+        if not distinct & set(w):
+            continue
+        share = max((len(distinct & set(w[k : k + n])) / len(distinct) for k in range(len(w)) if w[k] in distinct), default=0)
+        if share >= 0.9:
+            labels.add(label)
+            best = max(best, share)
+    return labels, best
+
+
 def test_license_scan(spark):
     out = license_scan.license_scan(docs(spark, EDGE))
     words = lambda t: re.findall(license_scan.WORD, low(t))
     want = []
     for i, t, _ in EDGE:
-        w, at, labels, best, base = words(t), [], set(), 0.0, set()
+        w, at, base = words(t), [], set()
         for p, label in license_scan.PHRASES.items():
             q = p.split()
             hits = [k for k in range(len(w)) if w[k : k + len(q)] == q]
             at += hits
             base |= {label} if hits else set()
-        for label, tpl in license_scan.TEMPLATES.items():
-            need = set(words(tpl))
-            for line in low(t).split("\n"):
-                share = len(need & set(words(line))) / len(need)
-                if share >= 0.9:
-                    labels.add(label)
-                    best = max(best, share)
+        labels, best = found_templates(w)
         want.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), best))
     assert rows(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score") == sorted(want, key=repr)
     assert license_scan.license_scan(docs(spark, [])).count() == 0
@@ -58,30 +66,25 @@ def test_license_scan(spark):
 
 def test_license_scan_across_line_breaks(spark):
     """Hard-wrapped templates are found, scattered words of one long line are not; against all runs of words."""
-    longest = 2 * max(len(license_scan.words_of(t)) for t in license_scan.TEMPLATES.values())
+    block = max(license_scan.run_length(w) for _, w, _ in license_scan.wordings(license_scan.TEMPLATES))
     r = random.Random(11)
     texts = []
-    for label in ("bsd", "isc", "mpl-2.0", "cc0-1.0", "copyright"):
-        w = license_scan.TEMPLATES[label].split()
-        for before in (0, 1, longest - 5, longest, 2 * longest - 1, 700):
+    for label in ("bsd", "isc", "mpl-2.0", "cc0-1.0", "mit"):
+        w = license_scan.TEMPLATES[label]
+        w = (w if isinstance(w, str) else w[-1]).split()
+        for before in (0, 1, block - 5, block, 2 * block - 1, 700):
             texts.append(" ".join(f"q{k}" for k in range(before)) + "\n * " + " ".join(w[: len(w) // 2]) + "\n * " + " ".join(w[len(w) // 2 :]) + " tail" * r.choice([0, 1, 300]))
-    texts += [" ".join([x] + ["filler"] * 60) for x in ("copyright",)] + [("filler " * 60).join(["copyright ", "all ", "rights ", "reserved "])]
-    texts += ["copyright" + " f" * n + " all rights reserved" for n in range(longest - 6, longest)]
-    vocab = sorted({x for t in license_scan.TEMPLATES.values() for x in license_scan.words_of(t)})
+    texts += [" ".join(["copyright"] + ["filler"] * 60), ("filler " * 60).join(["copyright ", "all ", "rights ", "reserved "])]
+    texts += ["copyright" + " f" * n + " all rights reserved" for n in range(6)]
+    # the words of a template near each other, but not as a license
+    texts += ["The MIT professor spoke at length. He said that under the new rules the data was released to the public and that every visitor needs a license.", "Copyright law protects all books. The author reserved two copies and kept the rights."]
+    none = range(len(texts) - 2, len(texts))
+    vocab = sorted({x for _, _, words in license_scan.wordings(license_scan.TEMPLATES) for x in words})
     texts += [" ".join(r.choice(vocab[:40]) for _ in range(r.randint(1, 300))) for _ in range(30)]
-    want = []
-    for i, t in enumerate(texts):
-        w, labels, best = license_scan.words_of(t), set(), 0.0
-        for label, tpl in license_scan.TEMPLATES.items():
-            need = set(license_scan.words_of(tpl))
-            share = max((len(need & set(w[k : k + longest])) / len(need) for k in range(max(1, len(w) - longest + 1))), default=0)
-            if share >= 0.9:
-                labels.add(label)
-                best = max(best, share)
-        want.append((i, labels, best))
-    assert {"bsd"} <= want[0][1] and {"isc"} <= want[6][1] and not want[31][1]
+    want = [found_templates(license_scan.words_of(t)) for t in texts]
+    assert {"bsd"} <= want[0][0] and {"isc"} <= want[6][0] and {"mit"} <= want[24][0] and not want[31][0] and not any(want[i][0] for i in none)
     got = {x.doc_id: x for x in license_scan.license_scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
-    for i, labels, best in want:
+    for i, (labels, best) in enumerate(want):
         assert {x.label for x in got[i].templates or []} == labels and got[i].score == best, texts[i][:200]
 
 
