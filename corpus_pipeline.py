@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineagrid.llm.common import folder, table
+from lineagrid.llm.common import cut, folder, table
 from lineagrid.llm.mixing import mix
 from lineagrid.llm.near_duplicates import near_duplicates
 from lineagrid.llm.private_data import all_spans, find_private, sanitise
@@ -33,22 +33,41 @@ def _joined(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws."""
+    """Documents that importance resampling draws.
+
+    Null and empty texts have weight 0 and stay where that is enough; rows equal in id and text are drawn together, as one decision for both; an
+    empty table gives none.
+    """
     kept = resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "text_md5").distinct()
     return _joined(docs, kept, "left_semi").select(*COLUMNS)
 
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """docs with ``node``: doc_id, but for ids that stand for several texts, and rows without an id, a number above 2^62 from id and text."""
+    docs = _md5(docs)
+    several = cut(docs.groupBy("doc_id").agg(F.min("text_md5").alias("lo"), F.max("text_md5").alias("hi")).filter("lo < hi and doc_id is not null").select("doc_id", F.lit(True).alias("several")))
+    own = F.lit(2**62) + F.pmod(F.xxhash64("doc_id", "text_md5"), F.lit(2**62))
+    return docs.join(several, "doc_id", "left").withColumn("node", F.when(F.col("several") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id"))).drop("several", "text_md5")
+
+
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id, and one row of it; rows without an id are in no group and stay."""
-    groups = near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("r = 1")
-    return one.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """Of each group of near-duplicates one document: that of the smallest id, or one whose id or text stands alone.
+
+    Rows equal in id and text are one document, of which the row that is least by lang, source and n_chars stays; one id with several texts is as many documents, and so are texts without an id. Null
+    and empty texts are like nothing, not even each other; of those without an id one stays.
+    """
+    rows = _nodes(docs)
+    kept = near_duplicates(rows.select(F.col("node").alias("doc_id"), "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct()
+    same = rows.join(kept, "node", "left_semi").groupBy("node").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("m"))
+    return same.select("doc_id", "text", "m.*").select(*COLUMNS)
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose personal data and disclosing terms are replaced by the name of their kind."""
+    """Documents whose personal data and disclosing terms are replaced by the name of their kind; no row goes.
+
+    Null and empty texts have no spans and stay as they are; rows equal in id and text are changed alike. Terms count from one text on: a document that holds an
+    entity loses the words that stand in few texts but its own, about thirty (0.4 % of all words at sf0.1, where 440 of 10,000 documents hold one).
+    """
     spans = all_spans(F.col("base"), F.col("terms"))
     found = find_private(docs).select("doc_id", "text_md5", spans.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_md5"])
     text = F.when(F.col("spans").isNotNull(), sanitise(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
@@ -71,7 +90,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their number and digests."""
+    """Token ids of each document, with their number and digests; a null or empty text has the begin and end ids alone, repeated rows the same."""
     return encode_documents(docs, with_ids=True)
 
 

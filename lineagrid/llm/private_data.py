@@ -123,10 +123,10 @@ def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 1) -> D
     words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: w.rlike("[^0-9]") & (F.length(w) >= 3))
     each = land(held.join(bounds, "rid").select("rid", "n", "most", F.explode(words).alias("term")))
     # a word stands in at least as many documents as hold it and an entity: what is too common even so needs no count
-    wanted = each.groupBy("term").agg(F.sum("n").alias("n_held"), F.max("most").alias("most")).filter("n_held <= most").select("term")
+    wanted = land(each.groupBy("term").agg(F.sum("n").alias("n_held"), F.max("most").alias("most")).filter("n_held <= most").select("term"))
     everywhere = among(docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")), wanted, "term")
     counts = everywhere.groupBy("term").agg(F.count("*").alias("n_t"))
-    rare = land(each.join(counts, "term").filter("n_t <= most").select("rid", "n", "term", "n_t"))
+    rare = land(among(each, wanted, "term").join(counts, "term").filter("n_t <= most").select("rid", "n", "term", "n_t"))
     pairs = rare.join(holds, "rid")
     joint = pairs.groupBy("group", "term", "n_e", "n_t").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
     pmi = F.log2(total * F.col("n_te") / (F.col("n_t") * F.col("n_e")))

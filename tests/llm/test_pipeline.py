@@ -102,6 +102,16 @@ def test_rows_without_an_id_and_repeats(spark):
     assert corpus_pipeline.mixed(spark, clean, SF).filter("text is null").count() == 0
 
 
+def test_one_id_of_several_texts(spark):
+    """What stands under one id is judged by its text: unlike texts stay, copies under another id or none go."""
+    a, b = "one text of quite a few words that nobody else has", "another text which is not like the first one in any way"
+    d = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "de", "s", 1), (2, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, "en", "t", 1), (None, None, "en", "s", 1), (3, "", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.dedupe(spark, d, SF).collect()
+    assert sorted(r.text or "" for r in left) == ["", "", b, a]
+    assert [(r.doc_id, r.lang) for r in left if r.text == a] == [(2, "en")]
+    assert corpus_pipeline.dedupe(spark, d.filter("doc_id = 1"), SF).count() == 2
+
+
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, rid long, sig long, size long, key string, r int, text_md5 string"
 
 
@@ -118,3 +128,9 @@ def test_stage_on_nothing_and_on_odd_rows(spark, name):
     want = {"quality": None, "near_duplicates": 5, "private_data": 6, "mixing": None, "sentencepiece": 6}[name]
     n = out.count()
     assert n == want if want else n > 0
+    if name == "quality":  # rows stay or go as they are, repeated ones together
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert set(kept) <= {(i, t) for i, t, _, _ in odd} and kept.count((1, odd[0][1])) in (0, 2)
+    if name == "mixing":  # nothing is taken of texts without words, and no more than twice of any other
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert {i for i, _ in kept} <= {1, 4, None} and all(t for _, t in kept) and kept.count((4, odd[5][1])) <= 2
