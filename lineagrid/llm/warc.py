@@ -327,7 +327,8 @@ def read_archives(files: DataFrame, blocks: bool = True) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=_READ_ARROW)
 
-    return files.select("path").repartition("path").mapInArrow(read, _READ)
+    n = files.count()  # a task for each file, as a few names would be taken together
+    return files.select("path").repartition(max(1, n)).mapInArrow(read, _READ)
 
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
