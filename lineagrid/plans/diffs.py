@@ -133,6 +133,35 @@ def d10_bookmarks(spark, sf):
     return reduce(DataFrame.unionByName, parts).select(*keys, "what", "type", "before_value", "after_value")
 
 
+def d9_bookmark_refs(spark, sf):
+    """Buttons whose bookmarks change: the ids are read from the visuals' JSON."""
+    v = view(spark, sf, "b_visual").select("project_id", "page_id", "visual_id", "vkey")
+    k = F.col("vkey")
+    name = lambda x: F.concat(F.lit("Bookmark"), F.substring(F.md5(x.cast("string")), 1, 20))
+    body = lambda other: F.concat(F.lit('{"visual": {"visualContainerObjects": {"visualLink": [{"properties": {"bookmark": {"expr": {"Literal": {"Value": "\''), name(k), F.lit("'\"}}}}}, {\"a\": \""), name(other), F.lit('"}]}}}'))
+    side = lambda df, other: df.select("project_id", "page_id", "visual_id", d.bookmark_refs(body(other)).alias("refs"))
+    keys = ["project_id", "page_id", "visual_id"]
+    out = d.set_diff(side(v.filter(k % 10 != 0), k + 1), side(v.filter(k % 10 != 1), F.when(k % 7 == 0, k + 2).when(k % 13 == 0, k).otherwise(k + 1)), keys, "refs")
+    return out.select(*keys, F.array_join("gained", ",").alias("gained"), F.array_join("lost", ",").alias("lost"))
+
+
+def d10_overrides(spark, sf):
+    """What changes within bookmarks, by path: filter overrides, targets and sections out of their JSON."""
+    e = view(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).alias("bookmark")).agg(F.min("user_id").alias("user"), F.min("event_type").alias("kind"))
+    e = e.select((F.col("bookmark") % 8).alias("project_id"), "bookmark", F.col("user").cast("string").alias("user"), "kind")
+    k = F.col("bookmark")
+
+    def text(section, value, more, swapped):
+        c = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+        by_name = F.when(swapped, c('{"g": {"n": null}, "f": {"op": "In", "v": [1, ', value, "]}}")).otherwise(c('{"f": {"op": "In",  "v": [1, ', value, ']}, "g": {"n": null}}'))
+        return c('{"displayName": "B ', k.cast("string"), ' \\"q\\"", "options": {"targetVisualNames": ["v1"', more, ']}, "unused": ', value, ', "explorationState": {"activeSection": "', section, '", "filters": {"byName": ', by_name, ', "byExpr": [{"e": "', F.col("kind"), '"}]}}}')
+
+    none = F.lit("")
+    b = e.filter(k % 10 != 0).select("project_id", "bookmark", d.bookmark_summary(text(F.col("user"), F.lit("2"), none, F.lit(False))).alias("text"))
+    a = e.filter(k % 10 != 1).select("project_id", "bookmark", d.bookmark_summary(text(F.when(k % 11 == 0, F.concat("user", F.lit("x"))).otherwise(F.col("user")), F.when(k % 7 == 0, "3").otherwise("2"), F.when(k % 13 == 0, ', "v2"').otherwise(""), k % 3 == 0)).alias("text"))
+    return d.path_diff(b, a, ["project_id", "bookmark"], "text", "bookmark").select("project_id", "bookmark", "path", "type", "before_value", "after_value")
+
+
 # what each detector reports: scope -> (detector, columns that name what changed)
 _DETECTORS = {
     "page": ("d7_pages", ["page_id"]), "filter": ("d8_filters", ["level", "name"]), "visual": ("d9_visuals", ["page_id", "visual_id"]), "binding": ("d9_bindings", ["page_id", "visual_id"]),
@@ -224,6 +253,11 @@ SELECT project_id, level, name, type, CASE WHEN type = 'filter_changed' THEN 'ne
 coalesce(string_agg(CASE WHEN i % 10 = 0 THEN 'M' || i END, ',' ORDER BY 'M' || i), '') AS gained, coalesce(string_agg(CASE WHEN i % 10 = 1 THEN 'M' || i END, ',' ORDER BY 'M' || i), '') AS lost FROM f GROUP BY ALL)
 SELECT project_id, page_id, visual_id, gained, lost FROM k WHERE nb > 0 AND na > 0 AND (gained <> '' OR lost <> '')""",
     "d10_bookmarks": _BM,
+    "d9_bookmark_refs": """WITH v AS (SELECT project_id, page_id, visual_id, vkey AS k, 'Bookmark' || substr(md5(CAST(vkey + 1 AS STRING)), 1, 20) AS one, 'Bookmark' || substr(md5(CAST(vkey + 2 AS STRING)), 1, 20) AS two FROM {b_visual} WHERE vkey % 10 NOT IN (0, 1))
+SELECT project_id, page_id, visual_id, CASE WHEN k % 7 = 0 THEN two ELSE '' END AS gained, one AS lost FROM v WHERE k % 7 = 0 OR k % 13 = 0""",
+    "d10_overrides": """WITH s AS (SELECT bm % 8 AS project_id, bm AS bookmark, CAST(u AS STRING) AS section FROM (SELECT CAST(floor(event_id / 50) AS BIGINT) AS bm, min(user_id) AS u FROM {events} GROUP BY 1) WHERE bm % 10 NOT IN (0, 1))
+SELECT project_id, bookmark, '$.activeSection' AS path, 'bookmark_changed' AS type, '"' || section || '"' AS before_value, '"' || section || 'x"' AS after_value FROM s WHERE bookmark % 11 = 0
+UNION ALL SELECT project_id, bookmark, '$.byName.f.v[1]', 'bookmark_changed', '2', '3' FROM s WHERE bookmark % 7 = 0 UNION ALL SELECT project_id, bookmark, '$.targetVisuals[1]', 'bookmark_added', NULL, '"v2"' FROM s WHERE bookmark % 13 = 0""",
     "x21_normalise": "SELECT p_partkey % 8 AS project_id, 'M' || CAST(floor(p_partkey / 8) AS BIGINT) AS name, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' v2' ELSE p_name END AS value, p_size % 2 = 0 AS is_parameter FROM {part} WHERE p_partkey % 10 <> 1",
 }
 

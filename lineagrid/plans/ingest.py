@@ -91,7 +91,16 @@ def _visual_files(spark, sf):
 
 
 def i5_visuals(spark, sf):
-    return pbir.visuals(_visual_files(spark, sf)).drop("snapshot_id")
+    """Visuals with what they plot and their roles: three of six kinds plot vkey % 4 measures and a column, one reads a measure in its title alone."""
+    files = _visual_files(spark, sf)
+    n = F.regexp_extract("path", r"visuals/(\d+)/", 1).cast("long")
+    measure = '{"field": {"Measure": {"Expression": {"SourceRef": {"Entity": "T"}}, "Property": "M'
+    values = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i <= n % 4, F.concat(F.lit(measure), i.cast("string"), F.lit('"}}}')))), ", ")
+    rows = F.lit('"Rows": {"projections": [{"field": {"Column": {"Expression": {"SourceRef": {"Entity": "T"}}, "Property": "c"}}}]}, "Odd": {"projections": "none"}')
+    query = F.concat(F.lit('"visual": {"query": {"queryState": {"Values": {"projections": ['), values, F.lit("]}, "), rows, F.lit("}}, "))
+    title = F.lit('"visual": {"vcObjects": {"subTitle": [{"Measure": {"Expression": {"SourceRef": {"Entity": "T"}}, "Property": "M1"}}]}, ')
+    files = files.withColumn("content", F.when(n % 6 < 3, F.replace("content", F.lit('"visual": {'), query)).when(n % 6 == 4, F.replace("content", F.lit('"visual": {'), title)).otherwise(F.col("content")))
+    return pbir.with_roles(pbir.visuals(files), pbir.visual_fields(files)).drop("snapshot_id")
 
 
 def i6_fields(spark, sf):
@@ -211,7 +220,7 @@ _RAW = {
     "i2_expressions": """SELECT 'P' || p_partkey % 8 AS project_id, CASE WHEN p_size % 2 = 0 THEN 'E ' ELSE 'E' END || p_partkey AS name, CASE WHEN p_size % 2 = 0 THEN 'parameter' ELSE 'expression' END AS kind, CASE WHEN p_size % 2 = 0 THEN '"' || p_name || '" meta [IsParameterQuery=true]' ELSE 'let S = ' || p_size || ' in S' END AS body, CASE WHEN p_size % 2 = 0 THEN p_name END AS value FROM {part}""",
     "i3_relationships": "SELECT project_id, from_table, 'k' AS from_column, to_table, 'k' AS to_column, cross_filter, is_active FROM {b_rel}",
     "i4_pages": "SELECT 'P' || c_custkey % 8 AS project_id, CASE WHEN c_custkey % 17 = 0 THEN 'p' ELSE 'page' END || c_custkey AS page_id, CASE WHEN c_custkey % 17 = 0 THEN 'p' || c_custkey ELSE c_name END AS name, CASE WHEN c_custkey % 17 <> 0 THEN CAST(c_custkey % 9 AS INTEGER) END AS ordinal, CASE WHEN c_custkey % 17 <> 0 AND c_custkey % 2 = 0 THEN CAST(800 AS DOUBLE) ELSE CAST(1280 AS DOUBLE) END AS width, CAST(720 AS DOUBLE) AS height FROM {customer}",
-    "i5_visuals": "SELECT project_id, page_id, visual_id, CASE WHEN vkey % 6 < 2 THEN 'card' WHEN vkey % 6 < 5 THEN 'bar' ELSE 'group' END AS visual_type, title, is_hidden, parent_group, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height FROM {b_visual}",
+    "i5_visuals": "SELECT project_id, page_id, visual_id, CASE WHEN vkey % 6 < 2 THEN 'card' WHEN vkey % 6 < 5 THEN 'bar' ELSE 'group' END AS visual_type, title, is_hidden, parent_group, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, CAST(CASE WHEN vkey % 6 < 3 THEN 1 + vkey % 4 ELSE 0 END AS INTEGER) AS bound_fields, CASE WHEN vkey % 6 = 5 THEN 'container' WHEN vkey % 6 = 3 THEN 'decoration' ELSE 'data' END AS role FROM {b_visual}",
     "i6_fields": "SELECT project_id, page_id, visual_id, 'measure' AS kind, 'T' AS table_name, 'M' || i AS name, ['query', 'value', 'format', 'title', 'filter', 'action', 'format'][min(via_rank) + 1] AS via FROM {b_field} GROUP BY project_id, page_id, visual_id, i",
     "i7_bookmarks": "SELECT project_id, bookmark_id, page_id, object_id, CASE WHEN length(object_id) % 2 = 0 THEN 'group' ELSE 'visual' END AS object_kind, max(state) AS state FROM {b_state} GROUP BY ALL",
     "i8_report_measures": "SELECT project_id, table_name, name, '[M' || i || '] + 1' AS expression FROM {b_measure}",

@@ -32,15 +32,24 @@ def pages(files: DataFrame) -> DataFrame:
 
 
 def visuals(files: DataFrame) -> DataFrame:
-    """Visuals: the title from the first of five places, groups, hidden flag, position."""
+    """Visuals: the title from the first of five places, groups, hidden flag, position, and the number of fields that are plotted (projections of the query state)."""
     group = _json("$.visualGroup").isNotNull()
     lit = "text.expr.Literal.Value"
     places = ["$.visual.title.text", f"$.visual.objects.title.properties.{lit}", f"$.visual.vcObjects.title[0].properties.{lit}", f"$.visual.visualContainerObjects.title[0].properties.{lit}"]
     title = F.coalesce(F.when(~_json("$.visual.title").startswith("{"), _json("$.visual.title")), *(F.regexp_replace(_json(p), "^'|'$", "") for p in places), F.when(group, _json("$.visualGroup.displayName")), F.lit(""))
     kind = F.when(group, "group").otherwise(F.coalesce(_json("$.visual.visualType"), F.lit("unknown")))
     hidden = F.coalesce(_json("$.isHidden") == "true", F.lit(False)) | F.coalesce(_json("$.visual.isHidden") == "true", F.lit(False))
+    state = F.from_json(F.coalesce(_json("$.visual.query.queryState"), _json("$.visual.queryState")), "map<string,struct<projections:array<string>>>")
+    bound = F.aggregate(F.coalesce(F.map_values(state), F.array().cast("array<struct<projections:array<string>>>")), F.lit(0), lambda n, r: n + F.coalesce(F.when(r.projections.isNotNull(), F.size(r.projections)), F.lit(0)))
     at = {k: _json(f"$.position.{k}").cast("double").alias(k) for k in ("x", "y", "width", "height")}
-    return files.select(*PK, F.regexp_extract("path", r"pages/([^/]+)/", 1).alias("page_id"), _json("$.name").alias("visual_id"), kind.alias("visual_type"), title.alias("title"), hidden.alias("is_hidden"), _json("$.parentGroupName").alias("parent_group"), *at.values())
+    return files.select(*PK, F.regexp_extract("path", r"pages/([^/]+)/", 1).alias("page_id"), _json("$.name").alias("visual_id"), kind.alias("visual_type"), title.alias("title"), hidden.alias("is_hidden"), _json("$.parentGroupName").alias("parent_group"), *at.values(), bound.alias("bound_fields"))
+
+
+def with_roles(visuals: DataFrame, fields: DataFrame) -> DataFrame:
+    """visuals with ``role``: container for groups, data for those that read a field by any route, plotted or not, else decoration."""
+    some = fields.select(*PK, "page_id", "visual_id").distinct().withColumn("_reads", F.lit(True))
+    role = F.when(F.col("visual_type") == "group", "container").when(F.col("_reads"), "data").otherwise("decoration")
+    return visuals.join(some, [*PK, "page_id", "visual_id"], "left").withColumn("role", role).drop("_reads")
 
 
 def _loads(text):
