@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import among, cut, land, mix, table, word_hashes
 
 _OUT = -32_768
+_CHUNK = 512  # sets of a key that meet each other in one group
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], dtype=np.uint64)
 
 
@@ -148,11 +149,16 @@ def verify(pairs: DataFrame, features: DataFrame, percent: int) -> DataFrame:
     return both.filter((100 + percent) * common >= percent * (na + nb)).filter(common > 0).select("a", "b").distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (u, v) with u > v are stars: each u has one v, and no v is a u. Counts are summed up where the edges stand."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1 and out > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component) for the ends of links (a, b): the smallest id that links reach. Star contraction until nothing moves."""
+    """(doc_id, component) for the ends of links (a, b): the smallest id that links reach. Contraction until all edges are stars."""
     e = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    seen = None
-    while True:
+    while not _stars(e):
         # large star: a node's larger neighbours move to the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -161,10 +167,6 @@ def components(links: DataFrame) -> DataFrame:
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
         e = cut(small.distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     return e.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
 
 
@@ -180,11 +182,15 @@ def _resolve(groups: DataFrame, features: DataFrame, links: DataFrame | None, pe
     links = found if links is None else links.unionByName(found)
     comp = components(links)
     rest = groups.filter("doc_id <> pivot").select("key", "doc_id", *place).join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    rest = cut(rest.join(mixed, "key", "left_semi"))
-    a, b = (rest.select("key", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), *(F.col(c).alias(c + x) for c in place)) for x in "ab")
+    # a key's sets in chunks; each chunk meets each in a group of its own, so no key has to be one task
+    chunks = F.ceil(F.count("*") / _CHUNK).cast("long").alias("chunks")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), chunks).filter("lo < hi").select("key", "chunks")
+    rest = cut(rest.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks"))))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    side = lambda x, own, other: rest.select("key", F.col("own").alias(own), each.alias(other), F.col("doc_id").alias(x), F.col("component").alias(f"c{x}"), *(F.col(c).alias(c + x) for c in place))
+    a, b = side("a", "chunk_a", "chunk_b"), side("b", "chunk_b", "chunk_a")
     meet = "a < b and ca <> cb" + (f" and {100 + percent} * (1 + least(na - ia, nb - ib)) >= {percent} * (na + nb)" if place else "")
-    pairs = a.join(b, "key").filter(meet).select("a", "b").distinct()
+    pairs = a.join(b, ["key", "chunk_a", "chunk_b"]).filter(meet).select("a", "b").distinct()
     return links.unionByName(cut(verify(pairs, features, percent)))
 
 
@@ -228,6 +234,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int =
     hot = shared.filter((F.col("c") > most) & (F.col("doc_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _resolve(cold, features, cut(verify(hot, features, percent)), percent)
 
+    if weak.isEmpty():
+        return _classes(sized, links.unionByName(same))
     # second join: sets that ran out of spare partitions, on the rarest of their own features
     each = features.join(weak, "doc_id", "left_semi").select("doc_id", F.size("f").alias("n"), F.explode("f").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
@@ -240,8 +248,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, most: int =
     groups = cut(banded.join(banded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").drop("last"), "key"))
     links = _resolve(groups, features, links, percent)
 
-    comp = components(links.unionByName(same))
-    return sized.join(comp, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return _classes(sized, links.unionByName(same))
+
+
+def _classes(sized: DataFrame, links: DataFrame) -> DataFrame:
+    return sized.join(components(links), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
