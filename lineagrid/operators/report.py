@@ -25,6 +25,21 @@ def best_routes(fields: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return fields.groupBy(*keys).agg(F.min_by("via", via_rank(F.col("via"))).alias("via"))
 
 
+# fixed values: what the routes that plot nothing are called
+_VIA_LABEL = {"value": "dynamic value", "parameter": "field parameter", "title": "dynamic title", "filter": "filter", "action": "link", "format": "conditional formatting"}
+
+
+def role_labels(visuals: DataFrame, fields: DataFrame) -> DataFrame:
+    """visuals (pk, page_id, visual_id, role, bound_fields, …) with ``via``, the most direct route of one that shows data but plots none, and ``role_label``."""
+    keys = [*PK, "page_id", "visual_id"]
+    best = fields.filter(F.col("via") != "query").groupBy(*keys).agg(F.min_by("via", via_rank(F.col("via"))).alias("_via"))
+    unplotted = (F.col("role") == "data") & (F.col("bound_fields") == 0)
+    names = F.create_map(*(F.lit(x) for kv in _VIA_LABEL.items() for x in kv))
+    said = F.when(F.col("role") == "container", "group container").when(F.col("role") == "decoration", "layout or navigation").when(F.col("bound_fields") > 0, "plots data")
+    said = said.when(F.col("via").isNotNull(), F.concat(F.lit("shows data as a "), F.try_element_at(names, F.col("via")))).otherwise("displays data in text")
+    return visuals.join(best, keys, "left").withColumn("via", F.when(unplotted, F.col("_via"))).drop("_via").withColumn("role_label", said)
+
+
 def resolve_offers(offers: DataFrame, measures: DataFrame, columns: DataFrame) -> DataFrame:
     """(pk, parameter_table, ordinal, kind, table_name, name): what parameters offer, in the model's own spelling; case-blind.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import estate
 from ..operators import graph_build as build
 from ..operators.common import PK
-from ..sources import pbir
+from ..sources import export, pbir
 from ..sources.files import kind
 from .bridge import VIEWS, oracle, view
 
@@ -115,6 +115,13 @@ def g1_from_files(spark, sf):
     return e.select("project_id", "source", "target", "type")
 
 
+def s7_documents(spark, sf):
+    """Documentation of each project, line by line, from files alone."""
+    files = model_files(spark, sf).unionByName(report_files(spark, sf))
+    _, e = graph_of_files(files)
+    return export.numbered(export.documents(estate.source_map(files), e)).drop("snapshot_id")
+
+
 _T = "'db_' || lower(project_id) || '.dbo.tab_'"
 _MAP = f"""WITH s AS (SELECT *, k - shape AS f FROM {{b_src}}), col(shape, name) AS (VALUES {", ".join(f"({s}, '{n}')" for s, cols in _COLUMNS.items() for n in cols)}),
 c AS (SELECT s.*, name FROM s JOIN col USING (shape) UNION ALL SELECT s.*, 'calc' FROM s WHERE odd),
@@ -151,5 +158,35 @@ _EDGES = [
     ("visual_to_field", _V, "'table::FP ' || k", "s", "shape = 8"), ("field_param_to_field", "'table::FP ' || k", _F["M"], "s", "shape = 8"), ("field_param_to_field", "'table::FP ' || k", f"{_F['C']}plain'", "s", "shape = 8"),
 ]
 _RAW["g1_from_files"] = _MAP.split(",\nc AS (")[0] + " " + " UNION ALL ".join(f"SELECT project_id, {a} AS source, {b} AS target, '{t}' AS type FROM {src} WHERE {when}" for t, a, b, src, when in _EDGES)
+_KIND_OF = {"Source": "Source", "Nav": "Navigation", "Renamed Columns": "Rename", "Renamed": "Rename", "Sorted": "Custom", "Heads": "Custom", "Joined": "Join", "More": "Join", "Wide": "Expand", "Added": "AddColumn"}
+
+
+def _kind(shape: int, no: int, name: str) -> str:
+    if name == "Kept":
+        return {1: "Filter", 9: "Projection"}[shape]
+    return "Custom" if (shape, no) == (6, 0) else _KIND_OF[name]
+
+
+_KINDS = ", ".join(f"({s}, {no + 1}, '{n.partition('@')[0]}', '{_kind(s, no, n.partition('@')[0])}')" for s, names in _STEPS.items() for no, n in enumerate(names))
+# lines by section, part, sub-part and place; rows of one table are put in order at the end
+_RAW["s7_documents"] = _MAP + f""", st(shape, no, step, kind) AS (VALUES {_KINDS}),
+cols AS (SELECT * FROM m UNION ALL SELECT project_id, table_name, 'both', NULL, NULL, 'computed-dax', 'exact', NULL FROM s WHERE shape = 3),
+tab AS (SELECT project_id, table_name, k, shape, CASE WHEN shape IN (0, 1, 2, 3, 4, 9) THEN {_T} || k WHEN shape = 5 THEN 'Lake ' || nation || '.dbo.ent_' || k END AS path FROM s),
+ms AS (SELECT project_id, table_name, 'M ' || k AS name, k, shape, 'SUM(''S ' || k || '''[plain])' || CASE WHEN shape BETWEEN 1 AND 5 THEN ' + [M ' || (k - 1) || ']' ELSE '' END || CASE WHEN shape = 2 THEN ' + CALCULATE([M ' || k || '], USERELATIONSHIP(''S ' || k || '''[plain], ''S ' || (k - 1) || '''[plain])) // USERELATIONSHIP(A[b], C[d])' ELSE '' END AS dax, CASE WHEN shape < 4 THEN '1 visuals' ELSE '_no visual_' END AS shown FROM s WHERE shape IN (0, 1, 2, 3, 4, 5, 9)),
+n AS (SELECT p.project_id, (SELECT count(*) FROM tab t WHERE t.project_id = p.project_id) AS t, (SELECT count(*) FROM cols t WHERE t.project_id = p.project_id) AS c, (SELECT count(*) FROM ms t WHERE t.project_id = p.project_id) AS m, (SELECT count(*) FROM s t WHERE t.project_id = p.project_id AND shape BETWEEN 1 AND 3) AS r FROM (SELECT DISTINCT project_id FROM s) p),
+q AS (SELECT project_id, count(*) FILTER (origin = 'source') AS a, count(*) FILTER (origin IN ('source', 'unresolved')) AS b, count(*) FILTER (confidence = 'exact') AS e, count(*) FILTER (confidence = 'inferred') AS i, count(*) FILTER (confidence = 'unknown') AS u FROM cols GROUP BY project_id),
+nc AS (SELECT project_id, model_table AS table_name, count(*) AS c FROM cols GROUP BY ALL),
+l AS (SELECT project_id, 10 AS section, '' AS part, '' AS sub, unnest(range(6)) AS pos, unnest(['# Model', '', '## Overview', '', '|  | Count |', '|-|-|']) AS line FROM n
+UNION ALL SELECT * FROM (SELECT project_id, 11, '', '', unnest(range(4)) AS z, unnest(['| Tables | ' || t || ' |', '| Columns | ' || c || ' |', '| Measures | ' || m || ' |', CASE WHEN r > 0 THEN '| Relationships | ' || r || ' |' END]) AS x FROM n) WHERE x IS NOT NULL
+UNION ALL SELECT project_id, 12, '', '', unnest(range(7)), unnest(['', '**' || a || ' of ' || b || ' columns** that read from a source are traced to a physical column. Confidence: ' || e || ' stated, ' || i || ' assumed, ' || u || ' unresolved.', '', '## Tables', '', '| Table | Physical source | Columns | Measures |', '|-|-|-|-|']) FROM q
+UNION ALL SELECT tab.project_id, 13, tab.table_name, '', 0, '| ' || tab.table_name || ' | ' || coalesce(path, '_unresolved_') || ' | ' || c || ' | ' || CASE WHEN shape IN (0, 1, 2, 3, 4, 5, 9) THEN 1 ELSE 0 END || ' |' FROM tab JOIN nc ON nc.project_id = tab.project_id AND nc.table_name = tab.table_name
+UNION ALL SELECT * FROM (SELECT project_id, 20, table_name, '', unnest(range(7)) AS z, unnest(['', '### ' || table_name, CASE WHEN path IS NOT NULL THEN '' END, '**Source:** `' || path || '`', '', '| Column | Physical column | Type | Confidence |', '|-|-|-|-|']) AS x FROM tab) WHERE x IS NOT NULL
+UNION ALL SELECT project_id, 20, model_table, model_column, 10, '| ' || model_column || ' | ' || coalesce(physical_path, '_unresolved_') || ' | ' || CASE model_column WHEN 'calc' THEN 'int64' WHEN 'both' THEN '' ELSE 'string' END || ' | ' || CASE confidence WHEN 'exact' THEN '●' WHEN 'inferred' THEN '◐' ELSE '○' END || ' ' || confidence || ' |' FROM cols
+UNION ALL SELECT project_id, 21, table_name, '', unnest(range(3)), unnest(['', '| # | Step | Kind |', '|-|-|-|']) FROM tab WHERE shape IN (SELECT shape FROM st)
+UNION ALL SELECT project_id, 21, table_name, '', 10 + no, '| ' || no || ' | ' || step || ' | ' || kind || ' |' FROM tab JOIN st USING (shape)
+UNION ALL SELECT project_id, 30, '', '', unnest(range(5)), unnest(['', '## Measures', '', '| Measure | Table | Shown in |', '|-|-|-|']) FROM n
+UNION ALL SELECT project_id, 31, table_name, name, 0, '| ' || name || ' | ' || table_name || ' | ' || shown || ' |' FROM ms
+UNION ALL SELECT project_id, 40, table_name, name, unnest(range(6)), unnest(['', '### ' || table_name || '[' || name || ']', '', '```dax', dax, '```']) FROM ms)
+SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY CASE section WHEN 21 THEN 20 ELSE section END, part, section, CASE WHEN section = 20 AND sub <> '' THEN 1 ELSE 0 END, sub, pos) AS INTEGER) AS line_no, line FROM l"""
 QUERIES = {k: f for k, f in globals().items() if k in _RAW}
 ORACLES = {k: oracle(q) for k, q in _RAW.items()}

@@ -8,6 +8,7 @@ from ..operators import checks as c
 from ..operators import report as r
 from ..operators import shape as sh
 from ..operators.common import PK, node_id
+from . import graphs
 from .bridge import oracle, view
 
 
@@ -63,7 +64,7 @@ def _source_map(spark, sf):
     origin = F.when(k == 0, "unresolved").when(k == 1, "computed-dax").when(k == 2, "computed-pq").when(k == 3, "model-defined").otherwise("source")
     conf = F.when(k == 0, "unknown").when(k == 4, "inferred").otherwise("exact")
     path = F.when(origin == "source", F.concat_ws(".", F.lit("dbo"), "table_name", "source_column"))
-    return b.select(*PK, F.col("table_name").alias("model_table"), F.col("name").alias("model_column"), "size", origin.alias("origin"), conf.alias("confidence"), path.alias("physical_path"))
+    return b.select(*PK, F.col("table_name").alias("model_table"), F.col("name").alias("model_column"), "size", origin.alias("origin"), conf.alias("confidence"), path.alias("physical_path"), F.concat(F.lit("Query "), "source_column").alias("pq_name"))
 
 
 def _visibility(spark, sf):
@@ -117,20 +118,32 @@ def w3_source_order(spark, sf):
 
 def f1_search_columns(spark, sf):
     s = _source_map(spark, sf)
-    text = F.lower(F.concat_ws("\n", "model_column", "model_table", "physical_path"))
+    text = F.lower(F.concat_ws("\n", "model_column", "model_table", "physical_path", "pq_name"))
     return s.filter(text.contains("src_1") & (F.col("confidence") == "exact")).select("project_id", "model_table", "model_column", "physical_path")
 
 
 def j19_reverse_lookup(spark, sf):
-    """Physical paths, case-blind, with all model columns of the fleet; arrays of a shared path are built from partial sets."""
-    s = _source_map(spark, sf).filter("physical_path is not null")
-    return s.groupBy(F.lower("physical_path").alias("path")).agg(F.count("*").alias("n"), F.countDistinct("project_id").alias("n_projects"), F.array_join(F.sort_array(F.collect_set("project_id")), ",").alias("projects"))
+    """The model columns behind each physical path, case-blind, over all projects: a row each, with the number of columns and of projects that the path has."""
+    s = _source_map(spark, sf).filter("physical_path is not null").withColumn("path", F.lower("physical_path"))
+    shared = s.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("project_id").alias("n_projects"))
+    return s.join(shared, "path").select("path", "project_id", "model_table", "model_column", "confidence", "n", "n_projects")
 
 
 def w1_best_route(spark, sf):
     return r.best_routes(_fields(spark, sf)).select("project_id", "page_id", "visual_id", "name", "via")
 
 
+def w1_role_labels(spark, sf):
+    """What each visual does with its data: plots it, or by which route it shows it without plotting."""
+    f = _fields(spark, sf)
+    plotted = f.filter("via = 'query'").groupBy(*PK, "page_id", "visual_id").agg(F.count("*").alias("bound"))
+    k = F.col("vkey") % 6
+    v = view(spark, sf, "b_visual").join(plotted.filter("visual_id % 2 = 0"), [*PK, "page_id", "visual_id"], "left")
+    role = F.when(k == 5, "container").when(k == 3, "decoration").otherwise("data")
+    v = v.select(*PK, "page_id", "visual_id", role.alias("role"), F.coalesce("bound", F.lit(0)).alias("bound_fields"))
+    return r.role_labels(v, f).select("project_id", "page_id", "visual_id", "via", "role_label")
+
+
 def _offers(spark, sf):
     o = view(spark, sf, "b_offer")
     return r.resolve_offers(o.select(*PK, "parameter_table", "ordinal", F.lit(None).cast("string").alias("ref_table"), F.col("offered").alias("ref_name")), view(spark, sf, "b_measure"), view(spark, sf, "b_column"))
@@ -191,15 +204,17 @@ def w5_reading_order(spark, sf):
 
 def f3_search_visuals(spark, sf):
     f = r.best_routes(_fields(spark, sf)).groupBy(*PK, "page_id", "visual_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    v = view(spark, sf, "b_visual").join(f, [*PK, "page_id", "visual_id"], "left")
-    found = v.filter(F.lower("title").contains("urgent") | F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.lower(n).contains("m1")))
+    kind = F.when(F.col("vkey") % 9 == 0, "decompositionTree").when(F.col("vkey") % 9 == 4, "urgentCard").otherwise("card")
+    v = view(spark, sf, "b_visual").withColumn("visual_type", kind).join(f, [*PK, "page_id", "visual_id"], "left")
+    found = v.filter(F.lower("title").contains("urgent") | F.lower("visual_type").contains("urgent") | F.exists(F.coalesce("names", F.array().cast("array<string>")), lambda n: F.lower(n).contains("m1")))
     more = F.greatest(F.lit(0), F.coalesce(F.size("names"), F.lit(0)) - 2)
     return found.select("project_id", "visual_id", F.coalesce(F.array_join(F.slice("names", 1, 2), ","), F.lit("")).alias("first_fields"), more.alias("more"))
 
 
 def f2_search_measures(spark, sf):
-    used = r.usage(view(spark, sf, "b_measure"), _fields(spark, sf))
-    return used.filter((F.lower("name").contains("m2") | F.lower("table_name").contains("#5")) & (F.col("n_visuals") == 0)).select("project_id", "table_name", "name")
+    text = graphs.dax_measures(spark, sf).select(*PK, "table_name", "name", "expression")
+    used = r.usage(view(spark, sf, "b_measure"), _fields(spark, sf)).join(text, [*PK, "table_name", "name"])
+    return used.filter((F.lower("name").contains("m2") | F.lower("table_name").contains("#5") | F.lower("expression").contains("m2")) & (F.col("n_visuals") == 0)).select("project_id", "table_name", "name")
 
 
 def f5_labels(spark, sf):
@@ -267,7 +282,7 @@ def a6_observations(spark, sf):
 
 
 _SM = """sm AS (SELECT project_id, table_name AS model_table, name AS model_column, CASE size % 11 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'computed-dax' WHEN 2 THEN 'computed-pq' WHEN 3 THEN 'model-defined' ELSE 'source' END AS origin,
-CASE size % 11 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inferred' ELSE 'exact' END AS confidence, CASE WHEN size % 11 > 3 THEN 'dbo.' || table_name || '.' || source_column END AS physical_path FROM {b_column})"""
+CASE size % 11 WHEN 0 THEN 'unknown' WHEN 4 THEN 'inferred' ELSE 'exact' END AS confidence, CASE WHEN size % 11 > 3 THEN 'dbo.' || table_name || '.' || source_column END AS physical_path, 'Query ' || source_column AS pq_name FROM {b_column})"""
 _FLD = """fl AS (SELECT f.project_id, f.page_id, f.visual_id, coalesce(m.table_name, '?') AS table_name, 'M' || f.i AS name, f.via_rank FROM {b_field} f LEFT JOIN {b_measure} m ON m.project_id = f.project_id AND m.i = f.i)"""
 _VIA = "['query', 'value', 'parameter', 'title', 'filter', 'action', 'format']"
 _SAID = """said AS (SELECT v.project_id, v.page_id, v.visual_id, s.bookmark_id, bool_or(s.state = 'hidden') AS h FROM {b_visual} v JOIN {b_state} s ON s.project_id = v.project_id AND s.page_id = v.page_id AND s.object_id IN (v.visual_id, v.parent_group) GROUP BY ALL),
@@ -302,9 +317,13 @@ _RAW = {
     "w2_listing": f"WITH RECURSIVE {_UNUSED}, {_DANG}, x AS (SELECT *, row_number() OVER (PARTITION BY project_id, rule ORDER BY item) AS no, count(*) OVER (PARTITION BY project_id, rule) AS n FROM (SELECT * FROM un UNION ALL SELECT * FROM da)) SELECT project_id, rule, no, item, greatest(0, n - 12) AS more FROM x WHERE no <= 12",
     "a2_coverage": f"WITH {_COV} SELECT * FROM cw",
     "w3_source_order": f"WITH {_SM} SELECT project_id, model_table, model_column, row_number() OVER (PARTITION BY project_id ORDER BY model_table, model_column) AS by_name, row_number() OVER (PARTITION BY project_id ORDER BY physical_path NULLS LAST, model_table, model_column) AS by_path, row_number() OVER (PARTITION BY project_id ORDER BY CASE confidence WHEN 'exact' THEN 0 WHEN 'inferred' THEN 1 ELSE 2 END, model_table, model_column) AS by_confidence FROM sm",
-    "f1_search_columns": f"WITH {_SM} SELECT project_id, model_table, model_column, physical_path FROM sm WHERE confidence = 'exact' AND (lower(physical_path) LIKE '%src!_1%' ESCAPE '!')",
-    "j19_reverse_lookup": f"WITH {_SM} SELECT lower(physical_path) AS path, count(*) AS n, count(DISTINCT project_id) AS n_projects, string_agg(DISTINCT project_id, ',' ORDER BY project_id) AS projects FROM sm WHERE physical_path IS NOT NULL GROUP BY 1",
+    "f1_search_columns": f"WITH {_SM} SELECT project_id, model_table, model_column, physical_path FROM sm WHERE confidence = 'exact' AND lower(pq_name) LIKE '%src!_1%' ESCAPE '!'",
+    "j19_reverse_lookup": f"WITH {_SM} SELECT lower(physical_path) AS path, project_id, model_table, model_column, confidence, g.n, g.n_projects FROM sm JOIN (SELECT lower(physical_path) AS p, count(*) AS n, count(DISTINCT project_id) AS n_projects FROM sm GROUP BY 1) g ON g.p = lower(physical_path)",
     "w1_best_route": f"WITH {_FLD} SELECT project_id, page_id, visual_id, name, {_VIA}[min(via_rank) + 1] AS via FROM fl GROUP BY project_id, page_id, visual_id, table_name, name",
+    "w1_role_labels": f"""WITH {_FLD}, b AS (SELECT project_id, page_id, visual_id, count(*) FILTER (via_rank = 0) AS n, min(CASE WHEN via_rank > 0 THEN via_rank END) AS r FROM fl GROUP BY ALL),
+x AS (SELECT v.*, CASE vkey % 6 WHEN 5 THEN 'c' WHEN 3 THEN 'd' ELSE 'a' END AS role, CASE WHEN vkey % 2 = 0 THEN coalesce(n, 0) ELSE 0 END AS bound, r FROM {{b_visual}} v LEFT JOIN b USING (project_id, page_id, visual_id)),
+y AS (SELECT *, CASE WHEN role = 'a' AND bound = 0 THEN r END AS w FROM x)
+SELECT project_id, page_id, visual_id, {_VIA}[w + 1] AS via, CASE role WHEN 'c' THEN 'group container' WHEN 'd' THEN 'layout or navigation' ELSE CASE WHEN bound > 0 THEN 'plots data' WHEN w IS NOT NULL THEN 'shows data as a ' || ['', 'dynamic value', 'field parameter', 'dynamic title', 'filter', 'link', 'conditional formatting'][w + 1] ELSE 'displays data in text' END END AS role_label FROM y""",
     "j6_offers": f"WITH {_OFF} SELECT project_id, parameter_table, ordinal, 'measure' AS kind, table_name, name FROM of",
     "j7_expand": f"WITH {_FLD}, {_OFF}, {_BND}, al AS (SELECT project_id, page_id, visual_id, table_name, name, via_rank, NULL AS p FROM fl UNION ALL SELECT bd.project_id, bd.page_id, bd.visual_id, of.table_name, of.name, 2, bd.parameter_table FROM bd JOIN of USING (project_id, parameter_table)) SELECT project_id, page_id, visual_id, name, {_VIA}[min(via_rank) + 1] AS via, min(p) AS via_parameter FROM al GROUP BY project_id, page_id, visual_id, table_name, name",
     "a5_machinery": f"WITH {_OFF}, {_BND} SELECT of.project_id, 'field_parameter' AS kind, of.parameter_table AS name, count(*) AS n_offered, coalesce(any_value(b.n), 0) AS n_visuals FROM of LEFT JOIN (SELECT project_id, parameter_table, count(*) AS n FROM bd GROUP BY ALL) b USING (project_id, parameter_table) GROUP BY of.project_id, of.parameter_table UNION ALL SELECT project_id, 'calculation_group', calc_group, NULL, count(DISTINCT page_id || '.' || visual_id) FROM {{b_applied}} GROUP BY project_id, calc_group",
@@ -316,8 +335,8 @@ _RAW = {
 WHERE a.vkey % 13 <> 0 AND b.vkey % 13 <> 0 AND least(a.x + a.width, b.x + b.width) > greatest(a.x, b.x) AND least(a.y + a.height, b.y + b.height) > greatest(a.y, b.y) AND (least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * (least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) > 0.5 * least(a.width * a.height, b.width * b.height)),
 n AS (SELECT *, row_number() OVER (PARTITION BY project_id, page_id, visual_id ORDER BY other) AS no FROM p) SELECT * FROM n WHERE no <= 8""",
     "w5_reading_order": "SELECT project_id, page_id, visual_id, row_number() OVER (PARTITION BY project_id, page_id ORDER BY floor(y / 40), x, visual_id) AS no FROM {b_visual}",
-    "f3_search_visuals": f"WITH {_FLD}, f AS (SELECT project_id, page_id, visual_id, list_sort(list(DISTINCT name)) AS names FROM fl GROUP BY ALL) SELECT v.project_id, v.visual_id, coalesce(array_to_string(names[1:2], ','), '') AS first_fields, greatest(0, coalesce(len(names), 0) - 2) AS more FROM {{b_visual}} v LEFT JOIN f USING (project_id, page_id, visual_id) WHERE lower(v.title) LIKE '%urgent%' OR len(list_filter(coalesce(names, []), lambda n: lower(n) LIKE '%m1%')) > 0",
-    "f2_search_measures": "SELECT m.project_id, m.table_name, m.name FROM {b_measure} m LEFT JOIN {b_field} f ON f.project_id = m.project_id AND f.i = m.i WHERE f.i IS NULL AND (lower(m.name) LIKE '%m2%' OR lower(m.table_name) LIKE '%#5%')",
+    "f3_search_visuals": f"WITH {_FLD}, f AS (SELECT project_id, page_id, visual_id, list_sort(list(DISTINCT name)) AS names FROM fl GROUP BY ALL) SELECT v.project_id, v.visual_id, coalesce(array_to_string(names[1:2], ','), '') AS first_fields, greatest(0, coalesce(len(names), 0) - 2) AS more FROM {{b_visual}} v LEFT JOIN f USING (project_id, page_id, visual_id) WHERE lower(v.title) LIKE '%urgent%' OR vkey % 9 = 4 OR len(list_filter(coalesce(names, []), lambda n: lower(n) LIKE '%m1%')) > 0",
+    "f2_search_measures": "SELECT m.project_id, m.table_name, m.name FROM {b_measure} m LEFT JOIN {b_field} f ON f.project_id = m.project_id AND f.i = m.i WHERE f.i IS NULL AND (lower(m.name) LIKE '%m2%' OR lower(m.table_name) LIKE '%#5%' OR EXISTS (SELECT 1 FROM {b_dep} d WHERE d.project_id = m.project_id AND d.i = m.i AND CAST(d.j AS STRING) LIKE '2%'))",
     "f5_labels": "SELECT v.project_id, v.visual_id, CASE WHEN vkey % 4 <> 0 THEN title WHEN vkey % 8 <> 0 THEN 'card' ELSE visual_id END || CASE WHEN is_hidden THEN ' (hidden)' ELSE '' END AS label, CASE WHEN CAST(page_id AS BIGINT) % 3 <> 0 THEN coalesce(c.c_name, page_id) ELSE page_id END AS page FROM {b_visual} v LEFT JOIN {customer} c ON CAST(c.c_custkey AS STRING) = v.page_id",
     "a1_stats": "WITH a AS (SELECT n.project_id, count(*) AS o FROM {b_node} n WHERE n.type = 'measure' AND NOT EXISTS (SELECT 1 FROM {b_edge} e WHERE e.project_id = n.project_id AND e.target = n.id) GROUP BY ALL), e AS (SELECT project_id, count(*) AS edges FROM {b_edge} GROUP BY ALL) SELECT n.project_id, count(*) AS nodes, count_if(type = 'column') AS columns, count_if(type = 'measure') AS measures, count_if(type = 'table') AS tables, count_if(type = 'visual') AS visuals, any_value(e.edges) AS edges, coalesce(any_value(a.o), 0) AS orphaned_measures FROM {b_node} n LEFT JOIN e USING (project_id) LEFT JOIN a USING (project_id) GROUP BY n.project_id",
     "a3_roles": f"WITH {_SHAPE} SELECT * FROM ts",
