@@ -96,12 +96,13 @@ def resolve_columns(columns: DataFrame, tables: DataFrame, renames: DataFrame, a
 def link_derived(source_map: DataFrame, links: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """source_map with unresolved columns of derived tables filled from the columns that they copy, and ``also_from``.
 
-    links: (pk, model_table, model_column, from_table, from_column, hop); hop is 1 where that the names agree is an assumption, else 0. Confidence is the
+    links: (pk, model_table, model_column, from_table, from_column, hop); hop is 1 where that the names agree is an assumption, else 0 (also where it isn't given). Confidence is the
     weakest along the way; a chain of any length is followed, circles stay unresolved. also: (pk, model_table, model_column, no, also_table, also_column), further
     columns that a derived one reads; also_from holds the paths of those that have one, in the order of no, else null.
     """
     key = [*PK, "model_table", "model_column"]
     rank = F.when(F.col("confidence") == "exact", 0).otherwise(1)
+    links = links if "hop" in links.columns else links.withColumn("hop", F.lit(0))
     state = cut(source_map)
     at = lambda df: df.select(*PK, F.col("model_table").alias("from_table"), F.col("model_column").alias("from_column"), "physical_path", "source_column", "origin", "rank")
     todo = cut(links.join(state.filter("origin = 'unresolved'").select(*key), key, "left_semi"))

@@ -71,6 +71,23 @@ def x12_navigation(spark, sf):
     return _clean(spark, sf).select("project_id", "table_name", mq.navigation(F.col("m")).alias("n")).select("project_id", "table_name", "n.schema", "n.item")
 
 
+def x12_positional(spark, sf):
+    """Project, schema or dataset and table of navigation by untagged, tagged and parameter-valued records, and under a native query."""
+    m = view(spark, sf, "b_m")
+    k = F.col("k").cast("string")
+    name = lambda *x: F.concat(F.lit('{[Name='), *x, F.lit(']}[Data]'))
+    q = lambda text: F.concat(F.lit('"'), F.lit(text), k, F.lit('"'))
+    tag = lambda text, kind: name(q(text), F.lit(f', Kind="{kind}"'))
+    three = F.concat(name(q("p")), name(q("d")), name(q("t")))
+    nav = (
+        F.when(F.col("k") % 6 == 0, three).when(F.col("k") % 6 == 1, F.concat(name(q("d")), name(q("t")))).when(F.col("k") % 6 == 2, F.concat(name(F.lit("_Project")), name(q("d")), name(q("t"))))
+        .when(F.col("k") % 6 == 3, F.concat(name(q("p")), tag("s", "Schema"), tag("v", "View"))).when(F.col("k") % 6 == 4, F.concat(three, F.lit(', Q = Value.NativeQuery(Source, "SELECT 1")'))).otherwise(F.concat(three, F.lit('{[Schema="a", Item="'), k, F.lit('"]}[Data]')))
+    )
+    values = F.create_map(F.lit("_Project"), F.concat(F.lit("real-"), F.lower("project_id")))
+    n = m.select("project_id", "table_name", mq.navigation(F.concat(F.lit("let Source = GoogleBigQuery.Database(), Nav = Source"), nav, F.lit(" in Nav")), values).alias("n"))
+    return n.select("project_id", "table_name", "n.project", "n.dataset", "n.schema", "n.item")
+
+
 def x13_facts(spark, sf):
     m = F.col("m")
     pairs = F.array_join(F.transform(mq.rename_pairs(m), lambda p: F.concat(p.old, F.lit(">"), p.new)), ",")
@@ -273,6 +290,8 @@ _RAW = {
     "x10_data_sources": f"WITH {_SRC} SELECT project_id, table_name, type, server, database, url, path, parameterized FROM src",
     "x11_concatenation": "SELECT project_id, table_name, 'db_' || CASE WHEN connector = 1 THEN 'host-' || lower(project_id) ELSE '{{Unknown}}' END || '_' || k || ' \"q\"' AS resolved, connector = 1 AS complete FROM {b_m}".replace("{{Unknown}}", "' || chr(123) || 'Unknown' || chr(125) || '"),
     "x12_navigation": "SELECT project_id, table_name, CASE WHEN connector <= 2 THEN 'dbo' END AS schema, CASE WHEN connector <= 2 THEN 'tab_' || k END AS item FROM {b_m}",
+    "x12_positional": """SELECT project_id, table_name, CASE k % 6 WHEN 0 THEN 'p' || k WHEN 2 THEN 'real-' || lower(project_id) WHEN 3 THEN 'p' || k WHEN 4 THEN 'p' || k END AS project, CASE WHEN k % 6 IN (0, 1, 2) THEN 'd' || k END AS dataset,
+CASE k % 6 WHEN 3 THEN 's' || k WHEN 5 THEN 'a' END AS schema, CASE k % 6 WHEN 0 THEN 't' || k WHEN 1 THEN 't' || k WHEN 2 THEN 't' || k WHEN 3 THEN 'v' || k WHEN 5 THEN CAST(k AS VARCHAR) END AS item FROM {b_m}""",
     "x13_facts": "SELECT project_id, table_name, 'src_' || k || '>c' || k || ',a b>b' AS renames, 'c' || k || ',added' || k AS selected, 'added' || k AS added, 'Dim ' || k || '(k=k)>dim' AS joins, 'dim.name' || k || '>dim.name' || k || ',dim.as is>as is' AS expands, CASE WHEN k % 5 = 0 THEN 'Joined,Old ' || k ELSE '' END AS combines FROM {b_m}",
     "x14_steps": "SELECT project_id, table_name, CAST(unnest(range(CASE WHEN k % 5 = 0 THEN 10 ELSE 9 END)) AS INTEGER) AS step_no, unnest(['Source', 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less', 'Joined'] || CASE WHEN k % 5 = 0 THEN ['More'] ELSE [] END || ['Expanded', 'Typed']) AS name, unnest(['Source', CASE WHEN connector <= 2 THEN 'Navigation' ELSE 'Custom' END, 'Rename', 'AddColumn', 'Projection', 'Projection', 'Join'] || CASE WHEN k % 5 = 0 THEN ['Join'] ELSE [] END || ['Expand', 'TypeChange']) AS kind, unnest(['', CASE WHEN connector > 2 AND k % 9 = 0 THEN '' ELSE 'Source' END, 'Nav', 'Renamed Columns', 'Added', 'Kept', 'Less'] || CASE WHEN k % 5 = 0 THEN ['Joined'] ELSE [] END || ['Joined', 'Expanded']) AS refs FROM {b_m}",
     "x15_affects_names": "SELECT project_id, table_name, unnest(['More', 'Typed']) AS name FROM {b_m} WHERE k % 5 = 0",

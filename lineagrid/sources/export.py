@@ -100,4 +100,4 @@ def write_documents(lines: DataFrame, path: str) -> None:
 
 def read_document(spark: SparkSession, path: str, snapshot: str, project: str) -> str:
     """One document as a whole, for a reader of one."""
-    return "".join(r.value for r in spark.read.option("wholetext", True).text(f"{path}/snapshot_id={snapshot}/project_id={project}").collect())
+    return "".join(r.value for r in spark.read.text(f"{path}/snapshot_id={snapshot}/project_id={project}", wholetext=True).collect())

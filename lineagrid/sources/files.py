@@ -23,7 +23,7 @@ def wanted(path: Column) -> Column:
 
 def read_projects(spark: SparkSession, root: str, snapshot: str) -> DataFrame:
     """Files below root/<project>/…, one row each, of one snapshot. Many small files: land the result once as Parquet, by snapshot."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     path = F.regexp_extract(F.col("_metadata.file_path"), r"(?i)" + root.rstrip("/").split(":")[-1].replace(".", r"\.") + "/(.*)$", 1)
     files = raw.select(path.alias("p"), F.col("value").alias("content")).withColumn("p", normalised(F.col("p")))
     out = files.select(F.regexp_extract("p", "^([^/]+)/", 1).alias("project_id"), F.lit(snapshot).alias("snapshot_id"), F.regexp_extract("p", "^[^/]+/(.*)$", 1).alias("path"), "content")

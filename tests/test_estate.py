@@ -97,6 +97,18 @@ def test_source_map_from_files(mapped):
     assert [r for k, r in mapped["rows"].items() if k != ("both", "kept") and r.also_from] == []
 
 
+def test_projects_are_read_from_folders(spark, tmp_path):
+    """Whole files, below any folder, of the kinds that are read."""
+    from lineagrid.sources import files as fs
+
+    for path, text in (MODEL | REPORT | {".git/x.json": "{}", "M.Report/readme.md": "no"}).items():
+        at = tmp_path / "root" / "p" / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    got = fs.read_projects(spark, str(tmp_path / "root"), "s1")
+    assert {(r.project_id, r.snapshot_id, r.path): r.content for r in got.collect()} == {("p", "s1", path): text for path, text in (MODEL | REPORT).items()}
+
+
 def test_coverage_does_not_count_machinery(mapped):
     (r,) = estate.coverage(mapped["columns"]).collect()
     assert (r.total, r.model_defined, r.unresolved, r.sourced, r.inferred, r.coverage) == (16, 5, 2, 9, 1, 0.818)
@@ -207,3 +219,44 @@ def test_calls_in_one_pass():
     began = time.time()
     assert len(spans("f(" * 20_000 + ")" * 20_000 + " f(x)" * 20_000, opener)) == 40_000
     assert time.time() - began < 20
+
+
+def test_documents_are_files_in_order(spark, tmp_path):
+    """One file a project; the lines stand in the order of section, part and position, however they come."""
+    from lineagrid.sources import export
+
+    both = files(spark, MODEL | REPORT).unionByName(files(spark, MODEL | REPORT, "s2"))
+    _, edges = graph_of_files(both)
+    lines = export.documents(estate.source_map(both), edges).repartition(7, F.rand(1))
+    export.write_documents(lines, str(tmp_path / "docs"))
+    text = export.read_document(spark, str(tmp_path / "docs"), "s1", "p")
+    assert text == export.read_document(spark, str(tmp_path / "docs"), "s2", "p")
+    want = [r.line for r in export.numbered(lines).filter("snapshot_id = 's1'").orderBy("line_no").collect()]
+    assert text.split("\n")[:-1] == want
+    assert want[:6] == ["# Model", "", "## Overview", "", "|  | Count |", "|-|-|"][:6] and "| Tables | 8 |" in want and "| Share | fact | 1 visuals |" in want
+    at = want.index("### near")
+    assert want[at : at + 8] == ["### near", "", "**Source:** `Lake.dbo.base`", "", "| Column | Physical column | Type | Confidence |", "|-|-|-|-|", "| kept | Lake.dbo.base.kept | string | ● exact |", "| near | Lake.dbo.base.far | string | ● exact |"]
+    assert want[want.index("### fact[Total]") :][:5] == ["### fact[Total]", "", "```dax", "SUM(fact[amount])", "```"]
+
+
+def test_changes_within_json_by_path(spark):
+    from lineagrid.operators import diff as d
+
+    side = lambda texts: spark.createDataFrame(list(texts.items()), "k string, t string")
+    b = side({"same": '{"a": [1, {"b": null}], "c": {}}', "moved": '{"x": 1, "y": {"z": [1, 2]}}', "gone": "{}", "bad": "{", "deep": "[" * 30 + "1" + "]" * 30, "kind": '{"v": []}'})
+    a = side({"same": ' {"c": {}, "a": [1,{"b":null}]}', "moved": '{"y": {"z": [1, 3, "q"]}, "n": null}', "new": "{}", "bad": "{", "deep": "[" * 30 + "2" + "]" * 30, "kind": '{"v": {}}'})
+    got = {tuple(r) for r in d.path_diff(b, a, ["k"], "t", "json").collect()}
+    assert got == {
+        ("moved", "$.x", "json_removed", "1", None), ("moved", "$.y.z[1]", "json_changed", "2", "3"), ("moved", "$.y.z[2]", "json_added", None, '"q"'), ("moved", "$.n", "json_added", None, "null"),
+        ("deep", "$" + "[0]" * 30, "json_changed", "1", "2"), ("kind", "$.v", "json_changed", "[]", "{}"),
+    }
+
+
+def test_impact_follows_what_has_changed(spark):
+    """A seed that is no node reaches nothing; others are not walked from."""
+    e = spark.createDataFrame([("p", "s", "m2", "m1", "measure_to_measure"), ("p", "s", "v", "m2", "visual_to_field"), ("p", "s", "f", "m1", "field_param_to_field"), ("p", "s", "w", "f", "visual_to_field")], "project_id string, snapshot_id string, source string, target string, type string")
+    from lineagrid.plans.graphs import impact
+
+    applied = spark.createDataFrame([("p", "s", "w")], "project_id string, snapshot_id string, visual string")
+    got = {(r.seed, r.kind, r.visual) for r in impact(e, _seeds(spark, "m1", "nothing").withColumn("snapshot_id", F.lit("s")), applied).collect()}
+    assert got == {("m1", "direct", "v"), ("m1", "direct", "w"), ("m1", "field_parameter", "w"), ("m1", "calculation_group", "w")}
