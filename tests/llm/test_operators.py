@@ -558,6 +558,36 @@ def test_toxicity_against_a_plain_version(spark):
         assert any(abs(x.severity - sum(q)) < 1e-5 and x.toxic == (q[0] >= 0.5) for q in p)
 
 
+def test_toxicity_of_confirmed_grades_against_a_plain_version(spark):
+    """The registered query's own way: toxic rows graded by the model of the other half of the labels, then one model of all, done again in plain Python."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    flag = {i: int(r.random() < 0.4) for i in range(400)}
+    texts = {i: " ".join(r.choices(words, k=25) + r.choices(["Vile", "nasty", "awful"], k=r.choice([0, 1, 3]) if f else 0)) for i, f in flag.items()}
+    d = docs(spark, [(i, t, "s") for i, t in texts.items()])
+    model = toxicity.train(d, spark.createDataFrame([(i, 1, f) for i, f in flag.items()], "doc_id long, quality int, toxic int"), least_z=1.5, most_features=40)
+    fold = {x.doc_id: x.fold for x in d.select("doc_id", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).alias("fold")).collect()}
+    sets = {i: set(re.findall(toxicity.WORD, low(t))) for i, t in texts.items()}
+
+    def fitted(ids, grades, top):
+        names = brute_telling([texts[i] for i in ids], [flag[i] for i in ids], 3, 1.5, 40)
+        at = {w: k for k, w in enumerate(names)}
+        w, theta = toxicity.fit([[at[v] for v in sets[i] if v in at] for i in ids], np.array([grades[i] for i in ids]), len(names), top)
+        return names, dict(zip(names, w)), theta
+
+    halves = {k: fitted([i for i in sorted(texts) if fold[i] == k], flag, 1) for k in (0, 1)}
+    grades = {}
+    for i, f in flag.items():
+        _, w, theta = halves[1 - fold[i]]
+        grades[i] = f and 1 + int(1 / (1 + math.exp(theta[0] - sum(w.get(v, 0.0) for v in sets[i]))) >= 0.5)
+    names, w, theta = fitted(sorted(texts), grades, 2)
+    assert set(grades.values()) == {0, 1, 2} and model["words"] == names
+    assert np.allclose(model["weights"], [w[v] for v in names], atol=1e-3) and np.allclose(model["thresholds"], theta, atol=1e-3)
+    for x in toxicity.score(d, model).collect():
+        p = [1 / (1 + math.exp(b - sum(w.get(v, 0.0) for v in sets[x.doc_id]))) for b in theta]
+        assert abs(x.severity - sum(p)) < 1e-2
+
+
 def test_toxicity_of_labels_of_one_class(spark):
     d = docs(spark, [(i, f"word{i} text", "s") for i in range(40)])
     labels = lambda flag: spark.createDataFrame([(i, 1, flag) for i in range(20)], "doc_id long, quality int, toxic int")
