@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineagrid.llm.common import cut, folder, table
+from lineagrid.llm.common import folder, land, table
 from lineagrid.llm.mixing import mix
 from lineagrid.llm.near_duplicates import near_duplicates
 from lineagrid.llm.private_data import all_spans, find_private, sanitise
@@ -45,7 +45,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _nodes(docs: DataFrame) -> DataFrame:
     """docs with ``node``: doc_id, but for ids that stand for several texts, and rows without an id, a number above 2^62 from id and text."""
     docs = _md5(docs)
-    several = cut(docs.groupBy("doc_id").agg(F.min("text_md5").alias("lo"), F.max("text_md5").alias("hi")).filter("lo < hi and doc_id is not null").select("doc_id", F.lit(True).alias("several")))
+    several = land(docs.groupBy("doc_id").agg(F.min("text_md5").alias("lo"), F.max("text_md5").alias("hi")).filter("lo < hi and doc_id is not null").select("doc_id", F.lit(True).alias("several")))
     own = F.lit(2**62) + F.pmod(F.xxhash64("doc_id", "text_md5"), F.lit(2**62))
     return docs.join(several, "doc_id", "left").withColumn("node", F.when(F.col("several") | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id"))).drop("several", "text_md5")
 

@@ -82,7 +82,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     rows = sizes(docs.select("doc_id", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")))
     # equal rows are one with a number of copies, so that no id and no group of copies fills a chunk
     rows = cut(rows.groupBy("doc_id", "text_md5", "source", "size").agg(F.count("*").alias("copies")))
-    n = max(1, rows.count())
+    held = rows.agg(F.count("*").alias("n"), F.coalesce(F.max("copies"), F.lit(0)).alias("most")).first()
+    n = max(1, held.n)
     digits = next(d for d in range(1, 9) if 16**d * per_chunk >= n or d == 8)
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5"))
     per_source = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, cap).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long")))
@@ -90,9 +91,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     named = rows.join(per_source, rows.source.eqNullSafe(per_source.source)).select("doc_id", "text_md5", rows.source, "size", "copies", "no", "source_size", "target", "quota", h.alias("h"))
     placed = _running(named.withColumn("chunk", F.substring("h", 1, digits)), "no", "chunk", ["h", "doc_id"], F.col("size") * F.col("copies"), "start")
     own = ["doc_id", "text_md5", "no"]
-    # copies in runs of at most per_chunk, and the runs of a row that has many dealt out
+    # copies in runs of at most per_chunk, which are dealt out where a row has many
     runs = placed.select(*own, "source", "size", "source_size", "target", "quota", "start", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(per_chunk).cast("long"))).alias("c"))
-    runs = runs.filter(F.col("copies") <= per_chunk).unionByName(runs.filter(F.col("copies") > per_chunk).repartition("doc_id", "text_md5", "c"))
+    if held.most > per_chunk:
+        runs = runs.repartition("doc_id", "text_md5", "c")
     each = runs.select(*own, "source", "size", "source_size", "target", "quota", "start", F.explode(F.sequence(F.col("c"), F.least(F.col("copies"), F.col("c") + per_chunk) - 1)).alias("copy"))
     each = each.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     passes = F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / F.col("source_size")).cast("int")))
