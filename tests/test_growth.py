@@ -1,5 +1,6 @@
 """What the queries' work grows with: plans and rounds, on small tables."""
 
+from lineagrid.operators import graph as g
 from lineagrid.plans.bridge import VIEWS, view
 
 SF = "/root/testdata/sf0.001"
@@ -12,3 +13,40 @@ def test_tables_of_projects_are_multiplied_after_projects_are_distinct(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     depth = {k: next(i for i, x in enumerate(plan) if k in x) for k in ("Join Cross", "Aggregate")}
     assert depth["Join Cross"] < depth["Aggregate"]
+
+
+def test_seeds_walk_in_masks(spark):
+    """A closure of 200 seeds, circles included, against a plain walk; 64 seeds share a row."""
+    edges = [(f"n{i}", f"n{j}") for i in range(1, 200) for j in {i // 2, i // 3} if i != j] + [("n0", "n5"), ("n7", "leaf"), ("n9", "leaf"), ("n9", "n9")]
+    e = spark.createDataFrame([("P", "s", a, b) for a, b in edges], "project_id string, snapshot_id string, source string, target string")
+    names = [f"n{i}" for i in range(200)]
+    seeds = spark.createDataFrame([("P", "s", n) for n in names], "project_id string, snapshot_id string, seed string")
+
+    def plain(seed, to, limit=99, stop=()):
+        at, depth, front = {seed: 0}, 0, {seed}
+        while front and depth < limit:
+            depth += 1
+            front = {b for a in front if depth == 1 or a not in stop for b in to.get(a, ()) if b not in at}
+            at |= dict.fromkeys(front, depth)
+        return {(seed, n, d) for n, d in at.items() if d}
+
+    up, down = {}, {}
+    for a, b in edges:
+        up.setdefault(a, set()).add(b)
+        down.setdefault(b, set()).add(a)
+    rows = lambda df: sorted((r.seed, r.node, r.depth) for r in df.collect())
+    assert rows(g.closure(e, seeds)) == sorted(set().union(*(plain(s, up) for s in names)))
+    assert rows(g.closure(e, seeds, "downstream", 3)) == sorted(set().union(*(plain(s, down, 3) for s in names)))
+    stop = spark.createDataFrame([("P", "s", n) for n in ("n5", "n9")], "project_id string, snapshot_id string, node string")
+    assert rows(g.closure(e, seeds, stop=stop)) == sorted(set().union(*(plain(s, up, stop=("n5", "n9")) for s in names)))
+    found, chunks = g.masks(e, seeds)
+    assert chunks.selectExpr("sum(size(seeds))", "max(size(seeds)) <= 64").first() == (200, True)
+    assert found.count() * 3 < g.closure(e, seeds).count()
+    # seeds that aren't all nodes: both ways are walked
+    few = seeds.filter("seed in ('n7', 'n5', 'n20')")
+    ways = {(r.seed, r.node): (r.depth, r.direction) for r in g.depth_map(e, few).collect()}
+    want = {(s, s): (0, "self") for s in ("n7", "n5", "n20")}
+    for s in ("n7", "n5", "n20"):
+        want |= {(a, n): (d, "upstream") for a, n, d in plain(s, up)}
+        want |= {(a, n): (d, "downstream") for a, n, d in plain(s, down)}
+    assert ways == want
