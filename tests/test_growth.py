@@ -1,5 +1,10 @@
 """What the queries' work grows with: plans and rounds, on small tables."""
 
+import time
+
+from pyspark.sql import functions as F
+
+from lineagrid.functions import dax
 from lineagrid.operators import graph as g
 from lineagrid.plans.bridge import VIEWS, view
 
@@ -50,3 +55,12 @@ def test_seeds_walk_in_masks(spark):
         want |= {(a, n): (d, "upstream") for a, n, d in plain(s, up)}
         want |= {(a, n): (d, "downstream") for a, n, d in plain(s, down)}
     assert ways == want
+
+
+def test_nameof_targets_of_a_long_parameter(spark):
+    """24,000 calls, each name twice: every call used to be set against all others."""
+    text = ", ".join(f"NAMEOF('T'[M{i}]), nameof('t'[m{i}])" for i in range(12000)) + ", NAMEOF([M1]), NAMEOF([M1])"
+    began = time.time()
+    got = spark.createDataFrame([(text,)], "text string").select(F.explode(dax.nameof_targets(F.col("text"))).alias("t")).select("t.ref_table", "t.ref_name").collect()
+    assert [tuple(r) for r in got] == [("T", f"M{i}") for i in range(12000)] + [(None, "M1")]
+    assert time.time() - began < 60
