@@ -70,12 +70,12 @@ def _needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, threshold: float = 0.9, phrases: dict[str, str] | None = None, sample: int = 2_000) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str | list[str]] | None = None, threshold: float = 0.9, phrases: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs, with the contract's columns and ``templates`` (label, first word and share of the best run of each block found).
 
     A null or empty text has no words: n_words 0, no places, empty labels, score 0. Repeated rows give repeated results; other
     columns are ignored. ``score`` is the largest share of a template's words in one run where that reaches the threshold,
-    else 0. ``sample`` rows show which words are rare; any order of the words gives the same result. Templates are a parameter, so the tables made from them are as small as that parameter.
+    else 0. Counts over all rows show which words are rare; any order of the words gives the same result. Templates are a parameter, so the tables made from them are as small as that parameter.
     """
     spark, templates, phrases = docs.sparkSession, TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     sets = wordings(templates)
@@ -94,7 +94,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str | list[str]] | None =
 
     none = F.array().cast("array<struct<at:int,label:string>>")
     window = max((run_length(w) for _, w, _ in sets), default=1)
-    counts = _counts(docs, vocab, sample)
+    counts = _counts(docs, vocab)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
     # a block that holds enough of a template holds one of the template's rarest words, in whatever order
     scouts = sorted({w for _, _, v in sets for w in sorted(v, key=rank.get)[: len(v) - _needed(len(v), threshold) + 1]})
@@ -137,10 +137,10 @@ def license_scan(docs: DataFrame, templates: dict[str, str | list[str]] | None =
     )
 
 
-def _counts(docs: DataFrame, vocab: Column, sample: int) -> dict[str, int]:
-    """How many of a few rows hold each word of the templates."""
+def _counts(docs: DataFrame, vocab: Column) -> dict[str, int]:
+    """How many rows hold each word of the templates."""
     words = F.array_intersect(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), vocab)
-    return {r.w: r.n for r in docs.limit(sample).select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per word of the templates
+    return {r.w: r.n for r in docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # a row per word of the templates
 
 
 def _best_run(hits: Column, window: Column) -> Column:

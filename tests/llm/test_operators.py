@@ -612,3 +612,9 @@ def test_ordinal_gradient():
             v[k] += e
             assert loss(v, theta) > best
     assert theta[0] < theta[1] and loss(w, theta + 0.05) > best
+
+
+def test_license_words_are_counted_over_all_rows(spark):
+    rows = [(i, "common") for i in range(3000)] + [(3000 + i, "common rare rare") for i in range(7)] + [(4000, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert license_scan._counts(d, F.array(F.lit("common"), F.lit("rare"))) == {"common": 3007, "rare": 7}
