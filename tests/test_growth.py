@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineagrid.functions import dax
 from lineagrid.operators import graph as g
+from lineagrid.operators import report
 from lineagrid.plans.bridge import VIEWS, view
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +65,34 @@ def test_nameof_targets_of_a_long_parameter(spark):
     got = spark.createDataFrame([(text,)], "text string").select(F.explode(dax.nameof_targets(F.col("text"))).alias("t")).select("t.ref_table", "t.ref_name").collect()
     assert [tuple(r) for r in got] == [("T", f"M{i}") for i in range(12000)] + [(None, "M1")]
     assert time.time() - began < 60
+
+
+def _over(df, name):
+    """The operators of the plan that come after the first of a name, outermost first."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return lines[: next(i for i, x in enumerate(lines) if name in x)]
+
+
+def test_offers_of_parameters_are_not_grouped_by_visual(spark):
+    """300 visuals of two parameters that offer 1,500 measures, some shown already: pairs are written where they arise."""
+    schema = "project_id string, snapshot_id string, page_id string, visual_id string, "
+    offers = spark.createDataFrame([("p", "s", "AB"[i % 2], i, "measure", "T", f"M{i // 2 if i % 10 == 0 else i}") for i in range(1500)], "project_id string, snapshot_id string, parameter_table string, ordinal int, kind string, table_name string, name string")
+    bound = spark.createDataFrame([("p", "s", "g", f"v{i}", x) for i in range(300) for x in ("AB" if i % 3 == 0 else "A" if i % 3 == 1 else "B")], schema + "parameter_table string")
+    fields = spark.createDataFrame([("p", "s", "g", f"v{i}", "measure", "t", f"m{j}", via) for i in range(302) for j, via in ((2, "query"), (3, "filter"), (9999, "title"))], schema + "kind string, table_name string, name string, via string")
+    df = report.expand_parameters(fields, bound, offers)
+    want = set()
+    by = {x: {r.name for r in offers.collect() if r.parameter_table == x} for x in "AB"}
+    for i in range(302):
+        sets = () if i >= 300 else "AB" if i % 3 == 0 else "A" if i % 3 == 1 else "B"
+        names = {}
+        for x in sets:
+            for n in by[x]:
+                names.setdefault(n, x)
+        want |= {(f"v{i}", "T", n, "parameter", x) for n, x in names.items() if n != "M2"}
+        want.add((f"v{i}", "t", "m2", "query", names.get("M2")))
+        want.add((f"v{i}", "t", "m9999", "title", None))
+        if "M3" not in names:
+            want.add((f"v{i}", "t", "m3", "filter", None))
+    got = [(r.visual_id, r.table_name, r.name, r.via, r.via_parameter) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert not any("Aggregate" in x or "Join" in x for x in _over(df, "Generate explode"))
