@@ -96,3 +96,35 @@ def test_offers_of_parameters_are_not_grouped_by_visual(spark):
     got = [(r.visual_id, r.table_name, r.name, r.via, r.via_parameter) for r in df.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert not any("Aggregate" in x or "Join" in x for x in _over(df, "Generate explode"))
+
+
+def test_impact_is_counted_without_its_pairs(spark):
+    """Counts, firsts and pairs against a plain walk; visuals bound alike are one row of a chunk."""
+    from lineagrid.plans.graphs import impact, impact_counts, ways
+
+    reads = [(f"m{i}", f"m{j}") for i in range(1, 90) for j in {i // 2, i // 3} if i != j] + [("m1", "m2")]
+    shows = [(f"v{i}", f"m{i * 7 % 90}") for i in range(60)] + [(f"w{i}", f"m{i}") for i in range(8)]
+    offers = [("ABC"[i % 3], f"m{i}") for i in range(0, 90, 2)] + [("B", "m0")]
+    bound = [(f"w{i}", x) for i in range(120) for x in ("A", "B", "AC", "D")[i % 4]]
+    kinds = {"measure_to_measure": reads, "visual_to_field": shows + bound, "field_param_to_field": offers}
+    edges = spark.createDataFrame([("P", "s", a, b, k) for k, e in kinds.items() for a, b in e], "project_id string, snapshot_id string, source string, target string, type string")
+    seeds = spark.createDataFrame([("P", "s", f"m{i}") for i in range(91)], "project_id string, snapshot_id string, seed string")
+    applied = spark.createDataFrame([("P", "s", f"{x}{i}") for x in "vw" for i in range(0, 120, 5)], "project_id string, snapshot_id string, visual string")
+    want, by = set(), {b: {a for a, c in reads if c == b} for _, b in reads}
+    for seed in (f"m{i}" for i in range(91)):
+        at, front = {seed}, {seed}
+        while front:
+            front = {a for b in front for a in by.get(b, ())} - at
+            at |= front
+        own = {v for v, x in bound if (x, seed) in offers}
+        hit = {v for v, m in shows if m in at} | {v for v, x in bound if {m for y, m in offers if y == x} & at}
+        want |= {(seed, "direct", v) for v in hit} | {(seed, "field_parameter", v) for v in own} | {(seed, "calculation_group", v) for v in hit if int(v[1:]) % 5 == 0}
+    pairs = [(r.seed, r.kind, r.visual) for r in impact(edges, seeds, applied).collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    count = {}
+    for seed, kind, v in want:
+        n, first = count.get((seed, kind), (0, v))
+        count[seed, kind] = n + 1, min(first, v)
+    assert {(r.seed, r.kind): (r.n_visuals, r.first_visual) for r in impact_counts(edges, seeds, applied).collect()} == count
+    chunks, _, shown, given = ways(edges, seeds)
+    assert (shown.count() + given.count()) * 8 < len(pairs) and given.count() <= 3 * chunks.count()
