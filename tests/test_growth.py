@@ -128,3 +128,26 @@ def test_impact_is_counted_without_its_pairs(spark):
     assert {(r.seed, r.kind): (r.n_visuals, r.first_visual) for r in impact_counts(edges, seeds, applied).collect()} == count
     chunks, _, shown, given = ways(edges, seeds)
     assert (shown.count() + given.count()) * 8 < len(pairs) and given.count() <= 3 * chunks.count()
+
+
+def test_closures_unfold_after_they_are_counted(spark):
+    """Seeds stay folded up to the last step: no join or grouping of the plan has a row for each pair of a seed and a node, and rows written in between are few."""
+    from lineagrid.plans import graphs
+
+    chunks, found = graphs._measure_columns(spark, SF)
+    assert {"chunk", "mask", "parent", "column"} <= set(found.columns) and chunks.selectExpr("max(size(seeds)) <= 64").first()[0]
+    assert not any("Aggregate" in x or "Join" in x for x in _over(graphs.g11_source_table(spark, SF), "Generate explode"))
+    edges = spark.createDataFrame([("P", "s", f"n{i:03}", f"n{j:03}") for i in range(1, 200) for j in {i // 2, i // 3} if i != j], "project_id string, snapshot_id string, source string, target string")
+    seeds = spark.createDataFrame([("P", "s", f"n{i:03}") for i in range(200)], "project_id string, snapshot_id string, seed string")
+    chain = g.chain_edges(edges, seeds)
+    member = g.closure(edges, seeds).select("seed", "node").union(seeds.selectExpr("seed", "seed")).toDF("seed", "source")
+    assert sorted((r.seed, r.parent, r.node) for r in chain.collect()) == sorted((r.seed, r.source, r.target) for r in member.join(edges, "source").collect())
+    assert not any("Aggregate" in x for x in _over(chain, "Generate explode"))
+    n = {}
+    for r in g.closure(edges, seeds).collect():
+        n[r.seed] = min(n.get(r.seed, r.node), r.node)
+    found, chunks = g.masks(edges, seeds)
+    found = found.filter("depth > 0")
+    names = g.numbered(found.select("project_id", "snapshot_id", "node").distinct(), "node")
+    least = g.of_seeds(g.bits(found.join(names, ["project_id", "snapshot_id", "node"])).groupBy("project_id", "snapshot_id", "chunk", "k").agg(F.min("no").alias("no")), chunks)
+    assert {r.seed: r.node for r in least.join(names.select("no", "node"), "no").collect()} == n
