@@ -2,12 +2,14 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lineagrid.functions import dax
 from lineagrid.operators import graph as g
 from lineagrid.operators import report
 from lineagrid.plans.bridge import VIEWS, view
+from lineagrid.sources import tmdl
 
 SF = "/root/testdata/sf0.001"
 
@@ -151,3 +153,21 @@ def test_closures_unfold_after_they_are_counted(spark):
     names = g.numbered(found.select("project_id", "snapshot_id", "node").distinct(), "node")
     least = g.of_seeds(g.bits(found.join(names, ["project_id", "snapshot_id", "node"])).groupBy("project_id", "snapshot_id", "chunk", "k").agg(F.min("no").alias("no")), chunks)
     assert {r.seed: r.node for r in least.join(names.select("no", "node"), "no").collect()} == n
+
+
+def test_objects_of_files_leave_in_small_batches():
+    """A task's files used to be held parsed, all at once."""
+    text = "table T\n" + "".join(f"\tmeasure m{i} = 1\n\t\tisHidden\n" for i in range(9))
+    files = pa.record_batch({"project_id": ["p"] * 3, "snapshot_id": ["s"] * 3, "path": ["a", "b", "c"], "content": [text, None, text]})
+    out = list(tmdl.batches(iter([files]), 4))
+    assert [b.num_rows for b in out] == [4, 4, 4, 4, 4]
+    got = [r for b in out for r in b.to_pylist()]
+    assert [(r["path"], r["ordinal"]) for r in got] == [(f, i) for f in "ac" for i in range(10)]
+    assert got[-1]["name"] == "m8" and got[-1]["table_name"] == got[-1]["parent"] == "T" and dict(got[-1]["props"]) == {"isHidden": "true"}
+
+
+def test_calls_of_use_relationship_read_comments_once(spark):
+    text = """USERELATIONSHIP('it]s T'[a'b], U_1[c d]) + userelationship(A[b], 'C, d'[e$1]) // USERELATIONSHIP(N[n], N[n])"""
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(dax.use_relationships(F.col("t")).alias("u"))
+    assert [r.u and [tuple(x) for x in r.u] for r in df.collect()] == [[("it]s T", "a'b", "U_1", "c d"), ("A", "b", "C, d", "e$1")], [], None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("//") == 1
