@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PK = ["project_id", "snapshot_id"]
 ROWS = "project_id string, snapshot_id string, path string, object string, table_name string, name string, parent string, expression string, props map<string,string>, ordinal int"
 _OBJECT = re.compile(r"^(table|column|measure|partition|calculationGroup|calculationItem|refreshPolicy|relationship|expression|hierarchy|level|role|culture|annotation|changedProperty|variation)\b\s*(.*)$")
+_WORDS = ("table", "column", "measure", "partition", "calculation", "refreshPolicy", "relationship", "expression", "hierarchy", "level", "role", "culture", "annotation", "changedProperty", "variation")
 _PROPERTY = re.compile(r"^([A-Za-z]\w*)\s*:\s*(.*)$")
 _EXPRESSION = re.compile(r"^(source|sourceExpression|pollingExpression|expression|formatStringDefinition|detailRowsDefinition)\s*=\s*(.*)$")
 _FLAG = re.compile(r"^[a-z][A-Za-z]*$")
@@ -27,6 +28,8 @@ def unquoted(name: str) -> str:
 
 
 def _depth(line: str) -> int:
+    if not line or not line[0].isspace():
+        return 0
     lead = line[: len(line) - len(line.lstrip())]
     return lead.count("\t") + lead.replace("\t", "").count(" ") // 4
 
@@ -41,7 +44,9 @@ def parse(text: str | None) -> list[dict]:
     """Objects of a TMDL text in order: object, name, parent (names of what it stands in), expression, props."""
     out: list[dict] = []
     stack: list[tuple[int, dict]] = []
-    lines = [x.rstrip("\r") for x in (text or "").split("\n")]
+    lines = (text or "").split("\n")
+    if "\r" in (text or ""):
+        lines = [x.rstrip("\r") for x in lines]
     i = 0
 
     def expression(first: str, depth: int, at: int) -> tuple[str, int]:
@@ -69,12 +74,12 @@ def parse(text: str | None) -> list[dict]:
         while stack and stack[-1][0] >= depth:
             stack.pop()
         owner = stack[-1][1] if stack else None
-        if (m := _EXPRESSION.match(s)) and owner is not None and not (m[1] == "expression" and depth == 0):
+        if "=" in s and (m := _EXPRESSION.match(s)) and owner is not None and not (m[1] == "expression" and depth == 0):
             value, i = expression(m[2], depth, i)
             owner["props"][m[1]] = value
             if m[1] in ("source", "sourceExpression") and owner["expression"] is None:
                 owner["expression"] = value
-        elif m := _OBJECT.match(s):
+        elif s.startswith(_WORDS) and (m := _OBJECT.match(s)):
             name, first = _split_name(m[2])
             node = {"object": m[1], "name": name, "parent": [x["name"] for _, x in stack], "expression": None, "props": {}}
             i += 1
@@ -93,19 +98,32 @@ def parse(text: str | None) -> list[dict]:
     return out
 
 
-def rows(files: DataFrame) -> DataFrame:
-    """One row per object of each file. No shuffle; file contents are parsed where they are read."""
+_ARROW = pa.schema([(c.split()[0], {"int": pa.int32(), "string": pa.string()}.get(c.split()[1], pa.map_(pa.string(), pa.string()))) for c in ROWS.split(", ")])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for p, s, path, content in zip(b.project_id, b.snapshot_id, b.path, b.content):
-                found = parse(content)
-                table = next((o["name"] for o in found if o["object"] == "table"), None)
-                out += [(p, s, path, o["object"], table, o["name"], o["parent"][-1] if o["parent"] else None, o["expression"], o["props"], k) for k, o in enumerate(found)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROWS.split(", ")])
 
-    return files.select(*PK, "path", "content").mapInPandas(run, ROWS)
+def batches(files: Iterator[pa.RecordBatch], size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The objects of all files, size at most in a batch, so that what a task holds is one file's objects and not those of all its files."""
+    out: list[tuple] = []
+    for b in files:
+        for p, s, path, content in zip(*(b.column(c) for c in ("project_id", "snapshot_id", "path", "content"))):
+            p, s, path, found = p.as_py(), s.as_py(), path.as_py(), parse(content.as_py())
+            table = next((o["name"] for o in found if o["object"] == "table"), None)
+            for k, o in enumerate(found):
+                out.append((p, s, path, o["object"], table, o["name"], o["parent"][-1] if o["parent"] else None, o["expression"], list(o["props"].items()), k))
+                if len(out) == size:
+                    yield _batch(out)
+                    out = []
+    if out:
+        yield _batch(out)
+
+
+def rows(files: DataFrame) -> DataFrame:
+    """One row per object of each file. No shuffle; file contents are parsed where they are read."""
+    return files.select(*PK, "path", "content").mapInArrow(batches, ROWS)
 
 
 def _flag(name: str):
