@@ -171,3 +171,12 @@ def test_calls_of_use_relationship_read_comments_once(spark):
     df = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(dax.use_relationships(F.col("t")).alias("u"))
     assert [r.u and [tuple(x) for x in r.u] for r in df.collect()] == [[("it]s T", "a'b", "U_1", "c d"), ("A", "b", "C, d", "e$1")], [], None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("//") == 1
+
+
+def test_lines_are_not_sorted_to_meet_visuals_and_measures(spark):
+    """The sort of all of a task's lines was what held its memory."""
+    from lineagrid.plans import models
+
+    for df in (models._fields(spark, SF), view(spark, SF, "b_shown")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
