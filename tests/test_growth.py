@@ -180,3 +180,31 @@ def test_lines_are_not_sorted_to_meet_visuals_and_measures(spark):
     for df in (models._fields(spark, SF), view(spark, SF, "b_shown")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_relationships_meet_the_names_of_their_model_once(spark):
+    """One join for both ends, and none of the relationships moves after they were dealt by project; each end used to be joined with all tables."""
+    from lineagrid.operators import shape
+
+    rels = [("p", "s", "A", "B"), ("p", "s", "A", "X"), ("p", "s", "X", "B"), ("p", "s", None, "B"), ("q", "s", "A", "B"), ("p", "t", "A", "A"), ("p", "t", "A", "B")]
+    tables = [("p", "s", "A"), ("p", "s", "B"), ("p", "s", "B"), ("p", "s", None), ("p", "t", "A")]
+    k = shape.known_relationships(spark.createDataFrame(rels, "project_id string, snapshot_id string, from_table string, to_table string"), spark.createDataFrame(tables, "project_id string, snapshot_id string, name string"))
+    assert k.columns == ["project_id", "snapshot_id", "from_table", "to_table", "dangling"]
+    got = [tuple(r) for r in k.collect()]
+    assert len(got) == len(rels) and {r[:4] for r in got if not r[4]} == {("p", "s", "A", "B"), ("p", "t", "A", "A")}
+    df = shape.known_relationships(view(spark, SF, "b_rel"), view(spark, SF, "b_table"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan
+    assert sum("(project_id" in x for x in moved) == 2 and not any("from_table" in x or "to_table" in x for x in moved)
+
+
+def test_conditions_of_a_part_are_counted_together(spark):
+    from lineagrid.operators import shape
+
+    schema = "project_id string, snapshot_id string, a boolean, b int"
+    rows = spark.createDataFrame([("p", "s", True, 1), ("p", "s", None, 2), ("p", "t", False, 2), ("q", "s", True, 2), ("x", "s", True, 2)], schema)
+    more = spark.createDataFrame([("q", "s"), ("q", "s")], "project_id string, snapshot_id string")
+    projects = spark.createDataFrame([("p", "s"), ("p", "t"), ("q", "s"), ("r", "s")], "project_id string, snapshot_id string")
+    got = [tuple(r) for r in shape.observations(projects, [(rows, {"is a": F.col("a"), "two": F.col("b") == 2}), (more, {"more": F.lit(True)})]).collect()]
+    assert sorted(got) == [("p", "s", "is a", 1), ("p", "s", "two", 1), ("p", "t", "two", 1), ("q", "s", "is a", 1), ("q", "s", "more", 2), ("q", "s", "two", 1)]
