@@ -19,11 +19,11 @@ _OWNER = [*PK, "kind", "owner"]
 
 
 def gold(files: DataFrame) -> dict[str, DataFrame]:
-    """Objects of all model files as tables; files are (pk, path, content). The rows are landed by snapshot before they are shaped."""
+    """Objects of all model files as tables; files are (pk, path, content). The rows are landed by snapshot before they are shaped, and so are the bodies, which a source map and a graph both read."""
     objects = cut(tmdl.rows(files.filter(F.lower("path").endswith(".tmdl"))), by="snapshot_id")
     made = {f.__name__: f(objects) for f in (tmdl.columns, tmdl.measures, tmdl.partitions, tmdl.calculation_items, tmdl.expressions, tmdl.relationships)}
     groups = objects.filter("object in ('calculationGroup', 'calculationItem')").select(*PK, "table_name").distinct()
-    return made | {"groups": groups, "objects": objects}
+    return made | {"groups": groups, "objects": objects, "bodies": cut(bodies(made))}
 
 
 def bodies(g: dict[str, DataFrame]) -> DataFrame:
@@ -132,10 +132,10 @@ def _deepest(f: DataFrame, what: str, key: str, *out: str) -> DataFrame:
     return each.groupBy(*PK, "table_name", F.col(f"x.{key}").alias(key)).agg(*(F.max_by(f"x.{c}", rank).alias(c) for c in out))
 
 
-def source_map(files: DataFrame) -> dict[str, DataFrame]:
-    """From files (pk, path, content) to ``columns`` (the source map, with also_from), ``steps`` (spliced), ``tables`` (kind, path, upstream, intact) and the gold tables."""
-    g = gold(files)
-    b = cut(bodies(g))
+def source_map(files: DataFrame | None, g: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """From files (pk, path, content) to ``columns`` (the source map, with also_from), ``steps`` (spliced), ``tables`` (kind, path, upstream, intact) and the gold tables. g: those of the files, where they have been read already."""
+    g = gold(files) if g is None else g
+    b = g["bodies"]
     own = cut(own_steps(b))
     steps = cut(spliced(own))
     parameters = g["expressions"].filter("kind = 'parameter' and value is not null").select(*PK, F.col("name").alias("parameter"), "value")

@@ -69,7 +69,7 @@ def _text_edges(g: dict[str, DataFrame], known: DataFrame) -> list[DataFrame]:
 
 def _source_edges(g: dict[str, DataFrame], known: DataFrame) -> list[DataFrame]:
     """What M text names: sources, shared expressions, joined tables. A table whose own text has no source takes that of the expression that it names first."""
-    b = cut(estate.bodies(g))
+    b = g["bodies"]
     parameters = g["expressions"].filter("kind = 'parameter' and value is not null").groupBy(*PK).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("values"))
     s = b.select(*PK, "kind", "owner", F.try_element_at(mq.data_sources(F.col("body")), F.lit(1)).alias("s")).filter("s is not null").join(parameters, PK, "left")
     said = lambda p, c: F.coalesce(F.try_element_at("values", F.col(f"s.{p}")), F.col(f"s.{c}"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import estate
 from ..operators import graph_build as build
-from ..operators.common import PK
+from ..operators.common import PK, cut
 from ..sources import export, pbir
 from ..sources.files import kind
 from .bridge import VIEWS, oracle, view
@@ -61,21 +61,27 @@ def model_files(spark, sf):
     return tables.unionByName(some).unionByName(catalog)
 
 
+def _landed(files):
+    """The files as a table of their own: a small table of rows makes one task's worth of text, which is dealt out before it is read, and made once however often it is read."""
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by size they would be few: repeated text is small once packed, but slow to read
+    return cut(files.repartition(n, *PK, "path"))
+
+
 def j9_from_files(spark, sf):
     """Files to source map in one job."""
-    return estate.source_map(model_files(spark, sf))["columns"].select("project_id", "model_table", "model_column", "source_column", "physical_path", "origin", "confidence", F.array_join("also_from", ",").alias("also_from"))
+    return estate.source_map(_landed(model_files(spark, sf)))["columns"].select("project_id", "model_table", "model_column", "source_column", "physical_path", "origin", "confidence", F.array_join("also_from", ",").alias("also_from"))
 
 
 def j2_spliced_steps(spark, sf):
     """Steps of each table with those of shared expressions in their place, in order, and the expression in which each is written."""
-    b = estate.bodies(estate.gold(model_files(spark, sf)))
-    s = estate.ordered_steps(estate.spliced(estate.own_steps(b))).filter("kind = 'table'")
+    g = estate.gold(_landed(model_files(spark, sf)))
+    s = estate.ordered_steps(estate.spliced(estate.own_steps(g["bodies"]))).filter("kind = 'table'")
     return s.select("project_id", F.col("owner").alias("table_name"), "step_no", "name", "via")
 
 
 def a2_from_files(spark, sf):
     """Coverage of each project's source map."""
-    return estate.coverage(estate.source_map(model_files(spark, sf))["columns"]).drop("snapshot_id")
+    return estate.coverage(estate.source_map(_landed(model_files(spark, sf)))["columns"]).drop("snapshot_id")
 
 
 def report_files(spark, sf):
@@ -111,15 +117,14 @@ def graph_of_files(files):
 
 def g1_from_files(spark, sf):
     """Edges of all kinds, from the text of model and report files."""
-    _, e = graph_of_files(model_files(spark, sf).unionByName(report_files(spark, sf)))
+    _, e = graph_of_files(_landed(model_files(spark, sf).unionByName(report_files(spark, sf))))
     return e.select("project_id", "source", "target", "type")
 
 
 def s7_documents(spark, sf):
     """Documentation of each project, line by line, from files alone."""
-    files = model_files(spark, sf).unionByName(report_files(spark, sf))
-    _, e = graph_of_files(files)
-    return export.numbered(export.documents(estate.source_map(files), e)).drop("snapshot_id")
+    g, e = graph_of_files(_landed(model_files(spark, sf).unionByName(report_files(spark, sf))))
+    return export.numbered(export.documents(estate.source_map(None, g), e)).drop("snapshot_id")
 
 
 _T = "'db_' || lower(project_id) || '.dbo.tab_'"

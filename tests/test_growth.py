@@ -208,3 +208,30 @@ def test_conditions_of_a_part_are_counted_together(spark):
     projects = spark.createDataFrame([("p", "s"), ("p", "t"), ("q", "s"), ("r", "s")], "project_id string, snapshot_id string")
     got = [tuple(r) for r in shape.observations(projects, [(rows, {"is a": F.col("a"), "two": F.col("b") == 2}), (more, {"more": F.lit(True)})]).collect()]
     assert sorted(got) == [("p", "s", "is a", 1), ("p", "s", "two", 1), ("p", "t", "two", 1), ("q", "s", "is a", 1), ("q", "s", "more", 2), ("q", "s", "two", 1)]
+
+
+def test_files_are_read_once_for_graph_and_source_map(spark, monkeypatch):
+    """The documents' job read and parsed all files twice, each time in as few tasks as their table of rows has."""
+    from lineagrid.operators import estate
+    from lineagrid.plans import jobs
+
+    read, dealt = [], []
+    own, own_bodies = tmdl.rows, estate.bodies
+
+    def rows(files):
+        read.append(files)
+        return own(files)
+
+    def bodies(g):
+        dealt.append(g)
+        return own_bodies(g)
+
+    monkeypatch.setattr(estate.tmdl, "rows", rows)
+    monkeypatch.setattr(estate, "bodies", bodies)
+    assert jobs.s7_documents(spark, SF).columns == ["project_id", "line_no", "line"]
+    assert len(read) == len(dealt) == 1
+    paths = [r[0] for r in read[0].select("path").collect()]
+    v = jobs.model_files(spark, SF).unionByName(jobs.report_files(spark, SF)).filter("path like '%.tmdl'")
+    assert sorted(paths) == sorted(r[0] for r in v.select("path").collect())
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "replace(" not in plan
