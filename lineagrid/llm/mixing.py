@@ -68,7 +68,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return _running(slots, "no", "chunk", ["slot"], F.lit(1), "rank").select("no", F.col("rank").cast("long").alias("rank"), "slot")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, block: int = 512, per_chunk: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 7, block: int = 512, least_slots: int = 65536, per_chunk: int = 4096) -> DataFrame:
     """One row per row of docs: doc_id, text_md5, source, size, source_size, target, taken, first_slot, slots and parts.
 
     ``taken`` counts words of the document in the mix, repeats included, never above cap times its size; ``slots`` counts the slots of the
@@ -76,7 +76,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     through the source, the slot in which the document begins and the words taken of it. The order within
     a source is that of md5(seed:doc_id:md5 of the text), so reruns agree; rows that repeat a doc_id count as documents of
     their own, and rows equal in id, text and source follow each other. Empty texts have size 0 and nothing is taken of them; a null source is a source of its own,
-    null ids are ordered by their texts. A block has ``block`` words.
+    null ids are ordered by their texts. A block has ``block`` words,
+    fewer (one at least) where the mix would have under ``least_slots`` blocks: a small mix is as finely dealt as a large one.
     Other columns are ignored. What one task handles whole is a row per source, and a source's chunks of about ``per_chunk`` rows.
     """
     rows = sizes(docs.select("doc_id", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")))
@@ -87,6 +88,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     digits = next(d for d in range(1, 9) if 16**d * per_chunk >= n or d == 8)
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_md5"))
     per_source = cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, cap).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long")))
+    total = per_source.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("q")).first().q
+    block = max(1, min(block, total // least_slots))
 
     named = rows.join(per_source, rows.source.eqNullSafe(per_source.source)).select("doc_id", "text_md5", rows.source, "size", "copies", "no", "source_size", "target", "quota", h.alias("h"))
     placed = _running(named.withColumn("chunk", F.substring("h", 1, digits)), "no", "chunk", ["h", "doc_id"], F.col("size") * F.col("copies"), "start")
@@ -124,7 +127,7 @@ r AS (SELECT *, row_number() OVER o AS pos, (1.5 * CAST(sum(source_size) OVER ()
 f AS (SELECT pos AS edge, level AS lv FROM r WHERE level * w <= cap ORDER BY pos LIMIT 1),
 t AS (SELECT r.source, no, CAST(source_size AS BIGINT) AS source_size, CASE WHEN edge IS NULL OR pos < edge THEN cap ELSE lv * w END AS target FROM r LEFT JOIN f ON true),
 q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM t),
-z AS (SELECT CAST(512 AS BIGINT) AS block),
+z AS (SELECT CAST(greatest(1, least(512, sum(quota) // 65536)) AS BIGINT) AS block FROM q),
 k AS (SELECT no, blocks, CAST(sum(blocks) OVER (ORDER BY no) - blocks AS BIGINT) AS start, CAST(sum(blocks) OVER () AS BIGINT) AS total FROM (SELECT no, CAST(ceil(quota / block) AS BIGINT) AS blocks FROM q, z) WHERE blocks > 0),
 v AS (SELECT no, CAST(('0b' || reverse(lpad(bin(j), CAST(length(bin(greatest(total - 1, 1))) AS INTEGER), '0'))) AS BIGINT) AS slot FROM (SELECT no, total, unnest(range(start, start + blocks)) AS j FROM k)),
 g AS (SELECT no, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS rank FROM v),

@@ -435,6 +435,19 @@ def test_mixing_of_rows_without_an_id_and_of_repeats(spark):
     assert key(again) == key(out)
 
 
+def test_a_small_mix_is_dealt_as_finely_as_a_large_one(spark):
+    """Blocks of 512 words whatever the corpus left 1,000 documents about a thousand slots; at least 65,536 are dealt, a word each if there are fewer words."""
+    data = [(i, "w " * (i % 9), "abc"[i % 3]) for i in range(300)]
+    out = mixing.mix(docs(spark, data)).collect()
+    assert all(x.slots == x.taken for x in out) and sum(x.slots for x in out) > 1000
+    total = sum(x.taken for x in out)
+    for least, block in ((100, total // 100), (1, 512)):
+        parts = mixing.mix(docs(spark, data), least_slots=least).collect()
+        assert [sum(x.taken for x in parts if x.source == s) for s in "abc"] == [sum(x.taken for x in out if x.source == s) for s in "abc"]
+        held = {(x.source, y.slot) for x in parts for y in x.parts or []}
+        assert max(x.slots for x in parts) <= 4 and len(held) <= total // block + 3
+
+
 def test_schedule_is_even(spark):
     """Every stretch of the mix holds each source in proportion to its target, within the discrepancy of van der Corput points."""
     quota = [500, 3, 120, 0, 977]
