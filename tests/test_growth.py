@@ -132,6 +132,52 @@ def test_impact_is_counted_without_its_pairs(spark):
     assert (shown.count() + given.count()) * 8 < len(pairs) and given.count() <= 3 * chunks.count()
 
 
+def test_a_visual_is_answered_in_one_row(spark):
+    """What comes to a visual is one row, whatever number of chunks its seeds lie in; it used to be a row for each chunk, grouped by visual and chunk."""
+    from lineagrid.plans.graphs import ways
+
+    reads = [(f"m{i}", f"m{j}") for i in range(1, 400) for j in {i // 2, i // 3} if i != j] + [("m1", "m2")]
+    shows = [(f"v{i}", f"m{i * k % 400}") for i in range(300) for k in (7, 11, 13)]
+    kinds = {"measure_to_measure": reads, "visual_to_field": shows + [("v1", "T")], "field_param_to_field": [("T", "m9")]}
+    edges = spark.createDataFrame([("P", "s", a, b, k) for k, e in kinds.items() for a, b in e], "project_id string, snapshot_id string, source string, target string, type string")
+    seeds = spark.createDataFrame([("P", "s", f"m{i}") for i in range(400)], "project_id string, snapshot_id string, seed string")
+    names, visuals, shown, given = ways(edges, seeds)
+    assert names.count() == 400 and shown.count() == visuals.count() == 300 and given.count() == 1
+    assert shown.filter("size(seeds) <> size(own) or size(array_distinct(seeds)) < size(seeds)").isEmpty()
+    assert shown.select(F.explode("seeds")).distinct().count() > 64
+
+
+def test_unions_against_a_plain_walk(spark, monkeypatch):
+    """Things in small parts and in many slices, members that no chunk holds, things without any, seeds left out, two projects of the same numbers."""
+    from lineagrid.operators import unions as u
+
+    for name, value in {"_SLICE": 5, "_AT_ONCE": 40}.items():
+        monkeypatch.setattr(u, name, value)
+    reach = {c * 64 + k: {(c * 7 + k * d) % 50 for d in (1, 3, 4)} | {k % 50} for c in range(3) for k in range(64)}
+    bit = lambda k: (1 << k) - (1 << 64 if k == 63 else 0)
+    rows = []
+    for c in range(3):
+        of = {}
+        for k in range(64):
+            for x in reach[c * 64 + k]:
+                of[x] = of.get(x, 0) | bit(k)
+        rows.append((c, list(of), list(of.values()), [k % 50 if k % 5 else None for k in range(64)]))
+    closure = spark.createDataFrame([(p, "s", *r) for p in "PQ" for r in rows], "project_id string, snapshot_id string, chunk long, nodes array<long>, masks array<long>, selves array<long>")
+    things = [(i, 1 if i % 3 == 0 else 2 if i % 3 == 1 else None, sorted({i * 5 % 192, i * 11 % 192, 9999})) for i in range(70)] + [(70, None, []), (71, None, [9999])]
+    df = spark.createDataFrame([(p, "s", *t, f"n{t[0]}") for p in "PQ" for t in things], "project_id string, snapshot_id string, no long, given long, at array<long>, name string")
+    had = spark.createDataFrame([(p, "s", 1, [3, 4, 20, 49]) for p in "PQ"], "project_id string, snapshot_id string, given long, seeds array<long>")
+    want = {}
+    for no, given, at in things:
+        all_ = {x for a in at for x in reach.get(a, ())} - ({3, 4, 20, 49} if given == 1 else set())
+        own = {a % 64 % 50 for a in at if a in reach and a % 64 % 5}
+        if all_:
+            want[no] = sorted((x, x in own) for x in all_)
+    for p in "PQ":
+        got = [r for r in u.unions(closure, df, had, ["name"]).collect() if r.project_id == p]
+        assert len(got) == len(want) and all(r.name == f"n{r.no}" for r in got)
+        assert {r.no: sorted(zip(r.seeds, r.own, strict=True)) for r in got} == want
+
+
 def test_closures_unfold_after_they_are_counted(spark):
     """Seeds stay folded up to the last step: no join or grouping of the plan has a row for each pair of a seed and a node, and rows written in between are few."""
     from lineagrid.plans import graphs
