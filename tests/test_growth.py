@@ -147,6 +147,40 @@ def test_a_visual_is_answered_in_one_row(spark):
     assert shown.select(F.explode("seeds")).distinct().count() > 64
 
 
+def test_ends_of_an_impact_are_found_without_depths(spark):
+    """An end node that a chunk reaches in many depths is one row; it used to be one for each depth. Edges that come twice change nothing, and seeds that lead nowhere don't walk."""
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(3)] * 2 + [(f"n{i}", "end") for i in range(4)] + [("n2", "n0")]
+    e = spark.createDataFrame([("P", "s", a, b) for a, b in edges], "project_id string, snapshot_id string, source string, target string")
+    seeds = spark.createDataFrame([("P", "s", f"n{i}") for i in range(3)], "project_id string, snapshot_id string, seed string")
+    found, chunks = g.masks(e, seeds, depths=False)
+    assert found.filter("node = 'end'").count() == 1 and chunks.count() == 1
+    own = g.closure(e, seeds).select("seed", "node").distinct()
+    assert sorted(map(tuple, g.unfolded(found.filter("depth > 0"), chunks).select("seed", "node").collect())) == sorted(map(tuple, own.collect()))
+    end = spark.createDataFrame([("P", "s", "end")], "project_id string, snapshot_id string, seed string")
+    assert [(r.node, r.depth) for r in g.masks(e, end)[0].collect()] == [("end", 0)]
+
+
+def test_edges_of_closures_are_counted_folded(spark):
+    """No sort, join or grouping has a row for each seed and edge; the least target used to be found by sorting those."""
+    edges = [(f"n{i:03}", f"n{j:03}") for i in range(1, 9) for j in {i // 2, i // 3} if i != j] + [("n001", "n002"), ("n007", "leaf"), ("n007", "leaf")]
+    e = spark.createDataFrame([("P", "s", a, b) for a, b in edges], "project_id string, snapshot_id string, source string, target string")
+    seeds = spark.createDataFrame([("P", "s", f"n{i:03}") for i in range(9)], "project_id string, snapshot_id string, seed string")
+    df = g.subgraph_sizes(e, seeds)
+    want = {}
+    for r in g.subgraph(e, seeds, "upstream").collect():
+        n, first = want.get(r.seed, (0, r.target))
+        want[r.seed] = n + 1, min(first, r.target)
+    assert {r.seed: (r.n_edges, r.first_target) for r in df.collect()} == want
+    assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_visuals_show_is_made_distinct_by_numbers(spark):
+    df = view(spark, SF, "b_shown")
+    own = spark.sql(VIEWS["b_shown"], b_field=view(spark, SF, "b_field"), b_measure=view(spark, SF, "b_measure"))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, own.collect()))
+    assert not any("Aggregate" in x for x in _over(df, "Join"))
+
+
 def test_unions_against_a_plain_walk(spark, monkeypatch):
     """Things in small parts and in many slices, members that no chunk holds, things without any, seeds left out, two projects of the same numbers."""
     from lineagrid.operators import unions as u
